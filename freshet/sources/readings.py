@@ -45,7 +45,7 @@ def precipitation(spark: SparkSession, folder: str) -> DataFrame:
     daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
     total = daily.agg(F.sum(money("o_totalprice")).cast("double").alias("t"))
     kept = ~F.dayofmonth("date").between(10, 14)
-    return total.select("date", F.when(kept, F.col("t") / 100000.0).alias("precip_mm"))
+    return total.select("date", F.when(kept, F.col("t") / 10000.0).alias("precip_mm"))
 
 
 def precipitation_spare(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,10 +73,14 @@ def airport(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snow(spark: SparkSession, folder: str) -> DataFrame:
-    """date, snow_dep: daily snow stake reading, missing on the 10th-13th and from the 16th to the month's end."""
+    """date, snow_dep: daily snow stake reading.
+
+    Missing on the 10th-13th and at the end of the month, from the 17th on in the
+    first half of the year and from the 16th on in the second.
+    """
     daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
     day = F.dayofmonth("date")
-    kept = ~(day.between(10, 13) | (day >= 16))
+    kept = ~(day.between(10, 13) | (day >= F.when(F.month("date") < 7, 17).otherwise(16)))
     return daily.agg(F.count(F.lit(1)).cast("double").alias("n")).select("date", F.when(kept, F.col("n")).alias("snow_dep"))
 
 

@@ -40,7 +40,7 @@ def drain(frame: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    written = spark.read.schema(StructType(frame.schema.fields).add("batch", "long")).parquet(f"{base}/out")
+    written = spark.read.schema(StructType([*frame.schema.fields]).add("batch", "long")).parquet(f"{base}/out")
     rest = [c for c in frame.columns if c not in keys]
     latest = F.max_by(F.struct(*rest), F.col("batch")).alias("_row")
     return written.groupBy(*keys).agg(latest).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
