@@ -10,11 +10,12 @@ a group costs one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.operators.joins import join_matching_nulls
+from freshet.sources.stages import stage
 
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY  # five times the sketch's rank error
@@ -22,13 +23,13 @@ WHOLE = 2 * ACCURACY  # groups of fewer values are bracketed by their whole rang
 GRID_STEPS = 1000
 
 
-def _ranked_bracket(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Rows (group, which, n, v, upto, since): v covers ranks since+1 .. upto inside each bracket."""
+def _ranked_bracket(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """Rows (group, which, n, v, upto, since), v covering ranks since+1 .. upto inside each bracket; and the groups."""
     low = [max(s - MARGIN, 0.0) for s in shares]
     high = [min(s + MARGIN, 1.0) for s in shares]
-    present = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    sketch = present.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
+    rows = df.select(*group, F.col(value).alias("_v"))
+    sketch = rows.groupBy(*group).agg(
+        F.count("_v").alias("_n"),
         F.percentile_approx("_v", low, ACCURACY).alias("_low"),
         F.percentile_approx("_v", high, ACCURACY).alias("_high"),
         F.min("_v").alias("_min"),
@@ -46,12 +47,15 @@ def _ranked_bracket(df: DataFrame, group: Sequence[str], value: str, shares: Seq
             for i, (lo, hi) in enumerate(zip(low, high))
         ]
     )
-    sketch = sketch.select(*group, "_n", edges.alias("_edges"))
+    # written out, so its size is known: Spark then broadcasts it only if it is small
+    sketch = stage(sketch.select(*group, "_n", edges.alias("_edges")), "sketch")
+    present = rows.where(F.col("_v").isNotNull())
     if group:
-        rows = join_matching_nulls(present, sketch, group, "inner")
+        present = join_matching_nulls(present, sketch, group, "inner")
     else:
-        rows = _with_scalar(present, sketch, ["_n", "_edges"])
-    return _count_brackets(rows, group)
+        one = sketch.select(F.struct("_n", "_edges").alias("s")).scalar()
+        present = present.withColumns({c: one[c] for c in ("_n", "_edges")})
+    return _count_brackets(present, group), sketch.select(*group)
 
 
 def _count_brackets(rows: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -79,7 +83,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, named: dict
     exact_quantiles(df, ["cluster"], "x", {"q2": 0.25, "median": 0.5}).
     """
     shares = list(named.values())
-    ranked = _ranked_bracket(df, group, value, shares)
+    ranked, groups = _ranked_bracket(df, group, value, shares)
     share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("_which") + 1)
     at = (F.col("_n") - 1) * share
     floor = F.floor(at)
@@ -94,42 +98,36 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, named: dict
         F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))
     )
     found = picked.select(*group, "_which", quantile.alias("_q"))
-    return found.groupBy(*group).agg(
+    wide = found.groupBy(*group).agg(
         *[F.max(F.when(F.col("_which") == i, F.col("_q"))).alias(n) for i, n in enumerate(named)]
     )
+    # a group without any value keeps its row
+    return join_matching_nulls(groups, wide, group, "left") if group else wide
 
 
-def _with_scalar(df: DataFrame, one_row: DataFrame, cols: Sequence[str]) -> DataFrame:
-    one = one_row.select(F.struct(*cols).alias("s")).scalar()
-    return df.withColumns({c: one[c] for c in cols})
+def value_at_rank(df: DataFrame, value: str, rank: Callable[[int], int]) -> float | int | None:
+    """The value of a numeric column at a rank from below; ``rank`` gets the number of values.
 
-
-def value_at_rank(df: DataFrame, value: str, rank: Column) -> DataFrame:
-    """One row holding the rank-th smallest value of a numeric column.
-
-    ``rank`` is an expression that may use ``_n``, the number of values.
+    Two passes: a sketch of the column, then counts inside the bracket around the
+    rank. The bracket's ends are constants, so the second pass can skip files.
     """
     present = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
     grid = ", ".join(f"{i / GRID_STEPS}D" for i in range(GRID_STEPS + 1))
-    sketch = present.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.expr(f"percentile_approx(_v, array({grid}), {ACCURACY})").alias("_grid"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    ).withColumn("_rank", rank)
-    step = F.floor(F.col("_rank") / F.col("_n") * GRID_STEPS).cast("int")
-    few = F.col("_n") < WHOLE
-    low = F.col("_grid")[F.greatest(step - 2, F.lit(0))]
-    high = F.col("_grid")[F.least(step + 3, F.lit(GRID_STEPS))]
-    edge = F.struct(
-        F.lit(0).alias("which"),
-        F.when(few | (step <= 2), F.col("_min")).otherwise(low).alias("low"),
-        F.when(few | (step >= GRID_STEPS - 3), F.col("_max")).otherwise(high).alias("high"),
-    )
-    sketch = sketch.select("_n", "_rank", F.array(edge).alias("_edges"))
-    rows = _with_scalar(present, sketch, ["_n", "_edges"])
-    wanted = sketch.select("_rank").scalar()
-    return _count_brackets(rows, []).agg(_at_rank(wanted).alias(value))
+    n, marks, least, most = present.agg(
+        F.count(F.lit(1)), F.expr(f"percentile_approx(_v, array({grid}), {ACCURACY})"), F.min("_v"), F.max("_v")
+    ).first()
+    wanted = rank(n)
+    if not 1 <= wanted <= n:
+        return None
+    step = int(wanted / n * GRID_STEPS)
+    low = least if n < WHOLE or step <= 2 else marks[step - 2]
+    high = most if n < WHOLE or step >= GRID_STEPS - 3 else marks[step + 3]
+    edge = F.array(F.struct(F.lit(0).alias("which"), F.lit(low).alias("low"), F.lit(high).alias("high")))
+    rows = present.where(F.col("_v") <= high).withColumn("_n", F.lit(n)).withColumn("_edges", edge)
+    found = _count_brackets(rows, []).agg(_at_rank(F.lit(wanted))).first()[0]
+    if found is None:
+        raise ValueError("rank outside its bracket")
+    return found
 
 
 def box_summary(df: DataFrame, group: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:

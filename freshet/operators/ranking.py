@@ -53,10 +53,13 @@ def upper_half(df: DataFrame, value: str, unique: str) -> DataFrame:
     The cut is found as an order statistic, first of the value and then of the
     key among the rows tied with the cut, so nothing is sorted as a whole.
     """
-    cut = value_at_rank(df, value, F.col("_n") - F.floor(F.col("_n") / 2) + 1)
-    marked = df.withColumn("_cut", cut.scalar())
-    above = F.count(F.when(F.col(value) > F.col("_cut"), 1))
-    wanted = marked.agg(F.floor(F.count(value) / 2) - above).scalar()
-    tied = F.col(value) == F.col("_cut")
-    last = value_at_rank(marked.where(tied), unique, wanted).scalar()
-    return marked.where((F.col(value) > F.col("_cut")) | (tied & (F.col(unique) <= last))).drop("_cut")
+    cut = value_at_rank(df, value, lambda n: n - n // 2 + 1)
+    if cut is None:
+        return df.limit(0)
+    above, tied = F.col(value) > F.lit(cut), F.col(value) == F.lit(cut)
+    n, n_above, n_tied = df.agg(F.count(value), F.count(F.when(above, 1)), F.count(F.when(tied, 1))).first()
+    spare = n // 2 - n_above
+    if spare < n_tied:
+        last = value_at_rank(df.where(tied), unique, lambda _: spare)
+        tied = tied & (F.col(unique) <= F.lit(last))
+    return df.where(above | tied)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 SLICE_NODES = 4096  # nodes per broadcast when assigning rows; larger codebooks take several
 MAX_CODE_VALUES = 32_000_000  # runs x nodes x features that training may hold (256 MB)
 MAX_LATTICE = 8192  # nodes of one trained lattice; its neighbourhood is a nodes x nodes table on the driver
+CODEBOOK = "run int, node int, gx double, gy double, w array<double>"
 
 
 def lattice(rows: int, cols: int, topology: str = "hexagonal") -> np.ndarray:
@@ -101,6 +102,30 @@ def _epoch_sums(data: DataFrame, width: int, codes: Mapping[int, np.ndarray]) ->
     return out
 
 
+def _smooth(w: np.ndarray, table: np.ndarray, near: np.ndarray, radius: float) -> np.ndarray:
+    """Every node moves to the mean of the rows won inside its neighbourhood; without any it stays."""
+    h = (near <= radius + 1e-9).astype(float)
+    weight, moved = h @ table[:, 0], h @ table[:, 2:]
+    return np.where(weight[:, None] > 0, moved / np.maximum(weight, 1e-300)[:, None], w)
+
+
+def train_epoch(df: DataFrame, cols: Sequence[str], codes: DataFrame, radius: float) -> DataFrame:
+    """One batch update of a codebook (run, node, gx, gy, w) on a Euclidean grid."""
+    book: dict[int, list] = {}
+    for r in codes.orderBy("run", "node").collect():
+        book.setdefault(r["run"], []).append(r)
+    if max(map(len, book.values())) > MAX_LATTICE:
+        raise ValueError(f"a trained lattice has at most {MAX_LATTICE} nodes")
+    start = {run: np.array([r["w"] for r in nodes], dtype=float) for run, nodes in book.items()}
+    sums = _epoch_sums(df.select(_vectors(cols).alias("_x")), len(cols), start)
+    rows = []
+    for run, nodes in book.items():
+        near = _grid_distance(np.array([[r["gx"], r["gy"]] for r in nodes]), "hexagonal")
+        new = _smooth(start[run], sums[run], near, radius)
+        rows += [(run, r["node"], r["gx"], r["gy"], [float(v) for v in w]) for r, w in zip(nodes, new)]
+    return df.sparkSession.createDataFrame(rows, CODEBOOK)
+
+
 def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str, Any]], epochs: int = 30, tolerance: float = 1e-4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Train one map per run; returns (codebook, progress).
 
@@ -123,11 +148,9 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
         active, progress = set(codes), []
         for epoch in range(1, epochs + 1):
             for run, table in _epoch_sums(data, len(cols), {r: codes[r] for r in active}).items():
-                w, n, s = codes[run], table[:, 0], table[:, 2:]
+                w, n = codes[run], table[:, 0]
                 radius = start[run] * (1 - (epoch - 1) / max(epochs - 1, 1))
-                h = (near[run] <= radius + 1e-9).astype(float)
-                weight, moved = h @ n, h @ s
-                new = np.where(weight[:, None] > 0, moved / np.maximum(weight, 1e-300)[:, None], w)
+                new = _smooth(w, table, near[run], radius)
                 change = float(np.abs(new - w).mean())
                 progress.append((int(run), epoch, float(table[:, 1].sum() / n.sum()), change))
                 codes[run] = new
@@ -143,7 +166,7 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
         for run, w in codes.items()
         for i in range(len(w))
     ]
-    book = spark.createDataFrame(rows, "run int, node int, gx double, gy double, w array<double>")
+    book = spark.createDataFrame(rows, CODEBOOK)
     return book, spark.createDataFrame(progress, "run int, epoch int, mean_distance double, mean_change double")
 
 

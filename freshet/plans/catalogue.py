@@ -749,7 +749,7 @@ GRID = [
 @query
 def som_sweep(spark, folder):
     """Error, pseudo-F and p of every run of the grid."""
-    return sweep(springs.scaled_features(spark, folder), "date", FEATURES, GRID, epochs=20)[0]
+    return sweep(springs.features(spark, folder), "date", FEATURES, GRID, epochs=20)[0]
 
 
 def _vectors(spark, folder):
@@ -791,6 +791,15 @@ def _label_codes(spark, folder):
     return data, names, means.select(F.lit(1).alias("run"), (F.col("label") + 1).cast("int").alias("node"), F.array(*names).alias("w"))
 
 
+@query
+def som_epoch(spark, folder):
+    """One training step of a 2 x 5 hexagonal map that starts from the label means."""
+    data, names, codes = _label_codes(spark, folder)
+    gx, gy = som.lattice_columns(F.col("node"), 5)
+    placed = codes.select("run", "node", gx.cast("double").alias("gx"), gy.cast("double").alias("gy"), "w")
+    return som.component_planes(som.train_epoch(data, names, placed, 1.0), names)
+
+
 @query
 def som_qe_vectors(spark, folder):
     data, names, codes = _label_codes(spark, folder)
@@ -877,8 +886,11 @@ def lm_simple(spark, folder):
 
 @query
 def lm_pvalue(spark, folder):
-    fit = models.linear_fit(r.table(spark, folder, "lineitem"), "l_extendedprice", "l_discount", ["l_returnflag"])
-    return fit.select("l_returnflag", "n", "p_value")
+    """Price on discount, per part with few rows each and per return flag with many."""
+    lines = r.table(spark, folder, "lineitem").select("l_extendedprice", "l_discount", F.col("l_partkey").cast("string").alias("part"), "l_returnflag")
+    by_part = models.linear_fit(lines, "l_extendedprice", "l_discount", ["part"]).select(F.col("part").alias("id"), "n", "p_value")
+    by_flag = models.linear_fit(lines, "l_extendedprice", "l_discount", ["l_returnflag"])
+    return by_part.unionByName(by_flag.select(F.col("l_returnflag").alias("id"), "n", "p_value"))
 
 
 @query

@@ -8,24 +8,52 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.operators import permanova, som
+from freshet.operators.reshape import bind_rows
+from freshet.operators.scaling import scale_by
 from freshet.sources.stages import stage
 
 
 def read_grid(params: DataFrame) -> list[dict[str, Any]]:
-    """Rows of a parameter file as the keyword form used here; one entry per run."""
-    rows = params.select("myRun", "myTopo", "rows", "cols", "normMeth", "niter", "nClusters").collect()
+    """Rows of a parameter file in the form used here, one entry per run.
+
+    The file's number of iterations counts passes of the sequential rule and its
+    learning rates belong to that rule; the batch rule here has neither.
+    """
+    rows = params.select("myRun", "myTopo", "rows", "cols", "normMeth", "wghtMeth", "nClusters").orderBy("myRun").collect()
     return [
-        {"run": r["myRun"], "topology": r["myTopo"], "rows": r["rows"], "cols": r["cols"], "scaling": r["normMeth"], "epochs": r["niter"], "k": r["nClusters"]}
+        {
+            "run": int(r["myRun"]),
+            "topology": r["myTopo"],
+            "rows": int(r["rows"]),
+            "cols": int(r["cols"]),
+            "scaling": r["normMeth"],
+            "weighting": r["wghtMeth"],
+            "k": int(r["nClusters"]),
+        }
         for r in rows
     ]
 
 
-def sweep(data: DataFrame, key: str, cols: Sequence[str], grid: Sequence[Mapping[str, Any]], epochs: int = 30, permutations: int = 99, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(scores, assignments) of scaled data under every run.
+def sweep(features: DataFrame, key: str, cols: Sequence[str], grid: Sequence[Mapping[str, Any]], weights: Mapping[str, float] | None = None, epochs: int = 30, permutations: int = 99, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(scores, assignments) of complete feature rows under every run of the grid.
 
     Scores: run, rows, cols, topology, clusters, qe, npf, p_value. Assignments are
     long, (run, key, node, dist, cluster); there is never a column per observation.
+    Runs with the same scaling and weighting are trained together. ``weights`` apply
+    to runs whose weighting is ``PCA``.
     """
+    together: dict[tuple[str, bool], list[Mapping[str, Any]]] = {}
+    for run in grid:
+        weighted = weights is not None and run.get("weighting") == "PCA"
+        together.setdefault((run.get("scaling", "minmax"), weighted), []).append(run)
+    results = []
+    for (method, weighted), runs in together.items():
+        scaled = scale_by(features.select(key, *cols), method, cols, weights if weighted else None)
+        results.append(_train_and_score(stage(scaled, "scaled"), key, cols, runs, epochs, permutations, seed))
+    return bind_rows(*[r[0] for r in results]), bind_rows(*[r[1] for r in results])
+
+
+def _train_and_score(data: DataFrame, key: str, cols: Sequence[str], grid: Sequence[Mapping[str, Any]], epochs: int, permutations: int, seed: int) -> tuple[DataFrame, DataFrame]:
     spark = data.sparkSession
     codes, _ = som.fit(data, key, cols, grid, epochs=epochs, seed=seed)
     k = spark.createDataFrame([(int(g["run"]), int(g["k"])) for g in grid], "run int, k int")

@@ -367,6 +367,19 @@ LABEL_DIST = """
 add("assign_vectors", LABEL_DIST, "dist")
 add("som_qe_vectors", f"SELECT 1 AS run, avg(dist) AS qe FROM ({LABEL_DIST})", "qe")
 
+add(
+    "som_epoch",
+    f"""WITH won AS ({LABEL_DIST}),
+             per_node AS (SELECT node, i, sum(CAST(embedding[i] AS DOUBLE)) AS s, count(*) AS n
+                          FROM won JOIN embeddings USING (vec_id), range(1, 65) r(i) GROUP BY 1, 2),
+             grid AS (SELECT CAST(node AS INTEGER) AS node, (node - 1) % 5 + 1 + (((node - 1) // 5 + 1) % 2) * 0.5::DOUBLE AS gx,
+                             ((node - 1) // 5 + 1) * sqrt(3.0::DOUBLE) / 2 AS gy FROM range(1, 11) g(node))
+        SELECT 1 AS run, a.node, 'x' || (i - 1) AS var, sum(s) / sum(n) AS value
+        FROM grid a JOIN grid b ON (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) <= 1.000001
+        JOIN per_node p ON p.node = b.node GROUP BY 1, 2, 3""",
+    "value",
+)
+
 
 def pair_f(power: int) -> str:
     d2 = "(" + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in FEATURES) + ")"
@@ -401,13 +414,38 @@ add("node_count", "SELECT count(*) AS n, CAST(round(5 * sqrt(count(*))) AS BIGIN
 
 
 def fit(y: str, x: str) -> str:
-    r2 = f"regr_r2({y}, {x})"
+    known = lambda f: f"CASE WHEN NOT isnan({f}({y}, {x})) THEN {f}({y}, {x}) END"
+    r2 = known("regr_r2")
     n = f"regr_count({y}, {x})"
-    return f"""CAST({n} AS BIGINT) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, {r2} AS r2,
+    return f"""CAST({n} AS BIGINT) AS n, {known("regr_slope")} AS slope, {known("regr_intercept")} AS intercept, {r2} AS r2,
                CASE WHEN {n} > 2 THEN 1 - (1 - {r2}) * ({n} - 1) / (CAST({n} AS BIGINT) - 2) END AS adj_r2"""
 
 
 FIT = "slope intercept r2 adj_r2"
+def tail(r2: str, n: str) -> str:
+    """Two-sided p of a correlation, by Simpson's rule over the t density written in the angle of the statistic."""
+    dof = f"({n} - 2)"
+    angle = f"atan(sqrt({r2} / (1 - {r2})))"
+    height = f"pow(cos({angle} * i / 2000.0::DOUBLE), {dof} - 1)"
+    area = f"""list_sum(list_transform(range(0, 2001), lambda i: {height} * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) * {angle} / 6000.0::DOUBLE"""
+    scale = f"2 / sqrt(pi()) * exp(lgamma(({dof} + 1) / 2.0::DOUBLE) - lgamma({dof} / 2.0::DOUBLE))"
+    return f"CASE WHEN {dof} >= 1 THEN CASE WHEN {r2} >= 1 THEN 0 ELSE greatest(1 - {scale} * {area}, 0) END END"
+
+
+def tails(source: str, keys: str) -> str:
+    return f"""SELECT {keys}, n, {tail('r2', 'n')} AS p_value
+               FROM (SELECT {keys}, CAST(regr_count(y, x) AS BIGINT) AS n, corr(y, x) * corr(y, x) AS r2 FROM ({source}) GROUP BY ALL)"""
+
+
+add(
+    "lm_pvalue",
+    tails(
+        """SELECT CAST(l_partkey AS VARCHAR) AS id, l_extendedprice AS y, l_discount AS x FROM lineitem
+           UNION ALL SELECT l_returnflag, l_extendedprice, l_discount FROM lineitem""",
+        "id",
+    ),
+    "p_value",
+)
 add("lm_simple", f"SELECT l_returnflag, {fit('l_extendedprice', 'l_quantity')} FROM lineitem GROUP BY 1", FIT)
 add(
     "lm_subset",
@@ -441,10 +479,11 @@ MODELS = [
     ("spr_by_late_rain", A, "precip_mm_lastcold", "v_rain_lastcold FULL JOIN v_yields USING (wyear)"),
     ("spr_by_late_rain_without_1998", A, "precip_mm_lastcold", "v_rain_lastcold FULL JOIN v_yields USING (wyear) WHERE wyear <> 1998"),
     ("end_by_late_rain", B, "precip_mm_lastcold", "v_rain_lastcold FULL JOIN v_yields USING (wyear)"),
-    ("melt_by_late_rain_without_1998", "WBminusRB_abs_lastcold", "precip_mm_lastcold", "v_rain_lastcold FULL JOIN v_q_lastcold USING (wyear) WHERE wyear <> 1998"),
+    ("melt_by_late_rain_without_1998", "WBminusRB_abs_lastcold", "precip_mm_lastcold", "v_rain_lastcold FULL JOIN v_yields USING (wyear) FULL JOIN v_q_lastcold USING (wyear) WHERE wyear <> 1998"),
 ]
 STACK = " UNION ALL ".join(f"SELECT '{m}' AS model, CAST({y} AS DOUBLE) AS y, CAST({x} AS DOUBLE) AS x FROM {t}" for m, y, x, t in MODELS)
 add("lm_table", f"SELECT model, {fit('y', 'x')} FROM ({STACK}) GROUP BY 1", FIT)
+add("lm_table_pvalue", tails(STACK, "model"), "p_value")
 add(
     "corr_test",
     f"""SELECT corr({A}, {B}) AS r, count(*) FILTER ({A} IS NOT NULL AND {B} IS NOT NULL) AS n, 'abs' AS kind FROM v_yields
@@ -455,6 +494,11 @@ CROSS = " UNION ALL ".join(
     f"SELECT '{a}' AS var_a, '{b}' AS var_b, corr({a}, {b}) AS r, count(*) AS n FROM v_features" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]
 )
 add("corr_cross", f"SELECT * FROM ({CROSS}) ORDER BY abs(r) DESC, var_a, var_b LIMIT 20", "r")
+add(
+    "corr_cross_significant",
+    f"""SELECT * FROM (SELECT *, {tail('(r * r)', 'n')} AS p_value FROM ({CROSS})) WHERE p_value <= 0.05 ORDER BY abs(r) DESC, var_a, var_b LIMIT 20""",
+    "r p_value",
+)
 add(
     "cluster_profile",
     "SELECT cluster, count(*) AS n, " + ", ".join(f"avg({f}) - (SELECT avg({f}) FROM v_labelled) AS {f}" for f in FEATURES) + " FROM v_labelled GROUP BY 1",
