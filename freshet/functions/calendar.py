@@ -41,6 +41,19 @@ def date_spine(spark: SparkSession, start: str | dt.date, end: str | dt.date) ->
     return spark.range(1).select(F.explode(days).alias("date"))
 
 
-def position(order: Column) -> Column:
-    """A date (in days) or timestamp (in seconds) as a number, for interpolation."""
-    return F.unix_date(order).cast("double")
+def position(df: DataFrame, name: str) -> Column:
+    """A date (in days), time (in microseconds) or number as a double that keeps its order.
+
+    A time without zone is taken apart rather than cast, so that the result does
+    not depend on the session's time zone.
+    """
+    kind, c = df.schema[name].dataType.simpleString(), F.col(name)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "timestamp_ntz":
+        minutes = F.unix_date(F.to_date(c)).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+        micros = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+        return (minutes * 60_000_000 + micros).cast("double")
+    return c.cast("double")

@@ -32,7 +32,7 @@ def carry_forward(df: DataFrame, group: Sequence[str], order: Sequence[str], col
     return on_pieces(df, group, order, max_gap + 1, work, chunk, block_rows)
 
 
-def interpolate(df: DataFrame, group: Sequence[str], order: str, value: str, max_gap: int, position: Column, name: str | None = None, chunk: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def interpolate(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, max_gap: int, position: Column, name: str | None = None, chunk: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Linear in ``position`` between the known neighbours of a run of at most ``max_gap`` missing rows.
 
     Nothing is filled before the first or after the last known value.
@@ -60,7 +60,7 @@ def interpolate(df: DataFrame, group: Sequence[str], order: str, value: str, max
         part = part.withColumn("_filled", F.when(fill, line).otherwise(v))
         return part.drop("_x", "_island", "_p", "_q").withColumn(name or value, F.col("_filled")).drop("_filled")
 
-    return on_pieces(df, group, [order], max_gap + 1, work, chunk, block_rows)
+    return on_pieces(df, group, order, max_gap + 1, work, chunk, block_rows)
 
 
 def from_second_source(df: DataFrame, second: DataFrame, on: str, value: str, spare: str, default: float | None = None) -> DataFrame:

@@ -4,9 +4,10 @@ Every function takes ``group`` (the series), ``order`` (a total order inside a
 series) and an optional ``chunk``. Without it a series is one window partition,
 which is right for daily rows: a site has at most 366 of them per water year.
 
-With ``chunk``, a column that never decreases along ``order`` (a day, a month),
-a series of any length is worked on piecewise, however many of all rows it
-holds:
+With ``chunk``, a column that never decreases along ``order``, a series of any
+length is worked on piecewise, however many of all rows it holds. with_chunks
+adds one whose chunks hold about the same number of rows, however the rows are
+spread over time.
 
 * unbounded measures (row numbers, running sums) run inside each chunk, and one
   row of totals per chunk carries the state over;
@@ -17,14 +18,22 @@ holds:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.functions.calendar import position
 from freshet.operators.joins import join_matching_nulls
+from freshet.sources.stages import stage
 
 BLOCK_ROWS = 100_000  # rows per block of a long series
 
+CHUNK_ROWS = 1_000_000  # rows per chunk aimed at by with_chunks
+STEPS = 2000
+ACCURACY = 20_000
+
 Piece = Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame]
 
 
@@ -36,6 +45,53 @@ def running(group: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _marks(df: DataFrame, position: Column) -> list[float]:
+    """Values that cut the column into stretches of about CHUNK_ROWS rows, repeated where one value fills several."""
+    shares = ", ".join(f"{i / STEPS}D" for i in range(1, STEPS))
+    n, marks = (
+        df.select(position.alias("_p"))
+        .agg(F.count("_p"), F.expr(f"percentile_approx(_p, array({shares}), {ACCURACY})"))
+        .first()
+    )
+    step = max(1, int(STEPS * CHUNK_ROWS / max(n, 1)))
+    return list(marks[step - 1 :: step]) if marks else []
+
+
+def _place(df: DataFrame, position: Column, marks: Sequence[float], name: str) -> DataFrame:
+    """Number of the stretch a value falls in; each mark is a stretch of its own (odd numbers)."""
+    cuts = sorted(set(marks))
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    at = df.withColumn("_p", position)
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_p", outputCol="_b", handleInvalid="keep").transform(at)
+    # bucket b starts at mark b; missing values, the extra last bucket, sort first as Spark does
+    bucket = F.col("_b").cast("int")
+    is_mark = F.col("_p") == F.element_at(F.array(*[F.lit(c) for c in cuts]), F.greatest(bucket, F.lit(1)))
+    number = F.when(is_mark & (bucket > 0), 2 * bucket - 1).otherwise(2 * bucket)
+    return split.withColumn(name, F.when(F.col("_p").isNull(), -1).otherwise(number)).drop("_p", "_b")
+
+
+def with_chunks(df: DataFrame, order: Sequence[str], name: str = "_chunk") -> DataFrame:
+    """Add a chunk number that never decreases along ``order`` and whose chunks have similar sizes.
+
+    The cuts come from a sketch of the first order column. A single value that
+    fills several stretches (many readings at one instant) is cut further along
+    the second order column. The cuts are constants of the plan, so every branch
+    of a query sees the same chunks.
+    """
+    first = position(df, order[0])
+    marks = _marks(df, first)
+    heavy = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
+    out = _place(df, first, marks, name)
+    if not heavy or len(order) == 1:
+        return out
+    tied = first.isin(heavy)
+    second = position(df, order[1])
+    inner = _place(out, second, _marks(df.where(tied), second), "_inner")
+    width = 4 * STEPS + 4
+    return inner.withColumn(name, F.col(name).cast("long") * width + F.when(tied, F.col("_inner") + 1).otherwise(0)).drop("_inner")
+
+
 def _carried(df: DataFrame, group: Sequence[str], chunk: str, totals: dict[str, Column]) -> DataFrame:
     """Attach to each row the sum of each total over all earlier chunks of its series."""
     keys = [*group, chunk]
@@ -44,7 +100,9 @@ def _carried(df: DataFrame, group: Sequence[str], chunk: str, totals: dict[str,
     carried = per_chunk.select(
         *keys, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in totals]
     )
-    return join_matching_nulls(df, carried, keys, "left")
+    # one row per chunk and series, written out: with its size known it is broadcast if it is
+    # small, and the rows are then shuffled only once, for the window over (series, chunk)
+    return join_matching_nulls(df, stage(carried, "carried"), keys, "left")
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "n", chunk: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.sources.stages import stage
+
 BUCKET_BITS = 12  # the leading bits of the 64-bit hash that name its bucket
 
 
@@ -109,6 +111,8 @@ def permuted_labels(df: DataFrame, key: str, label: str, by: Sequence[str], perm
     placed = placed.where((F.col("_from") < F.col("_upto")) & (F.col("_upto") <= F.col("_to"))).select(
         *by, "perm", "_bucket", "_label", (F.col("_upto") - F.col("_from")).alias("_rank")
     )
+    # written out: with their size known, both small tables are broadcast and the rows stay where they are
+    placed = stage(placed, "placed")
     # only the rows of those buckets are ranked
     near = spread.select(*by, "perm", bucket.alias("_bucket"), F.struct("_h", key).alias("_at"))
     wr = Window.partitionBy(*by, "perm", "_label").orderBy("_at")
@@ -119,6 +123,7 @@ def permuted_labels(df: DataFrame, key: str, label: str, by: Sequence[str], perm
         .groupBy(*by, "perm")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "_label"))).alias("_cuts"))
     )
+    cuts = stage(cuts, "cuts")
     here = F.struct("_h", key)
     mine = F.filter("_cuts", lambda c: c["_at"] >= here)[0]["_label"]
     # cuts: one row per permutation and group, each holding one entry per label

@@ -418,43 +418,45 @@ def fill_linear(spark, folder):
 
 
 def _long_sensor(spark, folder):
-    """Raw readings of every station, cut into days: a station may hold any share of all rows."""
-    return r.sensor(spark, folder).withColumn("day", F.to_date("ts"))
+    """Raw readings of every station, cut into chunks: a station may hold any share of all rows."""
+    return ordered.with_chunks(r.sensor(spark, folder), ["ts", "event_id"])
+
+
+LONG = (["station"], ["ts", "event_id"])
 
 
 @query
 def row_number_long(spark, folder):
-    out = ordered.row_numbers(_long_sensor(spark, folder), ["station"], ["ts", "event_id"], "n", chunk="day")
-    return out.select("event_id", "station", "n")
+    return ordered.row_numbers(_long_sensor(spark, folder), *LONG, "n", chunk="_chunk").select("event_id", "station", "n")
 
 
 @query
 def cumsum_strict_long(spark, folder):
     """Running sum of whole hundredths, which is exact whatever the order of partial sums."""
     cents = r.table(spark, folder, "events").select(
-        "event_id", "ts", F.col("event_type").alias("station"), F.to_date("ts").alias("day"), F.round(F.col("value") * 100).cast("long").alias("v")
+        "event_id", "ts", F.col("event_type").alias("station"), F.round(F.col("value") * 100).cast("long").alias("v")
     )
-    out = ordered.running_sum(cents, ["station"], ["ts", "event_id"], "v", "v_cum", chunk="day")
+    out = ordered.running_sum(ordered.with_chunks(cents, LONG[1]), *LONG, "v", "v_cum", chunk="_chunk")
     return out.select("event_id", "station", "v_cum")
 
 
 @query
 def rolling_mean_long(spark, folder):
-    out = ordered.rolling(_long_sensor(spark, folder), ["station"], ["ts", "event_id"], "airtemp_c", 3, "mean3", "mean", chunk="day")
+    out = ordered.rolling(_long_sensor(spark, folder), *LONG, "airtemp_c", 3, "mean3", "mean", chunk="_chunk")
     return out.select("event_id", "station", "mean3")
 
 
 @query
 def fill_locf_long(spark, folder):
-    out = fills.carry_forward(_long_sensor(spark, folder), ["station"], ["ts", "event_id"], ["airtemp_c"], 2, chunk="day")
+    out = fills.carry_forward(_long_sensor(spark, folder), *LONG, ["airtemp_c"], 2, chunk="_chunk")
     return out.select("event_id", "station", "airtemp_c")
 
 
 @query
 def fill_linear_long(spark, folder):
-    """Interpolation in time between readings; the order is the reading's time in microseconds."""
-    at = _long_sensor(spark, folder).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    out = fills.interpolate(at, ["station"], "t", "airtemp_c", 10, F.col("t").cast("double"), chunk="day")
+    """Interpolation in time between readings."""
+    readings = _long_sensor(spark, folder)
+    out = fills.interpolate(readings, *LONG, "airtemp_c", 10, position(readings, "ts"), chunk="_chunk")
     return out.select("event_id", "station", "airtemp_c")
 
 

@@ -42,7 +42,7 @@ def snow_depth(raw: DataFrame, max_gap: int = 15) -> DataFrame:
     """
     metres = raw.select("date", (F.col("snow_dep") * INCH_M).alias("snow_dep_m")).where(F.col("date").isNotNull())
     one = metres.withColumn("station", F.lit("stake"))
-    return fills.interpolate(one, ["station"], "date", "snow_dep_m", max_gap, position(F.col("date"))).drop("station")
+    return fills.interpolate(one, ["station"], ["date"], "snow_dep_m", max_gap, position(one, "date")).drop("station")
 
 
 def weather(airport: DataFrame, rain: DataFrame, spare: DataFrame) -> DataFrame:

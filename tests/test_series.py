@@ -126,7 +126,7 @@ def test_carry_forward(frame, pieces, gap):
 @pytest.mark.parametrize("pieces", PIECES)
 @pytest.mark.parametrize("gap", [2, 10, 15])
 def test_interpolate(frame, pieces, gap):
-    out = fills.interpolate(frame, ["s"], "t", "v", gap, F.col("t").cast("double"), "out", **pieces)
+    out = fills.interpolate(frame, ["s"], ["t"], "v", gap, F.col("t").cast("double"), "out", **pieces)
     check(out, lambda p: loop_interpolate(p, gap))
 
 
@@ -181,5 +181,35 @@ def test_irregular_dates(spark):
     known = {0: 1.0, 1: 2.0, 4: 8.0, 10: 2.0}
     days = [(dt.date(2001, 1, 1) + dt.timedelta(d), known.get(d)) for d in (0, 1, 3, 4, 6, 9, 10)]
     df = spark.createDataFrame([("x", d, v) for d, v in days], "s string, date date, v double")
-    got = fills.interpolate(df, ["s"], "date", "v", 10, F.unix_date("date").cast("double")).orderBy("date").collect()
+    got = fills.interpolate(df, ["s"], ["date"], "v", 10, F.unix_date("date").cast("double")).orderBy("date").collect()
     assert [r["v"] for r in got] == pytest.approx([1, 2, 6, 8, 6, 3, 2])
+
+
+@pytest.mark.parametrize("rows", [1, 40, 10_000])
+def test_chunks_follow_the_order_and_split_hot_instants(spark, monkeypatch, rows):
+    """A third of all rows at one instant and missing times, cut into chunks of any size."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
+    rnd = random.Random(4)
+    data = [(i, 500 if i % 3 == 0 else (None if i % 50 == 1 else rnd.randint(0, 1000)), 1) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, t long, v long").repartition(4)
+    chunked = ordered.with_chunks(df, ["t", "id"])
+    got = ordered.row_numbers(chunked, [], ["t", "id"], "n", "_chunk").orderBy("n").collect()
+    assert [(r["t"], r["id"]) for r in got] == sorted(((t, i) for i, t, _ in data), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+    assert [r["n"] for r in got] == list(range(1, 3001))
+    sums = ordered.running_sum(chunked, [], ["t", "id"], "v", "s", "_chunk").orderBy("t", "id").collect()
+    assert [r["s"] for r in sums] == list(range(1, 3001))
+    if rows == 40:
+        assert max(chunked.groupBy("_chunk").count().toPandas()["count"]) < 200
+
+
+def test_time_positions_do_not_depend_on_the_session_zone(spark):
+    from freshet.functions.calendar import position
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.000001' AS t UNION ALL SELECT timestamp_ntz'2024-03-10 03:10:00'")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in df.select(position(df, "t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(got) == [1710037800000001.0, 1710040200000000.0]
