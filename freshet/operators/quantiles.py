@@ -30,8 +30,7 @@ def _ranked_bracket(df: DataFrame, group: Sequence[str], value: str, shares: Seq
     rows = df.select(*group, F.col(value).alias("_v"))
     sketch = rows.groupBy(*group).agg(
         F.count("_v").alias("_n"),
-        F.percentile_approx("_v", low, ACCURACY).alias("_low"),
-        F.percentile_approx("_v", high, ACCURACY).alias("_high"),
+        F.percentile_approx("_v", [*low, *high], ACCURACY).alias("_marks"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
@@ -41,8 +40,8 @@ def _ranked_bracket(df: DataFrame, group: Sequence[str], value: str, shares: Seq
         *[
             F.struct(
                 F.lit(i).alias("which"),
-                F.when(few | F.lit(lo <= 0.0), F.col("_min")).otherwise(F.col("_low")[i]).alias("low"),
-                F.when(few | F.lit(hi >= 1.0), F.col("_max")).otherwise(F.col("_high")[i]).alias("high"),
+                F.when(few | F.lit(lo <= 0.0), F.col("_min")).otherwise(F.col("_marks")[i]).alias("low"),
+                F.when(few | F.lit(hi >= 1.0), F.col("_max")).otherwise(F.col("_marks")[len(shares) + i]).alias("high"),
             )
             for i, (lo, hi) in enumerate(zip(low, high))
         ]

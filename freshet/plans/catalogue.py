@@ -1013,14 +1013,14 @@ def figure_snow_curves(spark, folder):
 def _event_stream(spark, folder):
     schema = r.table(spark, folder, "events").schema
     stream = rollups.read_stream(spark, folder, schema, "events.parquet", "ts")
-    value = F.when(F.minute("ts") != 30, F.col("value"))
+    minute = F.floor(F.unix_micros("ts") / 60_000_000) % 60
+    value = F.when(minute != 30, F.col("value"))
     return stream.select("ts", F.col("event_type").alias("station"), value.alias("airtemp_c"))
 
 
 @query
 def stream_hourly_mean(spark, folder):
-    out = rollups.hourly_mean(_event_stream(spark, folder), "ts", "station", ["airtemp_c"])
-    return out.withColumn("time_hourly", F.col("time_hourly").cast("timestamp_ntz"))
+    return rollups.hourly_mean(_event_stream(spark, folder), "ts", "station", ["airtemp_c"])
 
 
 @query

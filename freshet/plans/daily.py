@@ -11,7 +11,7 @@ from freshet.operators.joins import full_chain, join_months
 from freshet.operators.ordered import percent_of_total, rolling, row_numbers, running_sum
 from freshet.operators.reshape import bind_rows
 from freshet.sources import readings
-from freshet.sources.stages import stage, stage_once
+from freshet.sources.stages import stage, stage_all, stage_once
 
 INCH_M = 0.0254
 
@@ -139,16 +139,21 @@ def compile_daily(spark: SparkSession, folder: str) -> DataFrame:
     site-day table meets them in one join.
     """
     r = readings
-    runoff = stage(r.runoff(spark, folder), "runoff")
-    days = stage(logger_days(r.logger(spark, folder)), "logger")
-    met = stage(
-        weather(r.airport(spark, folder), r.precipitation(spark, folder), r.precipitation_spare(spark, folder)), "met"
+    met = weather(r.airport(spark, folder), r.precipitation(spark, folder), r.precipitation_spare(spark, folder))
+    runoff, days, met, snow, use = stage_all(
+        {
+            "runoff": r.runoff(spark, folder),
+            "logger": logger_days(r.logger(spark, folder)),
+            "met": met,
+            "snow": snow_depth(r.snow(spark, folder)),
+            "use": monthly_use(r.withdrawals(spark, folder)),
+        }
     )
     per_day = stage(
         full_chain(
             [
                 met,
-                snow_depth(r.snow(spark, folder)),
+                snow,
                 logger_temperature(days, met, r.OUTAGE),
                 logger_radiation(days, r.OUTAGE),
             ],
@@ -157,7 +162,7 @@ def compile_daily(spark: SparkSession, folder: str) -> DataFrame:
         "weather",
     )
     water = water_balance(station_runoff(runoff), per_day)
-    used = use_per_day(water, monthly_use(r.withdrawals(spark, folder)), month_lengths(runoff, per_day))
+    used = use_per_day(water, use, month_lengths(runoff, per_day))
     return used.where(F.col("date") <= F.lit(r.END_OF_RECORD).cast("date")).select(*COLUMNS)
 
 

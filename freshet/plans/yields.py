@@ -16,6 +16,7 @@ from freshet.operators.reshape import bind_rows, to_wide
 from freshet.plans.daily import compiled
 from freshet.plans.springs import SITE, four_clusters, in_window
 from freshet.sources.readings import SITES
+from freshet.sources.stages import stage
 
 COLD, WARM = 1, (2, 4)  # clusters of cold days and of warm days
 PLAIN_YEARS = (1998,)  # years whose transition is read from the raw clusters, not their running mode
@@ -156,36 +157,46 @@ def snow_and_yield(daily: DataFrame, days: DataFrame) -> DataFrame:
 def regressions(spark: SparkSession, folder: str) -> DataFrame:
     """The explanatory regressions of yield difference, one row per model."""
     daily, days = compiled(spark, folder), four_clusters(spark, folder)
-    y = yield_differences(daily)
+    y = stage(yield_differences(daily), "yields")
     join = lambda t: t.join(y, "wyear", "full")
-    whole = join(all_counts_wide(days))
-    rain = join(one_site(days).groupBy("wyear").agg(strict_sum("precip_mm").alias("precip_mm_sub")))
-    ratio = join(period_ratio(days))
-    # years without a warm period take part with zero days
-    warm = join(warm_counts_wide(days)).fillna(0)
-    warm_rain = join(warm_period(days).groupBy("wyear").agg(strict_sum("precip_mm").alias("precip_mm_warm")))
-    cold_rain = join(rain_after_last_cold(days))
-    melt = cold_rain.join(difference_after_last_cold(days), "wyear", "full")
     a, b = "WBminusRB_abs_spr", "WBminusRB_abs_end"
-    without = lambda t: t.where(F.col("wyear") != 1998)
-    models = [
-        ("spr_by_wet_days", whole, a, "n_cl_all_4"),
-        ("spr_share_by_wet_days", whole, "WBminusRB_per_spr", "n_cl_all_4"),
-        ("spr_by_wet_or_mild_days", whole, a, "n_cl_all_3and4"),
-        ("spr_by_spring_rain", rain, a, "precip_mm_sub"),
-        ("spr_by_warm_ratio", ratio, a, "prop_warm2cold"),
-        ("end_by_warm_ratio", ratio, b, "prop_warm2cold"),
-        ("spr_by_warm_wet_days", warm, a, "n_cl_warm_4"),
-        ("end_by_warm_wet_days", warm, b, "n_cl_warm_4"),
-        ("spr_by_warm_rain", warm_rain, a, "precip_mm_warm"),
-        ("end_by_warm_rain", warm_rain, b, "precip_mm_warm"),
-        ("spr_by_late_rain", cold_rain, a, "precip_mm_lastcold"),
-        ("spr_by_late_rain_without_1998", without(cold_rain), a, "precip_mm_lastcold"),
-        ("end_by_late_rain", cold_rain, b, "precip_mm_lastcold"),
-        ("melt_by_late_rain_without_1998", without(melt), "WBminusRB_abs_lastcold", "precip_mm_lastcold"),
+    late = join(rain_after_last_cold(days)).join(difference_after_last_cold(days), "wyear", "full")
+    others = lambda c: F.when(F.col("wyear") != 1998, F.col(c))  # one extreme year left out of a fit
+    total = lambda t, name: t.groupBy("wyear").agg(strict_sum("precip_mm").alias(name))
+    # per table the models fitted on it: name, response, predictor
+    tables = [
+        (
+            join(all_counts_wide(days)),
+            [
+                ("spr_by_wet_days", a, "n_cl_all_4"),
+                ("spr_share_by_wet_days", "WBminusRB_per_spr", "n_cl_all_4"),
+                ("spr_by_wet_or_mild_days", a, "n_cl_all_3and4"),
+            ],
+        ),
+        (join(total(one_site(days), "precip_mm_sub")), [("spr_by_spring_rain", a, "precip_mm_sub")]),
+        (join(period_ratio(days)), [("spr_by_warm_ratio", a, "prop_warm2cold"), ("end_by_warm_ratio", b, "prop_warm2cold")]),
+        (
+            # years without a warm period take part with zero days
+            join(warm_counts_wide(days)).fillna(0),
+            [("spr_by_warm_wet_days", a, "n_cl_warm_4"), ("end_by_warm_wet_days", b, "n_cl_warm_4")],
+        ),
+        (
+            join(total(warm_period(days), "precip_mm_warm")),
+            [("spr_by_warm_rain", a, "precip_mm_warm"), ("end_by_warm_rain", b, "precip_mm_warm")],
+        ),
+        (
+            late,
+            [
+                ("spr_by_late_rain", a, "precip_mm_lastcold"),
+                ("spr_by_late_rain_without_1998", others(a), "precip_mm_lastcold"),
+                ("end_by_late_rain", b, "precip_mm_lastcold"),
+                ("melt_by_late_rain_without_1998", others("WBminusRB_abs_lastcold"), "precip_mm_lastcold"),
+            ],
+        ),
     ]
-    rows = [
-        t.select(F.lit(m).alias("model"), F.col(yc).cast("double").alias("y"), F.col(xc).cast("double").alias("x"))
-        for m, t, yc, xc in models
+    double = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    pairs_ = [
+        t.select(F.inline(F.array(*[F.struct(F.lit(m).alias("model"), double(yc).alias("y"), double(xc).alias("x")) for m, yc, xc in fits])))
+        for t, fits in tables
     ]
-    return linear_fit(bind_rows(*rows), "y", "x", ["model"])
+    return linear_fit(bind_rows(*pairs_), "y", "x", ["model"])

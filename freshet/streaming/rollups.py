@@ -9,19 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from freshet.functions.calendar import position
 from freshet.functions.nulls import strict_sum
 from freshet.session import shared_dir
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, files: str, time: str, per_trigger: int | None = None) -> DataFrame:
-    """A folder of parquet files as a stream, with an event-time column a watermark accepts."""
+    """A folder of parquet files as a stream, with an event-time column a watermark accepts.
+
+    A time without zone is read as UTC, so hours and days are those of the readings
+    whatever the session's time zone.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
+    stream = reader.parquet(folder)
+    return stream.withColumn(time, F.timestamp_micros(position(stream, time).cast("long")))
+
+
+def wall_time(instant: Column) -> Column:
+    """The time without zone that read_stream turned into this instant."""
+    seconds = (F.unix_micros(instant) / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def drain(frame: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -52,7 +64,7 @@ def hourly_mean(stream: DataFrame, time: str, station: str, values: Sequence[str
         stream.withWatermark(time, lateness)
         .groupBy(F.window(time, "1 hour"), station)
         .agg(*[F.avg(v).alias(v) for v in values])
-        .select(F.col("window.start").alias("time_hourly"), station, *values)
+        .select(wall_time(F.col("window.start")).alias("time_hourly"), station, *values)
     )
     return drain(out, ["time_hourly", station], "hourly")
 
@@ -63,6 +75,6 @@ def daily_total(stream: DataFrame, time: str, station: str, value: str, name: st
         stream.withWatermark(time, lateness)
         .groupBy(F.window(time, "1 day"), station)
         .agg(strict_sum(value).alias(name))
-        .select(F.to_date("window.start").alias("date"), station, name)
+        .select(F.to_date(wall_time(F.col("window.start"))).alias("date"), station, name)
     )
     return drain(out, ["date", station], "daily")
