@@ -66,7 +66,8 @@ def _place(df: DataFrame, position: Column, marks: Sequence[float], name: str) -
     split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_p", outputCol="_b", handleInvalid="keep").transform(at)
     # bucket b starts at mark b; missing values, the extra last bucket, sort first as Spark does
     bucket = F.col("_b").cast("int")
-    is_mark = F.col("_p") == F.element_at(F.array(*[F.lit(c) for c in cuts]), F.greatest(bucket, F.lit(1)))
+    table = F.expr("array(" + ", ".join(f"{float(c)!r}D" for c in cuts) + ")")
+    is_mark = F.col("_p") == F.element_at(table, F.least(F.greatest(bucket, F.lit(1)), F.lit(len(cuts))))
     number = F.when(is_mark & (bucket > 0), 2 * bucket - 1).otherwise(2 * bucket)
     return split.withColumn(name, F.when(F.col("_p").isNull(), -1).otherwise(number)).drop("_p", "_b")
 

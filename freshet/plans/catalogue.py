@@ -31,7 +31,8 @@ def query(fn: Query) -> Query:
         return out.withColumns({c: F.round(c, DIGITS) for c in doubles}) if doubles else out
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-    QUERIES[fn.__name__] = run
+    # a trailing underscore keeps a query apart from the function it shows
+    QUERIES[fn.__name__.rstrip("_")] = run
     return fn
 
 
@@ -230,6 +231,12 @@ def complete_cases(spark, folder):
     return springs.features(spark, folder)
 
 
+@query
+def complete_cases_late_window(spark, folder):
+    """The drivers of the narrower window that starts ten days later."""
+    return springs.features(spark, folder, (180, 245))
+
+
 @query
 def missing_audit(spark, folder):
     """Spring rows in which any driver or response is missing."""
@@ -597,7 +604,7 @@ def date_parts(spark, folder):
 
 
 @query
-def water_year_calendar(spark, folder):
+def water_year_(spark, folder):
     d = F.to_date("o_orderdate")
     dated = r.table(spark, folder, "orders").select("o_orderkey", water_year(d).alias("wyear"), F.month(d).alias("month"))
     return dated.withColumn("year", calendar.calendar_year(F.col("wyear"), F.col("month")))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_local_roots: dict[str, str] = {}
+
+
 def local_session(cpus: int = 8, app: str = "freshet", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -33,10 +36,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     Only a local session may fall back to a temporary folder: executors on
     other machines could not read it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="freshet-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark)
     return f"{root.rstrip('/')}/freshet-{label}-{uuid.uuid4().hex}"
+
+
+def _own_root(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="freshet-")
+    return _local_roots[app]

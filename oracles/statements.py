@@ -60,6 +60,12 @@ add(
 )
 add("filter_datepart", "SELECT * FROM v_runoff WHERE month(date) = 3 AND day(date) > 15")
 add("complete_cases", "SELECT * FROM v_features", F6)
+add(
+    "complete_cases_late_window",
+    f"""SELECT date, {', '.join(FEATURES)} FROM v_daily
+        WHERE doy_wyear BETWEEN 180 AND 245 AND site = 'WB' AND {' AND '.join(f + ' IS NOT NULL' for f in FEATURES)}""",
+    F6,
+)
 AUDIT = "site date precip_mm precip_mm_cum precip_mm_3d snow_dep_m temp_avg_vwc temp_avg_vwc_3d pyra_wattm2_dailyTot use_total_mm_cum use_snow_mm_daily use_total_mm_daily".split()
 add(
     "missing_audit",
@@ -276,7 +282,7 @@ add(
        FROM events""",
 )
 add(
-    "water_year_calendar",
+    "water_year",
     f"""SELECT o_orderkey, {WY} AS wyear, CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year
         FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders)""",
 )
