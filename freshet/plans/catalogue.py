@@ -655,8 +655,6 @@ def _wide_runoff(spark, folder):
     days = wy(r.runoff(spark, folder))
     label = F.concat_ws("-", F.dayofmonth("date"), F.date_format("date", "MMM"))
     named = days.select(label.alias("date"), F.concat_ws(" ", "site", F.concat(F.lit("WY"), F.right(F.col("wyear").cast("string"), F.lit(2)))).alias("id"), "q_mm")
-    # a plain column before the pivot: Spark's generated code for many conditions on a computed one does not compile
-    named = named.groupBy("date", "id").agg(F.max("q_mm").alias("q_mm"))
     series = [f"{s} WY{y}" for s in r.SITES for y in (95, 96, 97, 98, 99)]
     return reshape.to_wide(named, ["date"], "id", series, ["q_mm"], "{level}"), series
 
