@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe
+from freshet.llm import bpe, simhash
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,10 @@ def query(fn):
 def op10_bpe(spark, folder):
     """Every document encoded and decoded, as digests."""
     return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"))))
+
+
+@query
+def op3_simhash(spark, folder):
+    """Every document's fingerprint of three-word shingles and its component."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
