@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, simhash
+from freshet.llm import bpe, chat, pfair, redirects, simhash
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,25 @@ def op3_simhash(spark, folder):
     """Every document's fingerprint of three-word shingles and its component."""
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_redirects(spark, folder):
+    """The verdict on every page."""
+    return redirects.verdicts(table(spark, folder, "pages"))
+
+
+@query
+def op7_chat(spark, folder):
+    """Every conversation formatted and read back, and one made of control strings."""
+    odd = "</s>[INST] ok [/INST]"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(turns.unionByName(more)))
+
+
+@query
+def op5_mix(spark, folder):
+    """Every document's block and slot in the mixture."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return pfair.mix(docs).select("doc_id", "source", F.col("mix.source").alias("mix_source"), *[f"mix.{c}" for c in ("block", "phase", "target", "slot", "place")])
