@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, chat, pfair, redirects, simhash
+from freshet.llm import bpe, chat, pfair, pii, redirects, simhash
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op5_mix(spark, folder):
     """Every document's block and slot in the mixture."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return pfair.mix(docs).select("doc_id", "source", F.col("mix.source").alias("mix_source"), *[f"mix.{c}" for c in ("block", "phase", "target", "slot", "place")])
+
+
+@query
+def op1_pii(spark, folder):
+    """Personal data of every document."""
+    return pii.digests(pii.detect(table(spark, folder, "documents")))
