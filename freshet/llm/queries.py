@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, chat, pfair, pii, redirects, simhash
+from freshet.llm import bpe, chat, forest, pfair, pii, redirects, simhash
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op5_mix(spark, folder):
 def op1_pii(spark, folder):
     """Personal data of every document."""
     return pii.digests(pii.detect(table(spark, folder, "documents")))
+
+
+@query
+def op8_forest(spark, folder):
+    """Every vector's links and component."""
+    return forest.near_duplicates(table(spark, folder, "embeddings"))
