@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, chat, forest, pfair, pii, redirects, simhash
+from freshet.llm import bpe, chat, forest, pfair, pii, redirects, simhash, weighted
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op1_pii(spark, folder):
 def op8_forest(spark, folder):
     """Every vector's links and component."""
     return forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_weighted(spark, folder):
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return weighted.compared(table(spark, folder, "documents"))
