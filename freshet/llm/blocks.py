@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_BYTES = 32 << 20
+from freshet.llm.common import give_back
+
+BLOCK_BYTES = 8 << 20
 SCHEMA = "block long, doc_id array<long>, n_words array<int>, codes binary, words binary"
 FIELDS = pa.schema(
     [
@@ -93,6 +95,8 @@ def code_blocks(docs: DataFrame, split: Callable[[str], list[str]], block_bytes:
         if ids:
             block += 1
             yield out()
+        number.clear()
+        give_back()
 
     made = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
     # one exchange, which all that reads the blocks uses again

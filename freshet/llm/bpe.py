@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split at white space; no merge, special token or normalisation of the tokenizer crosses
-it. Blocks of documents (see ``blocks``) give (block, word) pairs; these are dealt out by word, so
-each distinct word is encoded once in the whole job, and its ids go back to the blocks, where they
-are put together by position. Decoding replaces ids by pieces through the id-to-piece table, whose
+it. Blocks of documents (see ``blocks``) give their distinct words; these are dealt out by a hash of
+the word, so each distinct word is encoded once in the whole job, and its ids go back to the blocks,
+where they are put together by position. The number of word buckets follows
+``spark.sql.shuffle.partitions``. Decoding replaces ids by pieces through the id-to-piece table, whose
 size is the vocabulary's.
 
 Null or blank texts give no ids and the empty text. Repeated rows are encoded each. A text of any
@@ -13,38 +14,50 @@ length is one document of a block; the ids of a block are bounded by its text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.llm.blocks import code_blocks, unpack_words, widen
-from freshet.llm.common import texts, tokenizer_json
+from freshet.llm.blocks import code_blocks, pack_words, unpack_words, widen
+from freshet.llm.common import give_back, texts, tokenizer_json
 
 # fixed value: the characters of Unicode property White_Space
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile(f"[^{SPACE}]+")
 
-PAIRS = pa.schema([("word", pa.large_string()), ("block", pa.int64()), ("number", pa.int32())])
+PARTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("number", pa.large_binary()), ("words", pa.large_binary())])
 IDS = pa.schema([("block", pa.int64()), ("number", pa.large_binary()), ("size", pa.large_binary()), ("ids", pa.large_binary())])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block, number) of each block's distinct words."""
-    for batch in batches:
-        for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
-            words = unpack_words(packed)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                numbers = pa.array(np.arange(at, at + len(part), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.large_string()), pa.array([block] * len(part), pa.int64()), numbers], schema=PAIRS)
+OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def _parts(buckets: int):
+    """A block's distinct words, cut into buckets by a hash of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+                words = unpack_words(packed)
+                cut = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int32, len(words))
+                order = np.argsort(cut, kind="stable").astype(np.uint32)
+                found, starts = np.unique(cut[order], return_index=True)
+                runs = np.split(order, starts[1:]) if len(words) else []
+                numbers = [pack(np.diff(r, prepend=np.uint32(0)).astype(np.uint32).tobytes()) for r in runs]
+                held = [pack_words(map(words.__getitem__, r.tolist())) for r in runs]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int32()), pa.array([block] * len(runs), pa.int64()), pa.array(numbers, pa.large_binary()), pa.array(held, pa.large_binary())],
+                    schema=PARTS,
+                )
+
+    return run
 
 
 def _encode_words(tokenizer: str):
-    """Rows sorted by word -> per block and batch, word numbers with their ids."""
+    """Rows sorted by bucket -> ids of the words of each row; a bucket's words are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -52,32 +65,20 @@ def _encode_words(tokenizer: str):
         bpe = Tokenizer.from_str(tokenizer)
         bpe.no_truncation()
         bpe.no_padding()
-        last, last_ids = None, None
+        bucket, known = None, {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            if not words:
-                continue
-            # sorted rows: equal words are neighbours, also across batches
-            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            known = [last_ids] if last is not None and words[0] == last else []
-            known += [e.ids for e in bpe.encode_batch(fresh, add_special_tokens=False)]
-            new = np.fromiter((i == 0 or words[i] != words[i - 1] for i in range(len(words))), bool, len(words))
-            which = np.cumsum(new) - 1
-            last, last_ids = words[-1], known[-1]
-            sizes = np.fromiter(map(len, known), np.uint32, len(known))
-            flat = np.fromiter((x for ids in known for x in ids), np.uint32, int(sizes.sum()))
-            starts = np.cumsum(sizes) - sizes
-            blocks, numbers = batch.column("block").to_numpy(), batch.column("number").to_numpy().astype(np.uint32)
-            rows = []
-            for block in np.unique(blocks):
-                own = np.flatnonzero(blocks == block)
-                own = own[np.argsort(numbers[own], kind="stable")]
-                got = which[own]
-                gaps = np.diff(numbers[own], prepend=np.uint32(0)).astype(np.uint32)
-                rows.append((int(block), gaps.tobytes(), sizes[got].tobytes(), gather(flat, starts, sizes, got).tobytes()))
-            cols = list(zip(*rows))
-            packed = [[pack(v) for v in c] for c in cols[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.large_binary()) for c in packed)], schema=IDS)
+            for own, block, number, packed in zip(*(batch.column(c).to_pylist() for c in PARTS.names)):
+                if own != bucket:
+                    bucket, known = own, {}
+                words = unpack_words(packed)
+                fresh = [w for w in words if w not in known]
+                for w, e in zip(fresh, bpe.encode_batch(fresh, add_special_tokens=False)):
+                    known[w] = np.array(e.ids, np.uint32)
+                ids = list(map(known.__getitem__, words))
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+                row = [[block], [number], [pack(sizes.tobytes())], [pack(np.concatenate(ids).tobytes())]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, IDS)], schema=IDS)
+        give_back()
 
     return run
 
@@ -105,16 +106,16 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.nd
     return flat[at]
 
 
-def _put_together(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
     """The documents of one block with the ids of their words, by position."""
-    if not len(left):
-        return pd.DataFrame({"doc_id": [], "ids": []})
-    row = left.iloc[0]
-    codes = widen(row.codes)
+    if not left.num_rows:
+        return pa.Table.from_pylist([], schema=OUT)
+    row = {c: left.column(c)[0].as_py() for c in ("doc_id", "n_words", "codes")}
+    codes = widen(row["codes"])
     total = int(codes.max()) + 1 if len(codes) else 0
     sizes = np.zeros(total, np.uint32)
     parts = []
-    for number, size, ids in zip(right.number, right["size"], right.ids):
+    for number, size, ids in zip(*(right.column(c).to_pylist() for c in ("number", "size", "ids"))):
         numbers, own = np.cumsum(unpack(number)).astype(np.int64), unpack(size)
         sizes[numbers] = own
         parts.append((numbers, own, unpack(ids)))
@@ -123,21 +124,25 @@ def _put_together(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     for numbers, own, ids in parts:
         ends = np.cumsum(own, dtype=np.int64)
         flat[np.repeat(starts[numbers] - (ends - own), own) + np.arange(len(ids))] = ids
-    out, at = [], 0
-    for n in row.n_words:
+    out, at = [np.zeros(0, np.int32)], 0
+    for n in row["n_words"]:
         out.append(gather(flat, starts, sizes, codes[at : at + n].astype(np.int64)))
         at += n
-    return pd.DataFrame({"doc_id": pd.array(row.doc_id, dtype="Int64") if any(d is None or d != d for d in row.doc_id) else row.doc_id, "ids": out})
+    offsets = np.cumsum([len(x) for x in out]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+    give_back()
+    return pa.table([pa.array(row["doc_id"], pa.int64()), ids], schema=OUT)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every text, as the tokenizer gives them without special tokens."""
     source = tokenizer or tokenizer_json()
     blocks = code_blocks(texts(docs), WORD.findall)
-    pairs = blocks.mapInArrow(_pairs, "word string, block long, number int")
-    by_word = pairs.repartition("word").sortWithinPartitions("word")
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = blocks.mapInArrow(_parts(buckets), "bucket int, block long, number binary, words binary")
+    by_word = parts.repartition("bucket").sortWithinPartitions("bucket")
     back = by_word.mapInArrow(_encode_words(source), "block long, number binary, size binary, ids binary")
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_put_together, "doc_id long, ids array<int>")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -154,21 +159,11 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         pieces[number] = piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(pieces, pa.large_string())
-        space = pa.scalar(" ", pa.large_string())
         for batch in batches:
-            ids = batch.column("ids")
-            n = len(known)
-            flat = ids.flatten()
-            valid = np.asarray((flat.to_numpy(zero_copy_only=False) >= 0) & (flat.to_numpy(zero_copy_only=False) < n))
-            taken = known.take(pa.array(np.where(valid, flat.to_numpy(zero_copy_only=False), 0), mask=~valid)) if len(flat) else known.slice(0, 0)
-            sizes = np.asarray(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            out, at = [], 0
-            for size in sizes:
-                part = taken.slice(at, size)
-                at += size
-                out.append(pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(p := part.drop_null())], pa.int64()), p), space)[0].as_py() if size else "")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [" ".join(p for i in ids or [] if i is not None and 0 <= i < len(pieces) and (p := pieces[i]) is not None) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

@@ -50,3 +50,17 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
         folder = os.path.dirname(public_tokenizers.path(name))
     with open(os.path.join(folder, name), encoding="utf-8") as file:
         return file.read()
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system; workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
