@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.llm.common import give_back, texts
 
-SAMPLES = 128
+SAMPLES = 64
 SEED = 11
 LIGHT, HEAVY = 80_000, 15_000  # words whose numbers a task keeps at a time
 # fixed values: the white space that parts words, ASCII only
