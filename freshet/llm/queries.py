@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, chat, forest, pfair, pii, redirects, simhash, weighted
+from freshet.llm import attention, bpe, chat, forest, pfair, pii, redirects, simhash, weighted
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,10 @@ def op8_forest(spark, folder):
 def op6_weighted(spark, folder):
     """Fingerprints of every document and of its edited text, and their likeness."""
     return weighted.compared(table(spark, folder, "documents"))
+
+
+@query
+def op4_attention(spark, folder):
+    """Every document's quality score."""
+    docs = table(spark, folder, "documents")
+    return attention.score(docs, attention.train(docs, table(spark, folder, "labels")))
