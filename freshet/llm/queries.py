@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import attention, bpe, chat, forest, pfair, pii, redirects, simhash, weighted
+from freshet.llm import attention, bpe, chat, forest, mixing, pfair, pii, redirects, simhash, weighted
 from freshet.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op4_attention(spark, folder):
     """Every document's quality score."""
     docs = table(spark, folder, "documents")
     return attention.score(docs, attention.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op2_mixing(spark, folder):
+    """Every document's log probability under word counts and under the mixed model."""
+    return mixing.scores(table(spark, folder, "documents"))
