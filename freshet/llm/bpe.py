@@ -168,12 +168,13 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """One row per document: number of ids, digest of the ids and of the decoded text."""
+def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """One row per document: number of ids, digest of the ids and of the decoded text; the ids if asked for."""
     written = F.translate(F.col("ids").cast("string"), "[],", "")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(written, 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )
