@@ -16,15 +16,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from freshet.llm.common import discard, keep
 from freshet.llm.components import components
 
-TREES = 10
-LEAF = 128
+TREES = 8
+LEAF = 512
 SPILL = 0.015
 SAMPLE = 20_000
 ENOUGH = 16
@@ -83,21 +82,39 @@ class Forest:
         return out
 
 
+def _vec(vectors: DataFrame) -> Column:
+    """The vector column; single precision stays so until it is compared."""
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col("embedding").cast("array<float>" if single else "array<double>")
+
+
 def classes(vectors: DataFrame) -> DataFrame:
     """Distinct usable vectors (vec, node, n): not null, not zero, of finite components only."""
-    vec = F.col("embedding").cast("array<double>")
+    vec = _vec(vectors)
     usable = F.col("embedding").isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = usable & F.exists(vec, lambda x: F.coalesce(x, F.lit(0.0)) != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), vec).alias("vec"))
     return rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
 
 
-def unit(column) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def unit(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Lists of numbers as unit rows in double precision, shorter ones padded with zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(lists):
+        return np.zeros((0, width))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = np.zeros((len(sizes), width))
+    m[np.arange(width)[None, :] < sizes[:, None]] = flat
+    return unit(m)
+
+
 def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what the link matrix connects, one per member and parent."""
     todo, edges = np.ones(len(near), bool), []
@@ -114,46 +131,56 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def compare(least: float):
+FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+
+def _met_before(places: pa.Array, rows: np.ndarray, here: int) -> np.ndarray:
+    """Whether two of the rows share a leaf that comes before this one."""
+    sizes = places.value_lengths().to_numpy(zero_copy_only=False)
+    flat = places.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.full(len(sizes), -1)
+    order[rows] = np.arange(len(rows))
+    used = (order[owner] >= 0) & (flat < here)
+    leaves, which = np.unique(flat[used], return_inverse=True)
+    member = np.zeros((len(rows), max(1, len(leaves))), np.float32)
+    member[order[owner[used]], which] = 1
+    return member @ member.T > 0
+
+
+def compare(least: float, width: int):
     """One pair of blocks of one leaf -> links counted here per class, and spanning edges."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, _, low, high = key
-        pdf = pdf.reset_index(drop=True)
-        vectors, part = unit(pdf.vec), pdf.part.to_numpy()
+    def run(key, group):
+        tree, spot, low, high = (k.as_py() for k in key)
+        vectors, part = matrix(group.column("vec"), width), group.column("part").to_numpy()
         a = np.flatnonzero(part == low)
         b = a if low == high else np.flatnonzero(part == high)
-        near = np.zeros((len(pdf), len(pdf)), bool)
-        near[np.ix_(a, b)] = vectors[a] @ vectors[b].T >= least
-        near |= near.T
-        np.fill_diagonal(near, False)
-        if not near.any():
-            return pd.DataFrame({"node": [], "links": [], "other": []})
+        near = vectors[a] @ vectors[b].T >= least
+        if low == high:
+            np.fill_diagonal(near, False)
         i, j = np.nonzero(near)
+        if not len(i):
+            return pa.table([[], [], []], schema=FOUND)
+        i, j = a[i], b[j]
+        if low != high:
+            i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        rows, place = np.unique(i, return_inverse=True)
+        other = np.searchsorted(rows, j)
         # a pair counts in the first tree and the first leaf of it that its vectors share
-        seen = np.zeros(len(i), bool)
-        own = [np.asarray(x, np.int64) for x in pdf.places]
-        width = max(map(len, own))
-        table = np.full((len(own), width), -1, np.int64)
-        for r, x in enumerate(own):
-            table[r, : len(x)] = x
-        here = (int(key[0]) << 48) + int(key[1])
-        for at in range(0, len(i), 200_000):
-            p, q = table[i[at : at + 200_000]], table[j[at : at + 200_000]]
-            p = np.where(p < here, p, -1)
-            seen[at : at + 200_000] = ((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2)) if width <= 64 else [bool(np.intersect1d(x[x >= 0], y).size) for x, y in zip(p, q)]
-        links = np.zeros(len(pdf), np.int64)
-        np.add.at(links, i[~seen], pdf.n.to_numpy()[j[~seen]])
-        edges = _spanning(near)
-        nodes = pdf.node.to_numpy()
+        seen = _met_before(group.column("places").combine_chunks(), rows, (tree << 48) + spot)[place, other]
+        nodes, n = group.column("node").to_numpy()[rows], group.column("n").to_numpy()[rows]
+        links = np.bincount(place[~seen], n[other[~seen]], len(rows)).astype(np.int64)
+        linked = np.zeros((len(rows), len(rows)), bool)
+        linked[place, other] = True
+        edges = np.array(_spanning(linked), np.int64).reshape(-1, 2)
         counted = np.flatnonzero(links)
-        return pd.DataFrame(
-            {
-                "node": np.concatenate([nodes[counted], nodes[[e[0] for e in edges]]]),
-                "links": np.concatenate([links[counted], np.zeros(len(edges), np.int64)]),
-                "other": np.concatenate([nodes[counted], nodes[[e[1] for e in edges]]]),
-            }
-        )
+        cols = [
+            np.concatenate([nodes[counted], nodes[edges[:, 0]]]),
+            np.concatenate([links[counted], np.zeros(len(edges), np.int64)]),
+            np.concatenate([nodes[counted], nodes[edges[:, 1]]]),
+        ]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], schema=FOUND)
 
     return run
 
@@ -172,34 +199,33 @@ def near_duplicates(
     spark = vectors.sparkSession
     known, _ = keep(classes(vectors.where("vec_id is not null")), "forest-classes")
     stats = known.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
-    vec = F.col("embedding").cast("array<double>")
+    vec = _vec(vectors)
     if not stats.n:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     width = stats.width
     # the fitting sample: the vectors with the smallest hashes, a bounded number
-    rows = known.orderBy(F.xxhash64("node"), "node").select("vec").limit(sample).toPandas()
-    pad = lambda column: unit([np.pad(np.asarray(v, float), (0, width - len(v))) for v in column])
+    rows = known.orderBy(F.xxhash64("node"), "node").select("vec").limit(sample).toArrow()
     depth = max(0, math.ceil(math.log2(max(1, stats.n / leaf))))
-    forest = Forest(pad(rows.vec), depth, width, trees)
+    forest = Forest(matrix(rows.column("vec"), width), depth, width, trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             own: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for t, (where, leaves) in enumerate(forest.leaves(pad(batch.column("vec").to_pylist()), spill)):
+            for t, (where, leaves) in enumerate(forest.leaves(matrix(batch.column("vec"), width), spill)):
                 for r, l in zip(where.tolist(), leaves.tolist()):
                     own[r].append((t << 48) + l)
             yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("node"), batch.column("n"), pa.array(own, pa.list_(pa.int64()))], names=["vec", "node", "n", "places"])
 
-    placed, placed_path = keep(known.mapInArrow(place, "vec array<double>, node long, n long, places array<long>"), "forest-places")
+    placed, placed_path = keep(known.mapInArrow(place, f"vec {known.schema['vec'].dataType.simpleString()}, node long, n long, places array<long>"), "forest-places")
     sizes = placed.select(F.explode("places").alias("place")).groupBy("place").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     each = placed.select("*", F.explode("places").alias("place")).join(sizes, "place")
     each = each.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
     each = each.withColumn("pair", F.explode(pairs)).withColumns({"tree": F.shiftright("place", 48).cast("int"), "spot": F.col("place").bitwiseAND(F.lit((1 << 48) - 1))})
     groups = each.select("tree", "spot", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "vec", "node", "n", "places", "part").groupBy("tree", "spot", "low", "high")
-    found, found_path = keep(groups.applyInPandas(compare(least), "node long, links long, other long"), "forest-links")
+    found, found_path = keep(groups.applyInArrow(compare(least, width), "node long, links long, other long"), "forest-links")
     linked = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")), "forest-groups")
     counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     whole = known.join(counts, "node", "left").join(linked, "node", "left")
