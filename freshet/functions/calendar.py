@@ -19,6 +19,12 @@ def calendar_year(wyear: Column, month: Column) -> Column:
     return wyear - F.when(month >= FIRST_MONTH, 1).otherwise(0)
 
 
+def day_of_water_year(date: Column) -> Column:
+    """1 on 1 October, counted in calendar days, whatever days a series has."""
+    first = F.make_date(water_year(date) - 1, F.lit(FIRST_MONTH), F.lit(1))
+    return (F.date_diff(date, first) + 1).cast("long")
+
+
 def day_month_date(text: Column, wyear: Column) -> Column:
     """Date of a label such as ``1-Oct`` in a water year; null where no such day exists."""
     month = last_chars(text, 3)

@@ -6,61 +6,48 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-SERIES_LIMIT = 1000  # degrees of freedom up to which the finite series is summed
+REACH, STEP = 4.2, 0.06
 
 
-def _erfc(z: Column) -> Column:
-    """Complementary error function of z >= 0: power series below 3, continued fraction above."""
-    z2 = z * z
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(90)),
-        F.struct(z.alias("term"), z.alias("total")),
-        lambda s, k: F.struct(
-            (s["term"] * z2 * 2.0 / (k * 2.0 + 1.0)).alias("term"),
-            (s["total"] + s["term"] * z2 * 2.0 / (k * 2.0 + 1.0)).alias("total"),
-        ),
-        lambda s: s["total"],
-    )
-    small = F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-z2) * series
-    fraction = F.aggregate(
-        F.sequence(F.lit(60), F.lit(1)), z, lambda f, k: z + (k * 0.5) / f
-    )
-    large = F.exp(-z2) / (F.lit(math.sqrt(math.pi)) * fraction)
-    return F.when(z < 3.0, small).otherwise(large)
+def _rule() -> list[tuple[float, float]]:
+    """Nodes and weights of the double-exponential rule on (0, infinity)."""
+    out = []
+    steps = round(REACH / STEP)
+    for j in range(-steps, steps + 1):
+        u = j * STEP
+        w = math.exp(math.pi / 2 * math.sinh(u))
+        out.append((w, STEP * math.pi / 2 * math.cosh(u) * w))
+    return out
+
+
+RULE = _rule()
+
+
+def _log_gamma_half_step(x: Column) -> Column:
+    """ln gamma(x + 1/2) - ln gamma(x) for x >= 1/2: shifted by ten, then the series in 1/x."""
+    y = x + 10.0
+    v = F.lit(1.0) / y
+    series = F.lit(0.5) * F.log(y) - v / 8.0 + v * v * v / 192.0 - v * v * v * v * v / 640.0 + F.pow(v, F.lit(7.0)) * (17.0 / 14336.0)
+    for i in range(10):
+        series = series - F.log1p(F.lit(0.5) / (x + float(i)))
+    return series
 
 
 def student_t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p-value of a t statistic.
+    """Two-sided p-value of a t statistic, by one method for every number of degrees of freedom.
 
-    Up to SERIES_LIMIT degrees of freedom this is the exact finite series in
-    cos(theta), theta = atan(|t|/sqrt(dof)); beyond it the statistic is mapped
-    to a normal one, whose error there is below the fourth digit of the tail.
+    With s = |t| / sqrt(dof) the tail is the integral of (1 + w^2)^(-(dof + 1) / 2) over w > s.
+    With w = s + r v, r being the width on which it falls off, the integral over v is the sum of
+    a fixed double-exponential rule. The normaliser is a shifted asymptotic sum.
     """
-    t = F.abs(t)
-    theta = F.atan(t / F.sqrt(dof))
-    cos2 = F.pow(F.cos(theta), F.lit(2.0))
-    odd = dof % 2 == 1
-    # terms 1 + a1*cos^2 + a2*cos^4 + ...; the ratio of neighbouring factors depends on parity
-    last = F.floor((dof - 2) / 2).cast("int")
-    steps = F.when(last >= 1, F.sequence(F.lit(1), F.least(last, F.lit(SERIES_LIMIT // 2)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    ratio = lambda k: F.when(odd, (k * 2.0) / (k * 2.0 + 1.0)).otherwise((k * 2.0 - 1.0) / (k * 2.0))
-    total = F.aggregate(
-        steps,
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda s, k: F.struct(
-            (s["term"] * cos2 * ratio(k)).alias("term"),
-            (s["total"] + s["term"] * cos2 * ratio(k)).alias("total"),
-        ),
-        lambda s: s["total"],
-    )
-    inside = (
-        F.when(dof == 1, theta * (2.0 / math.pi))
-        .when(odd, (theta + F.sin(theta) * F.cos(theta) * total) * (2.0 / math.pi))
-        .otherwise(F.sin(theta) * total)
-    )
-    z = t * (F.lit(1.0) - F.lit(1.0) / (dof * 4.0)) / F.sqrt(F.lit(1.0) + t * t / (dof * 2.0))
-    exact = F.greatest(F.lit(1.0) - inside, F.lit(0.0))
-    normal = _erfc(z / math.sqrt(2.0))
-    return F.when(dof >= 1, F.when(dof <= SERIES_LIMIT, exact).otherwise(normal))
+    n = dof.cast("double")
+    s = F.abs(t) / F.sqrt(n)
+    # the integrand falls by a factor e over this width: slowly near the middle, fast far out
+    width = F.least(F.lit(1.0) / F.sqrt(n), (F.lit(1.0) + s * s) / ((n + 1.0) * F.greatest(s, F.lit(1e-300))))
+    nodes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in RULE])
+    exponent = (n + 1.0) / 2.0
+    # relative to the value at s, so that nothing underflows
+    part = lambda p: F.exp(-exponent * F.log1p((s * 2.0 + width * p["w"]) * width * p["w"] / (s * s + 1.0))) * p["k"]
+    area = F.aggregate(nodes, F.lit(0.0), lambda total, p: total + part(p)) * width
+    scale = F.exp(_log_gamma_half_step(n / 2.0) - exponent * F.log1p(s * s)) * (2.0 / math.sqrt(math.pi))
+    return F.when(dof >= 1, F.when(F.abs(t) == float("inf"), 0.0).when(s == 0, 1.0).otherwise(F.least(scale * area, F.lit(1.0))))

@@ -27,13 +27,19 @@ def full_chain(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
 
     A union followed by one aggregation: one shuffle with map-side combining
     instead of a chain of outer joins. Missing keys form one group, so they
-    match each other.
+    match each other. A table that repeats a key is an error when the result is read.
     """
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    rest = [c for c in stacked.columns if c not in on]
-    return stacked.groupBy(*on).agg(*[F.max(c).alias(c) for c in rest])
+    tagged = [f.withColumn("_source", F.lit(i)) for i, f in enumerate(frames)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    rest = [c for c in stacked.columns if c not in on and c != "_source"]
+    most = [F.count(F.when(F.col("_source") == i, 1)) for i in range(len(frames))]
+    repeated = F.greatest(*most) if len(most) > 1 else most[0]
+    joined = stacked.groupBy(*on).agg(*[F.max(c).alias(c) for c in rest], repeated.alias("_rows"))
+    # the check is part of a column that is read, or the optimizer would leave it out
+    wrong = F.raise_error(F.lit("full_chain: a table has more than one row for a key"))
+    return joined.where(F.when(F.col("_rows") <= 1, F.lit(True)).otherwise(wrong.cast("boolean"))).drop("_rows")
 
 
 def join_months(daily: DataFrame, monthly: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Attach a table with one row per calendar month to daily rows."""
-    return daily.join(F.broadcast(monthly), list(on), "left")
+    """Attach a table with one row per month to daily rows; Spark broadcasts it if it is small."""
+    return daily.join(monthly, list(on), "left")

@@ -50,16 +50,21 @@ def largest_rows(df: DataFrame, group: Sequence[str], value: str, date: str, col
 def upper_half(df: DataFrame, value: str, unique: str) -> DataFrame:
     """The floor(n/2) rows with the largest value, ties going to the smallest ``unique`` key.
 
-    The cut is found as an order statistic, first of the value and then of the
-    key among the rows tied with the cut, so nothing is sorted as a whole.
+    n counts all rows; rows without a value come last. The cut is found as an order
+    statistic, first of the value and then of the key among the rows tied with the
+    cut, so nothing is sorted as a whole.
     """
-    cut = value_at_rank(df, value, lambda n: n - n // 2 + 1)
-    if cut is None:
+    n, present = df.agg(F.count(F.lit(1)), F.count(value)).first()
+    wanted = n // 2
+    if not wanted:
         return df.limit(0)
-    above, tied = F.col(value) > F.lit(cut), F.col(value) == F.lit(cut)
-    n, n_above, n_tied = df.agg(F.count(value), F.count(F.when(above, 1)), F.count(F.when(tied, 1))).first()
-    spare = n // 2 - n_above
-    if spare < n_tied:
-        last = value_at_rank(df.where(tied), unique, lambda _: spare)
-        tied = tied & (F.col(unique) <= F.lit(last))
+    if wanted > present:  # every row with a value, and some of those without
+        above, tied, spare = F.col(value).isNotNull(), F.col(value).isNull(), wanted - present
+    else:
+        cut = value_at_rank(df, value, lambda m: m - wanted + 1)
+        above, tied = F.col(value) > F.lit(cut), F.col(value) == F.lit(cut)
+        spare = wanted - df.where(above).count()
+    if spare < df.where(tied).count():
+        last = value_at_rank(df.where(tied), unique, lambda _: spare) if spare else None
+        tied = tied & (F.col(unique) <= F.lit(last)) if spare else F.lit(False)
     return df.where(above | tied)

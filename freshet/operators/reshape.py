@@ -21,6 +21,11 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], names_to:
     return df.unpivot(list(ids), list(values), names_to, values_to)
 
 
+def levels_of(df: DataFrame, key: str) -> list:
+    """The values of a key column that is to become columns, in order: one distinct pass."""
+    return [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).collect()]
+
+
 def to_wide(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence, values: Sequence[str], name: str = "{value}_{level}") -> DataFrame:
     """One column per level and value. The levels are given, so no extra pass looks for them.
 

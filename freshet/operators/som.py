@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freshet.operators.columns import complete_cases
+
 SLICE_NODES = 4096  # nodes per broadcast when assigning rows; larger codebooks take several
 MAX_CODE_VALUES = 32_000_000  # runs x nodes x features that training may hold (256 MB)
 MAX_LATTICE = 8192  # nodes of one trained lattice; its neighbourhood is a nodes x nodes table on the driver
@@ -117,7 +119,7 @@ def train_epoch(df: DataFrame, cols: Sequence[str], codes: DataFrame, radius: fl
     if max(map(len, book.values())) > MAX_LATTICE:
         raise ValueError(f"a trained lattice has at most {MAX_LATTICE} nodes")
     start = {run: np.array([r["w"] for r in nodes], dtype=float) for run, nodes in book.items()}
-    sums = _epoch_sums(df.select(_vectors(cols).alias("_x")), len(cols), start)
+    sums = _epoch_sums(complete_cases(df, cols).select(_vectors(cols).alias("_x")), len(cols), start)
     rows = []
     for run, nodes in book.items():
         near = _grid_distance(np.array([[r["gx"], r["gy"]] for r in nodes]), "hexagonal")
@@ -131,7 +133,7 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
 
     ``runs`` are grid rows with run, rows, cols and optionally topology. The
     neighbourhood is a bubble whose radius falls linearly from the 2/3 quantile of
-    the grid distances to 0. Codebook: run, node, gx, gy, w. Progress: run, epoch,
+    the grid distances to 0. Rows with a missing feature are left out. Codebook: run, node, gx, gy, w. Progress: run, epoch,
     the mean distance to the codes of that epoch and the mean change they then make.
     """
     spark = df.sparkSession
@@ -139,7 +141,7 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
         raise ValueError(f"a trained lattice has at most {MAX_LATTICE} nodes")
     if sum(int(r["rows"]) * int(r["cols"]) for r in runs) * len(cols) > MAX_CODE_VALUES:
         raise ValueError("the sweep's codebooks are too large to train together; split the grid")
-    data = df.select(F.col(key).alias("_key"), _vectors(cols).alias("_x")).persist()
+    data = complete_cases(df, cols).select(F.col(key).alias("_key"), _vectors(cols).alias("_x")).persist()
     try:
         codes = _starting_codes(data, runs, seed)
         points = {int(r["run"]): lattice(int(r["rows"]), int(r["cols"]), r.get("topology", "hexagonal")) for r in runs}
@@ -171,7 +173,9 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
 
 
 def assign(df: DataFrame, cols: Sequence[str], codes: DataFrame) -> DataFrame:
-    """Best-matching node and squared distance of every row under every run; ties go to the lowest node.
+    """Best-matching node and squared distance of every complete row under every run; ties go to the lowest node.
+
+    Rows with a missing feature have no place on the map and are left out.
 
     The codebook (run, node, w) is broadcast in slices of SLICE_NODES nodes. Each
     slice is a narrow pass that keeps the best node so far, so neither the rows
@@ -180,7 +184,7 @@ def assign(df: DataFrame, cols: Sequence[str], codes: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     last = codes.agg(F.max("node")).first()[0] or 0
     runs = [r[0] for r in codes.select("run").distinct().orderBy("run").collect()]
-    out = df.withColumn("_x", _vectors(cols)).withColumn("run", F.explode(F.array(*[F.lit(r).cast("int") for r in runs])))
+    out = complete_cases(df, cols).withColumn("_x", _vectors(cols)).withColumn("run", F.explode(F.array(*[F.lit(r).cast("int") for r in runs])))
     out = out.withColumn("node", F.lit(None).cast("int")).withColumn("dist", F.lit(None).cast("double"))
     for low in range(1, last + 1, SLICE_NODES):
         part = codes.where(F.col("node").between(low, low + SLICE_NODES - 1)).orderBy("run", "node").collect()

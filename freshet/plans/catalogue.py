@@ -557,7 +557,7 @@ def pivot_one(spark, folder):
 @query
 def pivot_multi(spark, folder):
     n = aggregates.count_share(r.sensor(spark, folder).withColumn("date", F.to_date("ts")), ["date", "station"], ["date"])
-    return reshape.to_wide(n, ["date"], "station", ["click", "error", "view"], ["n", "share"])
+    return reshape.to_wide(n, ["date"], "station", reshape.levels_of(n, "station"), ["n", "share"])
 
 
 # --- scalar functions --------------------------------------------------------
@@ -654,15 +654,15 @@ def _wide_runoff(spark, folder):
     """Runoff as it is delivered: one row per calendar day, one column per site and water year."""
     days = wy(r.runoff(spark, folder))
     label = F.concat_ws("-", F.dayofmonth("date"), F.date_format("date", "MMM"))
-    named = days.select(label.alias("date"), F.concat_ws(" ", "site", F.concat(F.lit("WY"), F.right(F.col("wyear").cast("string"), F.lit(2)))).alias("id"), "q_mm")
-    series = [f"{s} WY{y}" for s in r.SITES for y in (95, 96, 97, 98, 99)]
+    named = days.select(label.alias("date"), F.concat_ws(" ", "site", F.concat(F.lit("WY"), F.col("wyear").cast("string"))).alias("id"), "q_mm")
+    series = [f"{s} WY{y}" for s in r.SITES for y in reshape.levels_of(days, "wyear")]
     return reshape.to_wide(named, ["date"], "id", series, ["q_mm"], "{level}"), series
 
 
 @query
 def tidy_wide_year(spark, folder):
     wide, series = _wide_runoff(spark, folder)
-    return reshape.tidy_water_years(wide, "date", series, "q_mm", century=1900)
+    return reshape.tidy_water_years(wide, "date", series, "q_mm", century=0)
 
 
 @query
@@ -741,7 +741,7 @@ def cluster_counts_warm(spark, folder):
 @query
 def peak_day_stats(spark, folder):
     peaks = yields.deepest_snow(compiled(spark, folder))
-    return peaks.agg(F.avg("doy_wyear").alias("mean_day"), F.stddev_samp("doy_wyear").alias("sd_day"), F.avg("snow_dep_m").alias("mean_depth"))
+    return peaks.agg(F.avg("doy_wyear").alias("mean_day"), F.stddev_samp("doy_wyear").alias("sd_day"), F.avg("snow_dep_m").alias("mean_depth"), F.stddev_samp("snow_dep_m").alias("sd_depth"))
 
 
 # --- statistics and learning -------------------------------------------------
@@ -764,7 +764,10 @@ def som_sweep(spark, folder):
 def _vectors(spark, folder):
     """The embeddings as one column per dimension; the width is the vector length of the table."""
     e = r.table(spark, folder, "embeddings")
-    names = [f"x{i}" for i in range(64)]
+    least, most = e.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"vectors have {least} to {most} dimensions")
+    names = [f"x{i}" for i in range(most or 0)]
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
@@ -890,7 +893,7 @@ def node_count(spark, folder):
 @query
 def lm_simple(spark, folder):
     """Price on quantity for every return flag."""
-    return models.linear_fit(r.table(spark, folder, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"]).drop("p_value")
+    return models.linear_fit(r.table(spark, folder, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
 
 
 @query
@@ -932,12 +935,12 @@ def corr_test(spark, folder):
     y = yields.yield_differences(compiled(spark, folder))
     absolute = models.correlation(y, "WBminusRB_abs_spr", "WBminusRB_abs_end").withColumn("kind", F.lit("abs"))
     relative = models.correlation(y, "WBminusRB_per_spr", "WBminusRB_per_end").withColumn("kind", F.lit("per"))
-    return reshape.bind_rows(absolute, relative).drop("p_value")
+    return reshape.bind_rows(absolute, relative)
 
 
 @query
 def corr_cross(spark, folder):
-    return models.correlation_ranking(springs.features(spark, folder), FEATURES, max_p=1.0).drop("p_value")
+    return models.correlation_ranking(springs.features(spark, folder), FEATURES, max_p=1.0)
 
 
 @query
@@ -991,8 +994,9 @@ def component_planes(spark, folder):
 def figure_cumulative_curves(spark, folder):
     """Percent of annual runoff per site and of rain, in long form by year and day."""
     days = compiled(spark, folder).where(F.col("site").isNotNull())
-    wide = reshape.to_wide(days, ["wyear", "date"], "site", r.SITES, ["q_mm_per", "precip_mm_per"])
-    return reshape.to_long(wide, ["wyear", "date"], ["q_mm_per_RB", "q_mm_per_WB", "precip_mm_per_WB"])
+    ids = ["wyear", "date", "doy_wyear"]
+    wide = reshape.to_wide(days, ids, "site", r.SITES, ["q_mm_per", "precip_mm_per"])
+    return reshape.to_long(wide, ids, ["q_mm_per_RB", "q_mm_per_WB", "precip_mm_per_WB"])
 
 
 @query

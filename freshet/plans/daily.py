@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from freshet.functions.calendar import calendar_year, position, water_year
+from freshet.functions.calendar import calendar_year, day_of_water_year, position, water_year
 from freshet.functions.nulls import row_total, strict_mean, strict_sum
 from freshet.operators import fills
 from freshet.operators.joins import full_chain, join_months
-from freshet.operators.ordered import percent_of_total, rolling, row_numbers, running_sum
+from freshet.operators.ordered import percent_of_total, rolling, running_sum
 from freshet.operators.reshape import bind_rows
 from freshet.sources import readings
 from freshet.sources.stages import stage, stage_all, stage_once
@@ -29,7 +29,7 @@ def station_runoff(raw: DataFrame) -> DataFrame:
     """site, wyear, date, doy_wyear, q_mm, q_mm_cum from site, date, q_mm."""
     dated = raw.withColumn("wyear", water_year(F.col("date")))
     by, order = ["site", "wyear"], ["date"]
-    numbered = row_numbers(dated, by, order, "doy_wyear")
+    numbered = dated.withColumn("doy_wyear", day_of_water_year(F.col("date")))
     return running_sum(numbered, by, order, "q_mm", "q_mm_cum").select(
         "site", "wyear", "date", "doy_wyear", "q_mm", "q_mm_cum"
     )
@@ -117,7 +117,7 @@ def month_lengths(*dated: DataFrame) -> DataFrame:
 
 def use_per_day(daily: DataFrame, use: DataFrame, lengths: DataFrame) -> DataFrame:
     """Spread monthly volumes over the days of the month."""
-    monthly = use.join(F.broadcast(lengths), ["year", "month"]).select(
+    monthly = use.join(lengths, ["year", "month"]).select(
         "wyear",
         "year",
         "month",

@@ -59,8 +59,8 @@ def _train_and_score(data: DataFrame, key: str, cols: Sequence[str], grid: Seque
     k = spark.createDataFrame([(int(g["run"]), int(g["k"])) for g in grid], "run int, k int")
     nodes = som.node_clusters(codes, k)
     found = som.assign(data.select(key, *cols), cols, codes)
-    # read by three scores; the node table is bounded by the lattices
-    labelled = stage(found.join(F.broadcast(nodes), ["run", "node"]), "assignments")
+    # read by three scores; the node table's size is known once it is written
+    labelled = stage(found.join(stage(nodes, "nodes"), ["run", "node"]), "assignments")
     error = som.quantization_error(labelled)
     scored = permanova.permanova(labelled, key, "cluster", cols, by=["run"], permutations=permutations, seed=seed)
     setup = spark.createDataFrame(

@@ -41,7 +41,10 @@ def drain(frame: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     spark = frame.sparkSession
     base = shared_dir(spark, label)
 
+    batches = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        batches.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     query = (
@@ -52,6 +55,8 @@ def drain(frame: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    if not batches:  # an empty stream has no windows
+        return spark.createDataFrame([], frame.schema).select(*keys, *[c for c in frame.columns if c not in keys])
     written = spark.read.schema(StructType([*frame.schema.fields]).add("batch", "long")).parquet(f"{base}/out")
     rest = [c for c in frame.columns if c not in keys]
     latest = F.max_by(F.struct(*rest), F.col("batch")).alias("_row")

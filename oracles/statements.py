@@ -254,7 +254,7 @@ add(
 )
 add("unpivot", " UNION ALL ".join(f"SELECT date, '{c}' AS var, {c} AS value FROM v_airport" for c in ("temp_min", "temp_max", "temp_avg")), "value")
 add("pivot_one", "SELECT date, max(q_mm) FILTER (site = 'RB') AS RB, max(q_mm) FILTER (site = 'WB') AS WB FROM v_runoff GROUP BY 1")
-KINDS = ("click", "error", "view")
+KINDS = ("click", "error", "purchase", "signup", "view")
 add(
     "pivot_multi",
     "SELECT date, "
@@ -308,7 +308,7 @@ add(
        FROM (SELECT c.site, c.wyear, c.date, row_number() OVER (PARTITION BY c.site, c.wyear ORDER BY c.date) AS doy_wyear, r.q_mm
              FROM (SELECT site, CAST(wyear AS INTEGER) AS wyear,
                           TRY_CAST((wyear - CASE WHEN m >= 10 THEN 1 ELSE 0 END) || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE) AS date
-                   FROM (SELECT DISTINCT month(date) AS m, day(date) AS d FROM v_runoff), (VALUES ('RB'), ('WB')) s(site), range(1995, 2000) y(wyear)) c
+                   FROM (SELECT DISTINCT month(date) AS m, day(date) AS d FROM v_runoff), (VALUES ('RB'), ('WB')) s(site), (SELECT DISTINCT wyear FROM (SELECT """ + WY + """ AS wyear FROM v_runoff)) y) c
              LEFT JOIN v_runoff r ON c.site = r.site AND c.date = r.date WHERE c.date IS NOT NULL)""",
 )
 add("precip_fallback", "SELECT date, coalesce(precip_mm, precip_mm_vwc, 0) AS precip_mm FROM v_precip LEFT JOIN v_spare USING (date)", "precip_mm")
@@ -360,7 +360,11 @@ add(
 PROPS = " ".join(f"n_cl_all_prop_{k}" for k in (1, 2, 3, 4))
 add("cluster_counts_wide", "SELECT * FROM v_counts_wide", PROPS + " n_cl_all_prop_3and4")
 add("cluster_counts_warm", "SELECT * FROM v_warm_wide", PROPS.replace("all", "warm") + " prop_cold2warm")
-add("peak_day_stats", "SELECT avg(doy_wyear) AS mean_day, stddev_samp(doy_wyear) AS sd_day, avg(snow_dep_m) AS mean_depth FROM v_peaks", "mean_day sd_day mean_depth")
+add(
+    "peak_day_stats",
+    """SELECT avg(doy_wyear) AS mean_day, stddev_samp(doy_wyear) AS sd_day, avg(snow_dep_m) AS mean_depth, stddev_samp(snow_dep_m) AS sd_depth FROM v_peaks""",
+    "mean_day sd_day mean_depth sd_depth",
+)
 
 # --- statistics and learning
 add("som_qe", "SELECT 1 AS run, avg(dist) AS qe FROM v_assigned", "qe")
@@ -452,7 +456,7 @@ add(
     ),
     "p_value",
 )
-add("lm_simple", f"SELECT l_returnflag, {fit('l_extendedprice', 'l_quantity')} FROM lineitem GROUP BY 1", FIT)
+add("lm_simple", f"SELECT *, {tail('r2', 'n')} AS p_value FROM (SELECT l_returnflag, {fit('l_extendedprice', 'l_quantity')} FROM lineitem GROUP BY 1)", FIT + " p_value")
 add(
     "lm_subset",
     f"""SELECT years, {fit('snow_dep_m', 'wyear')}
@@ -492,14 +496,14 @@ add("lm_table", f"SELECT model, {fit('y', 'x')} FROM ({STACK}) GROUP BY 1", FIT)
 add("lm_table_pvalue", tails(STACK, "model"), "p_value")
 add(
     "corr_test",
-    f"""SELECT corr({A}, {B}) AS r, count(*) FILTER ({A} IS NOT NULL AND {B} IS NOT NULL) AS n, 'abs' AS kind FROM v_yields
-        UNION ALL SELECT corr({P}, WBminusRB_per_end), count(*) FILTER ({P} IS NOT NULL AND WBminusRB_per_end IS NOT NULL), 'per' FROM v_yields""",
-    "r",
+    f"""SELECT *, {tail('(r * r)', 'n')} AS p_value FROM (SELECT corr({A}, {B}) AS r, count(*) FILTER ({A} IS NOT NULL AND {B} IS NOT NULL) AS n, 'abs' AS kind FROM v_yields
+        UNION ALL SELECT corr({P}, WBminusRB_per_end), count(*) FILTER ({P} IS NOT NULL AND WBminusRB_per_end IS NOT NULL), 'per' FROM v_yields)""",
+    "r p_value",
 )
 CROSS = " UNION ALL ".join(
     f"SELECT '{a}' AS var_a, '{b}' AS var_b, corr({a}, {b}) AS r, count(*) AS n FROM v_features" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]
 )
-add("corr_cross", f"SELECT * FROM ({CROSS}) ORDER BY abs(r) DESC, var_a, var_b LIMIT 20", "r")
+add("corr_cross", f"SELECT *, {tail('(r * r)', 'n')} AS p_value FROM ({CROSS}) ORDER BY abs(r) DESC, var_a, var_b LIMIT 20", "r p_value")
 add(
     "corr_cross_significant",
     f"""SELECT * FROM (SELECT *, {tail('(r * r)', 'n')} AS p_value FROM ({CROSS})) WHERE p_value <= 0.05 ORDER BY abs(r) DESC, var_a, var_b LIMIT 20""",
@@ -529,12 +533,12 @@ add(
 add("component_planes", " UNION ALL ".join(f"SELECT 1 AS run, node, '{f}' AS var, {f} AS value FROM v_codes" for f in FEATURES), "value")
 
 # --- tables behind figures
-CURVES = "SELECT wyear, date, " + ", ".join(
+CURVES = "SELECT wyear, date, doy_wyear, " + ", ".join(
     f"max({v}) FILTER (site = '{s}') AS {v}_{s}" for v, s in (("q_mm_per", "RB"), ("q_mm_per", "WB"), ("precip_mm_per", "WB"))
-) + " FROM v_daily WHERE site IS NOT NULL GROUP BY 1, 2"
+) + " FROM v_daily WHERE site IS NOT NULL GROUP BY 1, 2, 3"
 add(
     "figure_cumulative_curves",
-    " UNION ALL ".join(f"SELECT wyear, date, '{c}' AS var, {c} AS value FROM ({CURVES})" for c in ("q_mm_per_RB", "q_mm_per_WB", "precip_mm_per_WB")),
+    " UNION ALL ".join(f"SELECT wyear, date, doy_wyear, '{c}' AS var, {c} AS value FROM ({CURVES})" for c in ("q_mm_per_RB", "q_mm_per_WB", "precip_mm_per_WB")),
     "value",
 )
 add(

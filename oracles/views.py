@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
     # --- the compiled daily table
     "v_station": f"""
         SELECT site, {WY} AS wyear, date, q_mm,
-               row_number() OVER w AS doy_wyear,
+               CAST(date_diff('day', make_date({WY} - 1, 10, 1), date) + 1 AS BIGINT) AS doy_wyear,
                CASE WHEN count(*) OVER w = count(q_mm) OVER w THEN sum(q_mm) OVER w END AS q_mm_cum
         FROM v_runoff WINDOW w AS (PARTITION BY site, {WY} ORDER BY date ROWS UNBOUNDED PRECEDING)""",
     "v_snow_filled": """

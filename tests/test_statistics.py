@@ -1,6 +1,7 @@
 """Regression, correlation, pseudo-F and maps against direct formulas."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -22,11 +23,45 @@ def test_t_tails(spark):
         assert r["got"] == pytest.approx(r["p"], rel=2e-5, abs=1e-9)
 
 
-def test_tail_is_continuous_where_the_method_changes(spark):
-    df = spark.createDataFrame([(d, t) for d in (1000, 1001, 1002) for t in (0.5, 2.0, 4.0)], "dof long, t double")
-    got = {(r["dof"], r["t"]): r["p"] for r in df.withColumn("p", student_t_two_sided(F.col("t"), F.col("dof"))).collect()}
-    for t in (0.5, 2.0, 4.0):
-        assert got[1001, t] == pytest.approx((got[1000, t] + got[1002, t]) / 2, rel=1e-4)
+def _beta_tail(t: float, n: int) -> float:
+    """By the continued fraction of the incomplete beta function."""
+    a, b, x = n / 2, 0.5, n / (n + t * t)
+
+    def fraction(a, b, x):
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+        h = d
+        for m in range(1, 100_000):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / (1 + num * d), 1 + num / c
+                h *= d * c
+            if abs(d * c - 1) < 1e-15:
+                return h
+
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def test_tails_by_one_method_for_every_dof(spark):
+    places = [(n, t) for n in (1, 2, 7, 999, 1001, 100_000, 10**9) for t in (0.01, 0.5, 2.0, 4.0, 6.0, 10.0)]
+    df = spark.createDataFrame(places, "dof long, t double").withColumn("p", student_t_two_sided(F.col("t"), F.col("dof")))
+    for r in df.collect():
+        if r["dof"] < 100_000:
+            want = _beta_tail(r["t"], r["dof"])
+        else:  # the normal tail and the first two corrections in 1/dof
+            t, n, z = r["t"], r["dof"], math.exp(-r["t"] ** 2 / 2) / math.sqrt(2 * math.pi)
+            first = (t + t**3) / (4 * n)
+            second = (3 * t**7 - 7 * t**5 - 5 * t**3 - 3 * t) / (96 * n * n)
+            want = math.erfc(t / math.sqrt(2)) + 2 * z * (first + second)
+        assert r["p"] == pytest.approx(want, rel=1e-8 if r["dof"] != 100_000 or r["t"] < 5 else 1e-5)
+
+
+def test_rows_with_a_missing_feature_do_not_reach_a_map(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(59, 2)))] + [(59, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    codes, progress = som.fit(df, "id", ["x", "y"], [{"run": 1, "rows": 3, "cols": 3}], epochs=4)
+    assert all(np.isfinite(r["w"]).all() for r in codes.collect()) and progress.where("isnan(mean_distance)").count() == 0
+    assert som.assign(df, ["x", "y"], codes).count() == 59
 
 
 def test_exact_line_with_missing_pairs(spark):

@@ -95,6 +95,21 @@ def test_upper_half_with_a_heavy_tie(spark, n):
     assert {r["run"] for r in ranking.upper_half(df, "npf", "run").collect()} == want
 
 
+def test_upper_half_counts_rows_without_a_value(spark):
+    """Ten rows, n/2 = 5; those without a value come last, by key."""
+    for missing, want in ((4, {0, 1, 2, 3, 4}), (8, {0, 1, 2, 3, 4}), (10, {0, 1, 2, 3, 4})):
+        df = spark.createDataFrame([(i, None if i >= 10 - missing else 9.0 - i) for i in range(10)], "run long, npf double")
+        assert {r["run"] for r in ranking.upper_half(df, "npf", "run").collect()} == want
+    assert ranking.upper_half(df.limit(1), "npf", "run").count() == 0
+
+
+def test_full_chain_refuses_repeated_keys(spark):
+    a, b = spark.createDataFrame([(1, 5.0), (1, 7.0)], "k int, x double"), spark.createDataFrame([(1, 2.0)], "k int, y double")
+    with pytest.raises(Exception, match="more than one row"):
+        joins.full_chain([a, b], ["k"]).collect()
+    assert rows(joins.full_chain([a.limit(1), b], ["k"]), "k") == [(1, 5.0, 2.0)]
+
+
 def test_exact_quantiles_of_large_and_small_groups(spark):
     rng = np.random.default_rng(3)
     hot = np.where(rng.random(120_000) < 0.33, 1.5, rng.lognormal(size=120_000))
