@@ -13,7 +13,7 @@ from freshet.operators import aggregates, columns, fills, joins, models, ordered
 from freshet.plans import daily as daily_plan, springs, yields
 from freshet.plans.daily import compiled
 from freshet.plans.springs import FEATURES
-from freshet.plans.sweep import sweep
+from freshet.plans.sweep import best_runs
 from freshet.session import shared_dir
 from freshet.sources import files, readings as r
 from freshet.streaming import rollups
@@ -516,10 +516,7 @@ def top_half(spark, folder):
 @query
 def best_run_auto(spark, folder):
     """Among the upper half by pseudo-F, the run of least error for each number of clusters."""
-    half = ranking.upper_half(r.sweep_scores(spark, folder), "npf", "run")
-    order = F.struct("qe", (-F.col("npf")).alias("npf"), "run")
-    best = half.groupBy("clusters").agg(F.min_by(F.struct("run", "npf", "qe"), order).alias("b"))
-    return best.select("clusters", "b.run", "b.npf", "b.qe")
+    return best_runs(r.sweep_scores(spark, folder))
 
 
 @query
@@ -757,8 +754,40 @@ GRID = [
 
 @query
 def som_sweep(spark, folder):
-    """Error, pseudo-F and p of every run of the grid."""
-    return sweep(springs.features(spark, folder), "date", FEATURES, GRID, epochs=20)[0]
+    """Error, pseudo-F and p of every run of the grid file, with all its fields."""
+    return springs.swept(spark, folder)[0]
+
+
+@query
+def sweep_assignments(spark, folder):
+    """Node, distance and cluster of every spring day in every run."""
+    return springs.swept(spark, folder)[1]
+
+
+@query
+def sweep_best(spark, folder):
+    """The chosen run of every number of clusters."""
+    return best_runs(springs.swept(spark, folder)[0])
+
+
+@query
+def sweep_clustered(spark, folder):
+    """Spring days of both sites with the clusters of the chosen runs, a version per number of clusters."""
+    return springs.swept_clusters(spark, folder)
+
+
+@query
+def sweep_count_share(spark, folder):
+    """Days per cluster and year, and their share of the year, in every version."""
+    return yields.cluster_shares(springs.swept_clusters(spark, folder))
+
+
+@query
+def sweep_yield_by_warm_days(spark, folder):
+    """Spring yield difference on the year's number of days in each cluster, in every version."""
+    counts = yields.cluster_shares(springs.swept_clusters(spark, folder)).select("SOMversion", "wyear", "cluster", "n_cl_all")
+    both = counts.join(yields.yield_differences(compiled(spark, folder)), "wyear")
+    return models.linear_fit(both, "WBminusRB_abs_spr", "n_cl_all", ["SOMversion", "cluster"])
 
 
 def _vectors(spark, folder):
@@ -775,19 +804,19 @@ def _vectors(spark, folder):
 def som_fit(spark, folder):
     """A map of the embedding vectors."""
     data, names = _vectors(spark, folder)
-    return som.component_planes(som.fit(data, "vec_id", names, [GRID[0]], epochs=15)[0], names)
+    return som.component_planes(som.fit(data, "vec_id", names, [GRID[0]])[0], names)
 
 
 @query
 def som_progress(spark, folder):
     data, names = _vectors(spark, folder)
-    return som.fit(data, "vec_id", names, [GRID[0]], epochs=15)[1]
+    return som.fit(data, "vec_id", names, [GRID[0]])[1]
 
 
 @query
 def node_clusters(spark, folder):
     scaled = springs.scaled_features(spark, folder)
-    codes, _ = som.fit(scaled, "date", FEATURES, GRID, epochs=20)
+    codes, _ = som.fit(scaled, "date", FEATURES, GRID)
     return som.node_clusters(codes, spark.createDataFrame([(g["run"], g["k"]) for g in GRID], "run int, k int"))
 
 

@@ -10,7 +10,10 @@ from freshet.operators.ordered import row_numbers
 from freshet.operators.reshape import bind_rows
 from freshet.operators.scaling import min_max
 from freshet.plans.daily import compiled
-from freshet.sources.stages import stage_once
+from freshet.plans.sweep import GRID_SCHEMA, best_runs, read_grid, sweep
+from freshet.session import shared_dir
+from freshet.sources import files
+from freshet.sources.stages import stage, stage_once
 
 WINDOW = (170, 245)  # days of the water year
 SITE = "WB"  # drivers are the same at both sites, so one is clustered
@@ -101,3 +104,53 @@ def numbered_features(spark: SparkSession, folder: str) -> DataFrame:
     """Drivers with an observation number in date order, numbered by year so that no task orders all rows."""
     dated = features(spark, folder).withColumn("_year", F.year("date"))
     return row_numbers(dated, [], ["date"], "obs", chunk="_year").drop("_year")
+
+
+# --- the sweep and what follows from it --------------------------------------
+
+# fixed values: rows and columns of the lattices, tried twice for every number of clusters
+LATTICES = ((12, 15), (13, 15), (11, 16), (12, 16), (13, 16))
+CLUSTERS = (3, 4, 5)
+
+
+def grid_file(spark: SparkSession) -> str:
+    """The parameter grid of the sweep as a CSV file in the shared folder; its path."""
+    sizes = [size for _ in range(2) for size in LATTICES]
+    rows = [
+        (i, "bothSites", r * c, "hexagonal", r, c, "L2norm", "noPCA", 1500, 0.05, 0.01, k, round(c / r, 1))
+        for i, (k, (r, c)) in enumerate(((k, size) for k in CLUSTERS for size in sizes), 1)
+    ]
+    path = shared_dir(spark, "grid")
+    files.write_csv(spark.createDataFrame(rows, GRID_SCHEMA), path)
+    return path
+
+
+def swept(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(scores, assignments) of every run of the grid file on the spring days, trained once per session."""
+    made: dict[str, DataFrame] = {}
+
+    def train(which: str) -> DataFrame:
+        if not made:
+            grid = read_grid(files.read_csv(spark, grid_file(spark), GRID_SCHEMA))
+            made["scores"], made["assignments"] = sweep(features(spark, folder), "date", FEATURES, grid)
+        return made[which]
+
+    scores = stage_once(spark, folder, "sweep-scores", lambda: train("scores"))
+    return scores, stage_once(spark, folder, "sweep-assignments", lambda: train("assignments"))
+
+
+def swept_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every number of clusters from its own best run, attached to the days of both sites.
+
+    Labels are given in order of the clusters' mean temperature, the coldest first.
+    """
+    scores, found = swept(spark, folder)
+    chosen = best_runs(scores).select("run", "clusters")
+    labelled = found.join(chosen, "run").join(features(spark, folder).select("date", "temp_avg_vwc"), "date")
+    warmth = labelled.groupBy("clusters", "cluster").agg(F.avg("temp_avg_vwc").alias("_t"))
+    by_warmth = Window.partitionBy("clusters").orderBy("_t", "cluster")
+    names = warmth.select("clusters", "cluster", F.row_number().over(by_warmth).cast("int").alias("label"))
+    labelled = stage(labelled.join(names, ["clusters", "cluster"]).select("clusters", "date", F.col("label").alias("cluster")), "swept")
+    days = in_window(compiled(spark, folder))
+    versions = [r[0] for r in chosen.select("clusters").orderBy("clusters").collect()]
+    return bind_rows(*[attach(days, labelled.where(F.col("clusters") == k).select("date", "cluster"), f"{k}cl") for k in versions])

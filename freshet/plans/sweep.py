@@ -8,36 +8,63 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.operators import permanova, som
+from freshet.operators.ranking import upper_half
 from freshet.operators.reshape import bind_rows
 from freshet.operators.scaling import scale_by
 from freshet.sources.stages import stage
 
 
+GRID_SCHEMA = (
+    "myRun int, myDataSet string, nodes int, myTopo string, rows int, cols int, normMeth string, wghtMeth string, "
+    "niter int, crsAlpha double, finAlpha double, nClusters int, colRowRatio double"
+)
+#: Fields of a run that the training does not use but the score table carries.
+CARRIED = {"dataset": "string", "nodes": "int", "scaling": "string", "weighting": "string", "iterations": "int", "alpha_coarse": "double", "alpha_fine": "double", "col_row_ratio": "double"}
+
+
 def read_grid(params: DataFrame) -> list[dict[str, Any]]:
-    """Rows of a parameter file in the form used here, one entry per run.
+    """Rows of a parameter file, one entry per run, with every field.
 
     The file's number of iterations counts passes of the sequential rule and its
-    learning rates belong to that rule; the batch rule here has neither.
+    learning rates belong to that rule; the batch rule here has neither, so they
+    are carried to the scores only. A number of nodes that is not that of the
+    lattice is an error.
     """
-    rows = params.select("myRun", "myTopo", "rows", "cols", "normMeth", "wghtMeth", "nClusters").orderBy("myRun").collect()
-    return [
-        {
-            "run": int(r["myRun"]),
-            "topology": r["myTopo"],
-            "rows": int(r["rows"]),
-            "cols": int(r["cols"]),
-            "scaling": r["normMeth"],
-            "weighting": r["wghtMeth"],
-            "k": int(r["nClusters"]),
-        }
-        for r in rows
-    ]
+    out = []
+    for r in params.orderBy("myRun").collect():
+        if r["nodes"] is not None and r["nodes"] != r["rows"] * r["cols"]:
+            raise ValueError(f"run {r['myRun']} has {r['nodes']} nodes on a lattice of {r['rows']} x {r['cols']}")
+        out.append(
+            {
+                "run": int(r["myRun"]),
+                "topology": r["myTopo"],
+                "rows": int(r["rows"]),
+                "cols": int(r["cols"]),
+                "scaling": r["normMeth"],
+                "weighting": r["wghtMeth"],
+                "k": int(r["nClusters"]),
+                "dataset": r["myDataSet"],
+                "nodes": r["nodes"],
+                "iterations": r["niter"],
+                "alpha_coarse": r["crsAlpha"],
+                "alpha_fine": r["finAlpha"],
+                "col_row_ratio": r["colRowRatio"],
+            }
+        )
+    return out
+
+
+def best_runs(scores: DataFrame) -> DataFrame:
+    """Among the upper half by pseudo-F, the run of least error for each number of clusters."""
+    order = F.struct("qe", (-F.col("npf")).alias("npf"), "run")
+    best = upper_half(scores, "npf", "run").groupBy("clusters").agg(F.min_by(F.struct("run", "npf", "qe"), order).alias("b"))
+    return best.select("clusters", "b.run", "b.npf", "b.qe")
 
 
 def sweep(features: DataFrame, key: str, cols: Sequence[str], grid: Sequence[Mapping[str, Any]], weights: Mapping[str, float] | None = None, epochs: int = 30, permutations: int = 99, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(scores, assignments) of complete feature rows under every run of the grid.
 
-    Scores: run, rows, cols, topology, clusters, qe, npf, p_value. Assignments are
+    Scores: run, rows, cols, topology, clusters, the carried fields, qe, npf, p_value. Assignments are
     long, (run, key, node, dist, cluster); there is never a column per observation.
     Runs with the same scaling and weighting are trained together. ``weights`` apply
     to runs whose weighting is ``PCA``.
@@ -64,8 +91,8 @@ def _train_and_score(data: DataFrame, key: str, cols: Sequence[str], grid: Seque
     error = som.quantization_error(labelled)
     scored = permanova.permanova(labelled, key, "cluster", cols, by=["run"], permutations=permutations, seed=seed)
     setup = spark.createDataFrame(
-        [(int(g["run"]), int(g["rows"]), int(g["cols"]), g.get("topology", "hexagonal"), int(g["k"])) for g in grid],
-        "run int, rows int, cols int, topology string, clusters int",
+        [(int(g["run"]), int(g["rows"]), int(g["cols"]), g.get("topology", "hexagonal"), int(g["k"]), *[g.get(c) for c in CARRIED]) for g in grid],
+        "run int, rows int, cols int, topology string, clusters int, " + ", ".join(f"{c} {t}" for c, t in CARRIED.items()),
     )
     scores = setup.join(error, "run").join(scored.select("run", F.col("f").alias("npf"), "p_value"), "run", "left")
     return scores, labelled.select("run", key, "node", "dist", "cluster")

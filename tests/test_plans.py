@@ -12,7 +12,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"som_sweep", "kmeans_elbow"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"som_sweep", "kmeans_elbow", *(q for q in QUERIES if q.startswith("sweep_"))}))
 def test_no_costly_nodes(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     costly = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
