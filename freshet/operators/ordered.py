@@ -45,15 +45,15 @@ def running(group: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _marks(df: DataFrame, position: Column) -> list[float]:
-    """Values that cut the column into stretches of about CHUNK_ROWS rows, repeated where one value fills several."""
+def _marks(df: DataFrame, position: Column, rows: int) -> list[float]:
+    """Values that cut the column into stretches of about ``rows`` rows, repeated where one value fills several."""
     shares = ", ".join(f"{i / STEPS}D" for i in range(1, STEPS))
     n, marks = (
         df.select(position.alias("_p"))
         .agg(F.count("_p"), F.expr(f"percentile_approx(_p, array({shares}), {ACCURACY})"))
         .first()
     )
-    step = max(1, int(STEPS * CHUNK_ROWS / max(n, 1)))
+    step = max(1, int(STEPS * rows / max(n, 1)))
     return list(marks[step - 1 :: step]) if marks else []
 
 
@@ -72,8 +72,8 @@ def _place(df: DataFrame, position: Column, marks: Sequence[float], name: str) -
     return split.withColumn(name, F.when(F.col("_p").isNull(), -1).otherwise(number)).drop("_p", "_b")
 
 
-def with_chunks(df: DataFrame, order: Sequence[str], name: str = "_chunk") -> DataFrame:
-    """Add a chunk number that never decreases along ``order`` and whose chunks have similar sizes.
+def with_chunks(df: DataFrame, order: Sequence[str], name: str = "_chunk", rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add a chunk number that never decreases along ``order`` and whose chunks have about ``rows`` rows.
 
     The cuts come from a sketch of the first order column. A single value that
     fills several stretches (many readings at one instant) is cut further along
@@ -81,14 +81,14 @@ def with_chunks(df: DataFrame, order: Sequence[str], name: str = "_chunk") -> Da
     of a query sees the same chunks.
     """
     first = position(df, order[0])
-    marks = _marks(df, first)
+    marks = _marks(df, first, rows)
     heavy = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
     out = _place(df, first, marks, name)
     if not heavy or len(order) == 1:
         return out
     tied = first.isin(heavy)
     second = position(df, order[1])
-    inner = _place(out, second, _marks(df.where(tied), second), "_inner")
+    inner = _place(out, second, _marks(df.where(tied), second, rows), "_inner")
     width = 4 * STEPS + 4
     return inner.withColumn(name, F.col(name).cast("long") * width + F.when(tied, F.col("_inner") + 1).otherwise(0)).drop("_inner")
 

@@ -426,9 +426,10 @@ def fill_linear(spark, folder):
 
 def _long_sensor(spark, folder):
     """Raw readings of every station, cut into chunks: a station may hold any share of all rows."""
-    return ordered.with_chunks(r.sensor(spark, folder), ["ts", "event_id"])
+    return ordered.with_chunks(r.sensor(spark, folder), ["ts", "event_id"], rows=PIECE)
 
 
+PIECE = 400  # rows per chunk and block of the queries on long series, so that the given tables make many
 LONG = (["station"], ["ts", "event_id"])
 
 
@@ -443,19 +444,19 @@ def cumsum_strict_long(spark, folder):
     cents = r.table(spark, folder, "events").select(
         "event_id", "ts", F.col("event_type").alias("station"), F.round(F.col("value") * 100).cast("long").alias("v")
     )
-    out = ordered.running_sum(ordered.with_chunks(cents, LONG[1]), *LONG, "v", "v_cum", chunk="_chunk")
+    out = ordered.running_sum(ordered.with_chunks(cents, LONG[1], rows=PIECE), *LONG, "v", "v_cum", chunk="_chunk")
     return out.select("event_id", "station", "v_cum")
 
 
 @query
 def rolling_mean_long(spark, folder):
-    out = ordered.rolling(_long_sensor(spark, folder), *LONG, "airtemp_c", 3, "mean3", "mean", chunk="_chunk")
+    out = ordered.rolling(_long_sensor(spark, folder), *LONG, "airtemp_c", 3, "mean3", "mean", chunk="_chunk", block_rows=PIECE)
     return out.select("event_id", "station", "mean3")
 
 
 @query
 def fill_locf_long(spark, folder):
-    out = fills.carry_forward(_long_sensor(spark, folder), *LONG, ["airtemp_c"], 2, chunk="_chunk")
+    out = fills.carry_forward(_long_sensor(spark, folder), *LONG, ["airtemp_c"], 2, chunk="_chunk", block_rows=PIECE)
     return out.select("event_id", "station", "airtemp_c")
 
 
@@ -463,7 +464,7 @@ def fill_locf_long(spark, folder):
 def fill_linear_long(spark, folder):
     """Interpolation in time between readings."""
     readings = _long_sensor(spark, folder)
-    out = fills.interpolate(readings, *LONG, "airtemp_c", 10, position(readings, "ts"), chunk="_chunk")
+    out = fills.interpolate(readings, *LONG, "airtemp_c", 10, position(readings, "ts"), chunk="_chunk", block_rows=PIECE)
     return out.select("event_id", "station", "airtemp_c")
 
 

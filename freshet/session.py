@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,14 +32,26 @@ def local_session(cpus: int = 8, app: str = "freshet", **conf: str) -> SparkSess
     return spark
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``.
+def run_dir(spark: SparkSession) -> str:
+    """The folder of everything this application writes between stages.
 
-    Only a local session may fall back to a temporary folder: executors on
-    other machines could not read it.
+    It lies below the cluster's ``spark.checkpoint.dir``. Only a local session may
+    do without that setting and gets a temporary folder: executors on other
+    machines could not read it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark)
-    return f"{root.rstrip('/')}/freshet-{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/freshet-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in the application's run folder."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that this application has written between stages; call it when results have been read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _own_root(spark: SparkSession) -> str:
@@ -46,4 +60,5 @@ def _own_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="freshet-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from freshet.session import shared_dir
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -30,9 +30,29 @@ def stage_all(frames: Mapping[str, DataFrame]) -> list[DataFrame]:
         return list(pool.map(lambda item: stage(item[1], item[0]), frames.items()))
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files of a folder, and of the folders in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def listed(where: str, deep: bool) -> list[tuple]:
+        out = []
+        for f in fs.listStatus(path(where)):
+            name = f.getPath().toString()
+            out.append((name, f.getLen(), f.getModificationTime()))
+            if deep and f.isDirectory():
+                out += listed(name, False)
+        return out
+
+    return tuple(sorted(listed(folder, True)))
+
+
 def stage_once(spark: SparkSession, folder: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that label for an input folder, built on first use in this application."""
-    key = (spark.sparkContext.applicationId, folder, label)
+    """The table of that label for an input folder, built on first use in this application.
+
+    Input files that have changed since give a new table.
+    """
+    key = (spark.sparkContext.applicationId, folder, label, _state(spark, folder))
     if key in _written:
         try:
             return spark.read.parquet(_written[key])

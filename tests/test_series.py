@@ -186,13 +186,12 @@ def test_irregular_dates(spark):
 
 
 @pytest.mark.parametrize("rows", [1, 40, 10_000])
-def test_chunks_follow_the_order_and_split_hot_instants(spark, monkeypatch, rows):
+def test_chunks_follow_the_order_and_split_hot_instants(spark, rows):
     """A third of all rows at one instant and missing times, cut into chunks of any size."""
-    monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
     rnd = random.Random(4)
     data = [(i, 500 if i % 3 == 0 else (None if i % 50 == 1 else rnd.randint(0, 1000)), 1) for i in range(3000)]
     df = spark.createDataFrame(data, "id long, t long, v long").repartition(4)
-    chunked = ordered.with_chunks(df, ["t", "id"])
+    chunked = ordered.with_chunks(df, ["t", "id"], rows=rows)
     got = ordered.row_numbers(chunked, [], ["t", "id"], "n", "_chunk").orderBy("n").collect()
     assert [(r["t"], r["id"]) for r in got] == sorted(((t, i) for i, t, _ in data), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
     assert [r["n"] for r in got] == list(range(1, 3001))
@@ -202,6 +201,15 @@ def test_chunks_follow_the_order_and_split_hot_instants(spark, monkeypatch, rows
         assert max(chunked.groupBy("_chunk").count().toPandas()["count"]) < 200
 
 
+def test_long_queries_work_on_many_chunks_and_blocks(spark):
+    from freshet.plans import catalogue
+
+    readings = catalogue._long_sensor(spark, "/root/testdata/sf0.01")
+    assert readings.select("_chunk").distinct().count() >= 20
+    per_station = readings.groupBy("station").count().collect()
+    assert sum(-(-r["count"] // catalogue.PIECE) for r in per_station) >= 20
+
+
 def test_time_positions_do_not_depend_on_the_session_zone(spark):
     from freshet.functions.calendar import position
 
