@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from freshet.operators.columns import complete_cases
 
 SLICE_NODES = 4096  # nodes per broadcast when assigning rows; larger codebooks take several
-MAX_CODE_VALUES = 32_000_000  # runs x nodes x features that training may hold (256 MB)
-MAX_LATTICE = 8192  # nodes of one trained lattice; its neighbourhood is a nodes x nodes table on the driver
+AT_ONCE = 4_000_000  # row-node distances that a task holds while training
 CODEBOOK = "run int, node int, gx double, gy double, w array<double>"
 
 
@@ -35,9 +34,54 @@ def lattice(rows: int, cols: int, topology: str = "hexagonal") -> np.ndarray:
     return np.column_stack([x, y])
 
 
-def _grid_distance(points: np.ndarray, topology: str) -> np.ndarray:
-    gap = np.abs(points[:, None, :] - points[None, :, :])
-    return gap.max(axis=2) if topology == "rectangular" else np.sqrt((gap**2).sum(axis=2))
+def start_radius(rows: int, cols: int, topology: str = "hexagonal") -> float:
+    """The 2/3 quantile of the grid distances of all pairs of nodes, from the counts of their offsets."""
+    down, across = np.meshgrid(np.arange(rows), np.arange(-(cols - 1), cols), indexing="ij")
+    pairs = ((rows - down) * (cols - np.abs(across))).astype(float)
+    if topology == "rectangular":
+        sides = [(np.maximum(down, np.abs(across)).astype(float), pairs)]
+    else:
+        odd = down % 2 == 1
+        # an odd number of rows apart, half of the pairs are shifted to either side (one more where rows are odd)
+        first = np.where(odd, ((rows - down + 1) // 2) * (cols - np.abs(across)), pairs)
+        height = down * (math.sqrt(3) / 2)
+        sides = [(np.hypot(across - 0.5 * odd, height), first), (np.hypot(across + 0.5, height), np.where(odd, pairs - first, 0))]
+    distance, count = (np.concatenate([s[i].ravel() for s in sides]) for i in (0, 1))
+    # pairs in one row are met from both sides
+    count = np.where(np.concatenate([(down == 0).ravel()] * len(sides)), count / 2, count)
+    use = (count > 0) & (distance > 0)
+    distance, count = distance[use], count[use]
+    if not len(distance):
+        return 0.0
+    order = np.argsort(distance)
+    distance, upto = distance[order], np.cumsum(count[order])
+    at = (upto[-1] - 1) * 2 / 3
+    low = math.floor(at + 1e-9)
+    value = lambda rank: distance[min(np.searchsorted(upto, rank + 0.5), len(distance) - 1)]
+    return float(value(low) + (at - low) * (value(min(low + 1, upto[-1] - 1)) - value(low)))
+
+
+def neighbourhood_sums(table: np.ndarray, points: np.ndarray, radius: float, topology: str = "hexagonal") -> np.ndarray:
+    """For every node the sum of ``table`` over the nodes within the radius.
+
+    Nodes of one lattice row within reach are a run of columns, so sums are differences of
+    prefix sums along the row; no table of node pairs is made.
+    """
+    out = np.zeros_like(table)
+    heights, row_of = np.unique(np.round(points[:, 1], 9), return_inverse=True)
+    rows = []
+    for i in range(len(heights)):
+        nodes = np.flatnonzero(row_of == i)
+        nodes = nodes[np.argsort(points[nodes, 0], kind="stable")]
+        rows.append((nodes, points[nodes, 0], np.vstack([np.zeros(table.shape[1]), np.cumsum(table[nodes], axis=0)])))
+    reach = radius + 1e-9
+    for i, (nodes, x, _) in enumerate(rows):
+        for j in range(np.searchsorted(heights, heights[i] - reach), np.searchsorted(heights, heights[i] + reach, "right")):
+            gap = heights[i] - heights[j]
+            half = reach if topology == "rectangular" else math.sqrt(max(reach**2 - gap**2, 0.0))
+            _, other, upto = rows[j]
+            out[nodes] += upto[np.searchsorted(other, x + half, "right")] - upto[np.searchsorted(other, x - half)]
+    return out
 
 
 def lattice_columns(node: Column, cols: int) -> tuple[Column, Column]:
@@ -80,8 +124,9 @@ def _epoch_sums(data: DataFrame, width: int, codes: Mapping[int, np.ndarray]) ->
         for batch in batches:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             for run, w in current.items():
-                score = (w**2).sum(axis=1)[None, :] - 2.0 * (x @ w.T)
-                node = score.argmin(axis=1)
+                square, step = (w**2).sum(axis=1)[None, :], max(1, AT_ONCE // len(w))
+                parts = [(square - 2.0 * (x[at : at + step] @ w.T)).argmin(axis=1) for at in range(0, len(x), step)]
+                node = np.concatenate(parts) if parts else np.zeros(0, dtype=int)
                 gap = ((x - w[node]) ** 2).sum(axis=1)
                 t = totals[run]
                 for j, v in enumerate([np.ones(len(x)), gap, *x.T]):
@@ -104,10 +149,10 @@ def _epoch_sums(data: DataFrame, width: int, codes: Mapping[int, np.ndarray]) ->
     return out
 
 
-def _smooth(w: np.ndarray, table: np.ndarray, near: np.ndarray, radius: float) -> np.ndarray:
+def _smooth(w: np.ndarray, table: np.ndarray, points: np.ndarray, radius: float, topology: str) -> np.ndarray:
     """Every node moves to the mean of the rows won inside its neighbourhood; without any it stays."""
-    h = (near <= radius + 1e-9).astype(float)
-    weight, moved = h @ table[:, 0], h @ table[:, 2:]
+    summed = neighbourhood_sums(np.delete(table, 1, axis=1), points, radius, topology)
+    weight, moved = np.round(summed[:, 0]), summed[:, 1:]
     return np.where(weight[:, None] > 0, moved / np.maximum(weight, 1e-300)[:, None], w)
 
 
@@ -116,14 +161,12 @@ def train_epoch(df: DataFrame, cols: Sequence[str], codes: DataFrame, radius: fl
     book: dict[int, list] = {}
     for r in codes.orderBy("run", "node").collect():
         book.setdefault(r["run"], []).append(r)
-    if max(map(len, book.values())) > MAX_LATTICE:
-        raise ValueError(f"a trained lattice has at most {MAX_LATTICE} nodes")
     start = {run: np.array([r["w"] for r in nodes], dtype=float) for run, nodes in book.items()}
     sums = _epoch_sums(complete_cases(df, cols).select(_vectors(cols).alias("_x")), len(cols), start)
     rows = []
     for run, nodes in book.items():
-        near = _grid_distance(np.array([[r["gx"], r["gy"]] for r in nodes]), "hexagonal")
-        new = _smooth(start[run], sums[run], near, radius)
+        points = np.array([[r["gx"], r["gy"]] for r in nodes])
+        new = _smooth(start[run], sums[run], points, radius, "hexagonal")
         rows += [(run, r["node"], r["gx"], r["gy"], [float(v) for v in w]) for r, w in zip(nodes, new)]
     return df.sparkSession.createDataFrame(rows, CODEBOOK)
 
@@ -137,22 +180,18 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
     the mean distance to the codes of that epoch and the mean change they then make.
     """
     spark = df.sparkSession
-    if max(int(r["rows"]) * int(r["cols"]) for r in runs) > MAX_LATTICE:
-        raise ValueError(f"a trained lattice has at most {MAX_LATTICE} nodes")
-    if sum(int(r["rows"]) * int(r["cols"]) for r in runs) * len(cols) > MAX_CODE_VALUES:
-        raise ValueError("the sweep's codebooks are too large to train together; split the grid")
     data = complete_cases(df, cols).select(F.col(key).alias("_key"), _vectors(cols).alias("_x")).persist()
     try:
         codes = _starting_codes(data, runs, seed)
         points = {int(r["run"]): lattice(int(r["rows"]), int(r["cols"]), r.get("topology", "hexagonal")) for r in runs}
-        near = {int(r["run"]): _grid_distance(points[int(r["run"])], r.get("topology", "hexagonal")) for r in runs}
-        start = {run: float(np.quantile(d[np.triu_indices(len(d), 1)], 2 / 3)) if len(d) > 1 else 0.0 for run, d in near.items()}
+        kind = {int(r["run"]): r.get("topology", "hexagonal") for r in runs}
+        start = {int(r["run"]): start_radius(int(r["rows"]), int(r["cols"]), kind[int(r["run"])]) for r in runs}
         active, progress = set(codes), []
         for epoch in range(1, epochs + 1):
             for run, table in _epoch_sums(data, len(cols), {r: codes[r] for r in active}).items():
                 w, n = codes[run], table[:, 0]
                 radius = start[run] * (1 - (epoch - 1) / max(epochs - 1, 1))
-                new = _smooth(w, table, near[run], radius)
+                new = _smooth(w, table, points[run], radius, kind[run])
                 change = float(np.abs(new - w).mean())
                 progress.append((int(run), epoch, float(table[:, 1].sum() / n.sum()), change))
                 codes[run] = new

@@ -216,3 +216,21 @@ def test_sizing(blobs):
     elbow = {r["k"]: r["wss"] for r in sizing.kmeans_elbow(df, COLS, most=4).collect()}
     assert elbow[1] == pytest.approx(((x - x.mean(0)) ** 2).sum())
     assert elbow[1] > elbow[2] > elbow[3]
+
+
+@pytest.mark.parametrize("rows,cols,topology", [(1, 1, "hexagonal"), (1, 6, "hexagonal"), (5, 1, "hexagonal"), (4, 5, "hexagonal"), (5, 6, "hexagonal"), (7, 3, "hexagonal"), (4, 5, "rectangular"), (6, 2, "rectangular")])
+def test_lattice_neighbourhood_is_that_of_all_pairs(rows, cols, topology):
+    points = som.lattice(rows, cols, topology)
+    gap = np.abs(points[:, None, :] - points[None, :, :])
+    distance = gap.max(axis=2) if topology == "rectangular" else np.sqrt((gap**2).sum(axis=2))
+    pairs = distance[np.triu_indices(len(points), 1)]
+    assert som.start_radius(rows, cols, topology) == pytest.approx(np.quantile(pairs, 2 / 3) if len(pairs) else 0.0)
+    table = np.random.default_rng(1).normal(size=(len(points), 3))
+    for radius in (0.0, 0.5, 1.0, 1.7, 2.0, 9.0):
+        assert np.allclose(som.neighbourhood_sums(table, points, radius, topology), (distance <= radius + 1e-9) @ table)
+
+
+def test_a_lattice_of_twenty_thousand_nodes_trains(spark):
+    df = spark.range(25_000).selectExpr("id", "pmod(xxhash64(id), 1000) / 1000.0D AS x", "pmod(xxhash64(id, 1), 1000) / 1000.0D AS y")
+    codes, progress = som.fit(df, "id", ["x", "y"], [{"run": 1, "rows": 100, "cols": 200}], epochs=2)
+    assert codes.count() == 20_000 and progress.count() == 2
