@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from freshet.llm.common import give_back, texts
 
@@ -209,7 +209,9 @@ def followed(docs: DataFrame, parts: int | None = None) -> DataFrame:
     around = Window.orderBy("range")  # one row per range
     ranges = named.select("range").distinct().withColumn("n_range", F.coalesce(F.lead("range").over(around), F.min("range").over(Window.partitionBy())))
     # the compressed texts are shuffled once; all that follows reads that exchange
-    rows = named.mapInArrow(squeeze, "doc_id long, text binary, range int").repartition("range")
+    # (a range is never null; a filter on it below the exchange would make a second exchange)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("range", T.IntegerType(), False)])
+    rows = named.mapInArrow(squeeze, schema).repartition("range")
     inner = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
     led = rows.withColumns({"next_text": F.lead("text").over(inner), "first": F.row_number().over(inner) == 1})
     heads = led.where("first").select(F.col("range").alias("n_range"), F.col("text").alias("head"))
