@@ -159,11 +159,17 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         pieces[number] = piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array([*pieces, None], dtype=object)  # the last one for ids out of range
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = [" ".join(p for i in ids or [] if i is not None and 0 <= i < len(pieces) and (p := pieces[i]) is not None) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
+                ids = part.column("ids")
+                flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                found = known[np.where((flat >= 0) & (flat < len(pieces)), flat, len(pieces))]
+                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                texts_ = (found[a:b].tolist() for a, b in zip([0, *ends], ends))
+                out = [" ".join(t) if None not in t else " ".join(p for p in t if p is not None) for t in texts_]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
