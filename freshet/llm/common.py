@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from freshet.session import shared_dir
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package wherever the driver was started.
+
+    On a cluster the package is installed or on ``PYTHONPATH``, which then names it already.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    own = spark.sparkContext.environment
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and root not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [root, own.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet.llm import attention, bpe, chat, forest, mixing, pfair, pii, redirects, simhash, weighted
-from freshet.llm.common import table
+from freshet.llm.common import share_package, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    LLM_QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        share_package(spark)
+        return fn(spark, folder)
+
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    LLM_QUERIES[fn.__name__] = run
     return fn
 
 
