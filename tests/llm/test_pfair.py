@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -63,3 +64,43 @@ def test_small_sources_are_pooled_and_empty(spark):
     got = pfair.mix(docs, block_chars=4, max_sources=3, period=10).collect()
     assert len(got) == 9 and Counter(r.mix.source for r in got) == {"s8": 1, "s7": 1, "s6": 1, "": 6}
     assert pfair.mix(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "blocks,weights",
+    [
+        ({f"s{i}": 100 + 90 * i for i in range(20)}, {f"s{i}": (100 + 90 * i) ** 0.5 for i in range(20)}),
+        ({"big": 20_000, **{f"s{i}": 40 for i in range(100)}}, {"big": 0.9, **{f"s{i}": 0.001 for i in range(100)}}),
+        ({"a": 1, "b": 1, "c": 7, "d": 0}, {"a": 1.0, "b": 1.0, "c": 0.1, "d": 5.0}),
+    ],
+)
+def test_less_than_one_block_off_the_exact_target(blocks, weights):
+    rows = list(pfair.exact_schedule(blocks, weights))
+    assert [r[2] for r in rows] == list(range(sum(blocks.values())))
+    exact = {s: Fraction(w) for s, w in weights.items() if blocks[s]}
+    had, due, seen = Counter(), dict.fromkeys(exact, Fraction(0)), 0
+    for s, k, _, phase, target in rows:
+        assert k == had[s]
+        had[s] += 1
+        # the fluid, step by step: one slot is shared by all that have blocks left
+        rest = Fraction(1)
+        while rest:
+            active = [x for x in exact if due[x] < blocks[x]]
+            total = sum(exact[x] for x in active)
+            step = min(rest, min((blocks[x] - due[x]) * total / exact[x] for x in active))
+            for x in active:
+                due[x] += step * exact[x] / total
+            rest -= step
+        assert all(abs(had[x] - due[x]) < 1 for x in exact)
+        seen += 1
+        if seen > 3000:
+            break
+    first = sum(weights[s] for s in exact)
+    assert all(r[4] == pytest.approx(weights[r[0]] / first) for r in rows if r[3] == 0)
+
+
+def test_every_source_has_its_own_row(spark):
+    docs = spark.createDataFrame([(i, "t" * (1 + i % 3), f"s{i % 600}" if i else None) for i in range(1300)], "doc_id long, text string, source string")
+    got = pfair.mix(docs, block_chars=4).collect()
+    assert len(got) == 1300 and all(r.mix.source == (r.source or "") for r in got)
+    assert len({r.mix.slot for r in got}) == len({(r.mix.source, r.mix.block) for r in got})
