@@ -15,6 +15,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -92,6 +93,7 @@ SIGNS = {0xA0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x2010: "-", 0x2011:
 ODD = re.compile("[\xad\xa0\xb2\xb3\xb9ʰ-˿Ͱ-ӿԀ-ԯ٠-٩۰-۹०-९০-৯ -‏‐-―․ -⁯⁰-₟℀-⅏①-⓿。〇︰-﹯﻿！-｡０-９\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff]")
 
 
+@lru_cache(1 << 12)
 def plain_form(c: str) -> str:
     """What a character stands for in ASCII, or itself."""
     if c in ALIKE:
@@ -134,6 +136,13 @@ MAIL = re.compile(
     re.I,
 )
 AT_OR_DOT = re.compile(rf"(?P<at>{_AT}|{_BARE})|(?P<dot>{_DOT})", re.I)
+# what a disguise cannot do without
+BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|arroba|arobase|@|dot|punto|punkt|point|\.)\s{0,3}[\])}>]", re.I)
+BLANK_AT = re.compile(r"\s@|@\s")
+TOKEN = re.compile(r"[^\W\d_]+|\d+")
+BARE_DOTS = frozenset(("dot", "punto", "punkt"))
+BESIDE = NUMBER_WORDS | BARE_DOTS | {"point", "plus", *TIMES}
+FOLDED = {0x130: "i", 0x131: "i", 0x17F: "s"}  # letters that patterns without case take for others
 ADDRESS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
 
@@ -173,15 +182,22 @@ class Rewritten:
         return old, old + 1
 
 
+@lru_cache(1 << 16)
+def alike(c: str) -> bool:
+    return ODD.match(c) is not None and plain_form(c) != c
+
+
 def look_alikes(text: str) -> list[tuple[int, int, str]]:
+    if text.isascii() or not any(map(alike, set(text))):
+        return []
     return [(m.start(), m.end(), new) for m in ODD.finditer(text) if (new := plain_form(m[0])) != m[0]]
 
 
-def spelled_digits(text: str) -> list[tuple[int, int, str]]:
+def spelled_digits(text: str, least: int = 3) -> list[tuple[int, int, str]]:
     edits = []
     for chain in CHAIN.finditer(text):
         steps = list(STEP.finditer(text, chain.start(), chain.end()))
-        if sum(bool(s[3]) for s in steps) < 3:
+        if sum(bool(s[3]) for s in steps) < least:
             continue
         for s in steps:
             new = "+" if s[1] else DIGIT[s[3].lower()] * TIMES.get((s[2] or "").lower(), 1) if s[3] else s[4]
@@ -189,6 +205,10 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def few_spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    return spelled_digits(text, 1)
+
+
 def letter_digits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in MIXED.finditer(text):
@@ -209,34 +229,62 @@ def at_and_dot(text: str) -> list[tuple[int, int, str]]:
 
 
 def asks(text: str) -> bool:
-    """Whether a disguise is possible; plain prose is not normalised."""
-    if not text.isascii() and ODD.search(text):
-        return True
-    low = text.lower()
-    if any(w in low for w in (" dot", "dot ", "[dot", "(dot", "{dot", "<dot", "[.", "(.", "{.", " punto ", " punkt ", "[p", "(p", "[at", "(at", "{at", "<at", "[@", "(@", " @", "@ ", "[ at", "( at", "arroba", "arobase")):
+    """Whether a pass can change the text: never false where one would, so that it only saves time.
+
+    A disguised sign is in brackets, a sign beside a blank, or a bare word for a dot (a bare "at"
+    needs a disguised dot as well). In an identifier, the word or number next to a spelled digit is a
+    number, a word of a chain, or letters that stand for digits.
+    """
+    if not text.isascii():
+        if look_alikes(text):
+            return True
+        if any(c in text for c in "İıſ"):
+            text = text.translate(FOLDED)
+    if BRACKETED.search(text) or "@" in text and BLANK_AT.search(text):
         return True
-    if len(NUMBER_WORDS.intersection(low.replace(",", " ").replace("-", " ").split())) >= 2:
+    words = TOKEN.findall(text.lower())
+    if not BARE_DOTS.isdisjoint(words):
         return True
+    if not NUMBER_WORDS.isdisjoint(words):
+        for i, w in enumerate(words):
+            if w in NUMBER_WORDS and any(o in BESIDE or o.isdecimal() or not o.strip("oil") for o in (*words[max(0, i - 1) : i], *words[i + 1 : i + 2])):
+                return True
     return MIXED.search(text) is not None and bool(letter_digits(text))
 
 
-def spans(text: str) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base) of every identifier, by kind as in KINDS, then start, then end."""
+def _disguised(text: str, passes: tuple[Callable, ...]) -> list[tuple[str, int, int]]:
+    """Identifiers of the text after the passes, at their places in the text."""
+    done, now = [], text
+    for rule in passes:
+        if edits := rule(now):
+            done.append(Rewritten(now, edits))
+            now = done[-1].text
+    found = []
+    for kind, finder in FINDERS.items() if done else ():
+        for span in finder(now):
+            for p in reversed(done):
+                span = p.source(*span)
+            found.append((kind, *span))
+    return found
+
+
+def spans(text: str, ask: Callable[[str], bool] = asks) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, base) of every identifier, by kind as in KINDS, then start, then end.
+
+    Chains of fewer than three spelled digits count where they make an address, card or phone apart
+    from all that is found without them.
+    """
     base = {k: list(f(text)) for k, f in FINDERS.items()}
     found = {(k, *s): True for k in KINDS for s in base[k]}
-    if asks(text):
-        passes, now = [], text
-        for rule in (look_alikes, spelled_digits, letter_digits, at_and_dot):
-            if edits := rule(now):
-                passes.append(Rewritten(now, edits))
-                now = passes[-1].text
-        if passes:
-            for kind, finder in FINDERS.items():
-                for span in finder(now):
-                    for p in reversed(passes):
-                        span = p.source(*span)
-                    if not any(a <= span[0] and span[1] <= b for a, b in base[kind]):
-                        found.setdefault((kind, *span), False)
+    if ask(text):
+        for kind, *span in _disguised(text, (look_alikes, spelled_digits, letter_digits, at_and_dot)):
+            if not any(a <= span[0] and span[1] <= b for a, b in base[kind]):
+                found.setdefault((kind, *span), False)
+        now = Rewritten(text, look_alikes(text)).text
+        few = few_spelled_digits(now) != spelled_digits(now)
+        for kind, start, end in _disguised(text, (look_alikes, few_spelled_digits, letter_digits, at_and_dot)) if few else ():
+            if kind != "email" and not any(a < end and start < b for _, a, b in found):
+                found[kind, start, end] = False
     return sorted(((*s, plain) for s, plain in found.items()), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

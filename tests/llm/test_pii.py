@@ -51,6 +51,40 @@ DISGUISED = [
     ("phone", "call ", "plus one three seven five triple five four three nine three", " soon"),
 ]
 
+# in plain texts without any other disguise
+ALONE = [
+    ("email", "x ", "jane{@}example.com", " y"),
+    ("email", "x ", "jane<@>example.com", " y"),
+    ("email", "x ", "jane{ at }example.com", " y"),
+    ("email", "x ", "jane@example<.>com", " y"),
+    ("email", "x ", "jane@example{punto}com", " y"),
+    ("ip", "host ", "one.two.three.four", " up"),
+    ("ip", "host ", "192.168.one.two", " up"),
+    ("phone", "call ", "+1 800 555 five five five five", " soon"),
+]
+
+
+@pytest.mark.parametrize("kind,before,it,after", [*DISGUISED, *ALONE])
+def test_disguises_do_not_depend_on_their_neighbours(kind, before, it, after):
+    text = before + it + after
+    assert (kind, it) in [(k, text[a:b]) for k, a, b, base in pii.spans(text) if not base]
+    assert pii.spans(text) == pii.spans(text, lambda _: True)
+    both = text + " . and x [dot] y"
+    assert (kind, it) in [(k, both[a:b]) for k, a, b, base in pii.spans(both) if not base]
+
+
+def test_few_spelled_digits_beside_plain_numbers():
+    assert pii.spans("host 10.0.0.1 one of two") == [("ip", 5, 13, True)]
+    assert [s[:3] for s in pii.spans("host 10[.]0[.]0[.]7 one of two")] == [("ip", 5, 19)]
+
+
+def test_spans_with_the_prefilter_and_without():
+    rng = random.Random(8)
+    parts = "jane example com at dot AT Dot punto point arroba @ . [ ] ( ) { } < > one two five fIve ſix double plus + - , 1 192 555 10.0.0 4111 1111 l1 O O5 é « a".split() + [" ", " ", "  ", "\t", "\n"]
+    for _ in range(30000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "", ".", "@"]) for _ in range(rng.randrange(1, 16)))
+        assert pii.spans(text) == pii.spans(text, lambda _: True), text
+
 
 @pytest.mark.parametrize("kind,before,it,after", DISGUISED)
 def test_disguises(kind, before, it, after):
