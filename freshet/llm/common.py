@@ -75,3 +75,18 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
         trim(0)
+
+
+def in_batches(rows, schema, rows_at_once: int = 512, bytes_at_once: int = 1 << 20):
+    """Record batches of (size in bytes, row as a tuple), each bounded by rows and bytes, so that no worker holds much at once."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if len(held) >= rows_at_once or size >= bytes_at_once:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import attention, bpe, chat, forest, mixing, pfair, pii, redirects, simhash, weighted
+from freshet.llm import attention, bpe, chat, forest, frames, mixing, pfair, pieces, pii, redirects, repair, simhash, weighted
 from freshet.llm.common import share_package, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,24 @@ def op4_attention(spark, folder):
 def op2_mixing(spark, folder):
     """Every document's log probability under word counts and under the mixed model."""
     return mixing.scores(table(spark, folder, "documents"))
+
+
+@query
+def op11_repair(spark, folder):
+    """Every conversation damaged, repaired and reported."""
+    return repair.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
+@query
+def op12_frames(spark, folder):
+    """Every document's fill-in-middle form, cuts and digests."""
+    return frames.digests(frames.plan(frames.store(table(spark, folder, "documents"))))
+
+
+LLM_ORACLES["op12_frames"] = frames.ORACLE
+
+
+@query
+def op13_pieces(spark, folder):
+    """Every document encoded and decoded, as digests."""
+    return pieces.digests(table(spark, folder, "documents"))
