@@ -1,26 +1,33 @@
-"""Tail probabilities as native column expressions, so that they work per group."""
+"""Student's t distribution as native column expressions, so that tails and quantiles work per group.
+
+With x = |t| the two-sided tail is a multiple of the integral of sech(u)^n du beyond sinh(u) = x / sqrt(n).
+In r, with exp(-r^2) = sech(u)^n, it is an integral of exp(-r^2) times a smooth, slowly growing weight, for every
+number of degrees of freedom n. From r0 on it is summed up to where exp(-r^2) has fallen by ``exp(-DROP)``
+with a fixed Gauss-Legendre rule; the relative error is below 1e-11 for all n >= 1.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
-REACH, STEP = 4.2, 0.06
+POINTS, DROP = 24, 30.0
+STEPS = 6  # four reach the precision of a double
 
 
-def _rule() -> list[tuple[float, float]]:
-    """Nodes and weights of the double-exponential rule on (0, infinity)."""
-    out = []
-    steps = round(REACH / STEP)
-    for j in range(-steps, steps + 1):
-        u = j * STEP
-        w = math.exp(math.pi / 2 * math.sinh(u))
-        out.append((w, STEP * math.pi / 2 * math.cosh(u) * w))
-    return out
+def _rule() -> Column:
+    """Places and weights of the rule on (0, 1): one literal of the plan."""
+    places, weights = np.polynomial.legendre.leggauss(POINTS)
+    return F.array(*[F.struct(F.lit(float(p + 1) / 2).alias("p"), F.lit(float(w) / 2).alias("w")) for p, w in zip(places, weights)])
 
 
-RULE = _rule()
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _log_gamma_half_step(x: Column) -> Column:
@@ -33,21 +40,57 @@ def _log_gamma_half_step(x: Column) -> Column:
     return series
 
 
+def _area(x: Column, n: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(r0^2, area): the integral beyond r0, relative to exp(-r0^2)."""
+
+    def area(g: Column) -> Column:
+        def part(total: Column, q: Column) -> Column:
+            d = g["reach"] * q["p"]
+            r = g["r0"] + d
+            y = r * r * 2.0 / n
+            return total + q["w"] * F.exp(-d * (g["r0"] * 2.0 + d)) * F.sqrt(y / -F.expm1(-y))
+
+        return body(g["r0"] * g["r0"], F.aggregate(_rule(), F.lit(0.0), part) * g["reach"])
+
+    half = F.log1p(x * x / n) * n / 2.0
+    return let(let(half, lambda h: F.struct(F.sqrt(h).alias("r0"), (F.sqrt(h + DROP) - F.sqrt(h)).alias("reach"))), area)
+
+
+def _log_scale(n: Column) -> Column:
+    """ln of what makes the whole integral one."""
+    return _log_gamma_half_step(n / 2.0) + F.log(F.lit(8.0 / math.pi) / n) / 2.0
+
+
 def student_t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p-value of a t statistic, by one method for every number of degrees of freedom.
+    """Two-sided p-value of a t statistic; null below one degree of freedom."""
+    given = F.struct(F.abs(t).alias("x"), dof.cast("double").alias("n"))
 
-    With s = |t| / sqrt(dof) the tail is the integral of (1 + w^2)^(-(dof + 1) / 2) over w > s.
-    With w = s + r v, r being the width on which it falls off, the integral over v is the sum of
-    a fixed double-exponential rule. The normaliser is a shifted asymptotic sum.
+    def tail(g: Column) -> Column:
+        p = _area(g["x"], g["n"], lambda square, area: F.exp(_log_scale(g["n"]) - square) * area)
+        return F.when(g["x"] == float("inf"), 0.0).when(g["x"] == 0, 1.0).otherwise(F.least(p, F.lit(1.0)))
+
+    return F.when((dof >= 1) & t.isNotNull(), let(given, tail))
+
+
+def student_t_quantile(level: float, dof: Column) -> Column:
+    """The t whose two-sided tail is 1 - level; null below one degree of freedom.
+
+    Newton steps for ln(tail) as a function of ln(t). It is concave and falls, so after the first step
+    every value is at or above the quantile and the steps go down to it, from any start.
     """
+    if not 0 < level < 1:
+        raise ValueError("level lies between 0 and 1")
+    z = NormalDist().inv_cdf((1 + level) / 2)
+
+    def steps(g: Column) -> Column:
+        n = g["n"]
+
+        def step(t: Column, _: Column) -> Column:
+            return _area(
+                t, n, lambda square, area: t * F.exp((g["scale"] - square + F.log(area) - math.log1p(-level)) * area * math.sqrt(2) * F.sqrt(t * t / n + 1.0) / t)
+            )
+
+        return F.aggregate(F.array_repeat(F.lit(0), STEPS), F.lit((z * z + 1) * z / 4) / n + z, step)
+
     n = dof.cast("double")
-    s = F.abs(t) / F.sqrt(n)
-    # the integrand falls by a factor e over this width: slowly near the middle, fast far out
-    width = F.least(F.lit(1.0) / F.sqrt(n), (F.lit(1.0) + s * s) / ((n + 1.0) * F.greatest(s, F.lit(1e-300))))
-    nodes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in RULE])
-    exponent = (n + 1.0) / 2.0
-    # relative to the value at s, so that nothing underflows
-    part = lambda p: F.exp(-exponent * F.log1p((s * 2.0 + width * p["w"]) * width * p["w"] / (s * s + 1.0))) * p["k"]
-    area = F.aggregate(nodes, F.lit(0.0), lambda total, p: total + part(p)) * width
-    scale = F.exp(_log_gamma_half_step(n / 2.0) - exponent * F.log1p(s * s)) * (2.0 / math.sqrt(math.pi))
-    return F.when(dof >= 1, F.when(F.abs(t) == float("inf"), 0.0).when(s == 0, 1.0).otherwise(F.least(scale * area, F.lit(1.0))))
+    return F.when(dof >= 1, let(F.struct(n.alias("n"), _log_scale(n).alias("scale")), steps))

@@ -950,6 +950,21 @@ def lm_fitted(spark, folder):
     return models.fitted_line(spring, "temp_avg_vwc", "temp_avg", ["site"])
 
 
+@query
+def lm_band(spark, folder):
+    """Fitted temperature of every spring day with the bounds of its line's 95 % band, per site and year."""
+    spring = compiled(spark, folder).where(daily_plan.spring(F.col("date"))).select("site", "wyear", "date", "temp_avg", "temp_avg_vwc")
+    return models.fitted_band(spring, "temp_avg_vwc", "temp_avg", ["site", "wyear"])
+
+
+@query
+def lm_band_grid(spark, folder):
+    """Price in thousands on quantity at 80 places per return flag and status, with a 99 % band."""
+    price = (F.col("l_extendedprice") / 1000).alias("price")
+    lines = r.table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", price)
+    return models.band_grid(lines, "price", "l_quantity", ["l_returnflag", "l_linestatus"], 0.99)
+
+
 @query
 def lm_table(spark, folder):
     return yields.regressions(spark, folder).drop("p_value")

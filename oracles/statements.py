@@ -471,6 +471,45 @@ add(
                   FROM v_daily WHERE month(date) BETWEEN 3 AND 5 GROUP BY 1) m ON d.site IS NOT DISTINCT FROM m.s""",
     "temp_avg temp_avg_vwc fitted",
 )
+
+
+def band(source: str, keys: str, x: str, at: str, level: float, extra: str = "") -> str:
+    """Lines of (y, x) per group with the bounds at the places of ``at``: quantiles by halving an interval, no closed form."""
+    area = tail("(t * t / (dof + t * t))", "(dof + 2)")
+    same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM f.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE f AS MATERIALIZED (
+            SELECT {keys}, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_avgx(y, x) AS mid,
+                   regr_sxx(y, x) AS sxx, greatest(regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x), 0) AS sse,
+                   min(x) FILTER (y IS NOT NULL) AS low, max(x) FILTER (y IS NOT NULL) AS high
+            FROM ({source}) GROUP BY ALL),
+        half AS (
+            SELECT DISTINCT CAST(n AS BIGINT) - 2 AS dof, 0::DOUBLE AS a, 20::DOUBLE AS b, 0 AS k FROM f WHERE n > 2
+            UNION ALL
+            SELECT dof, CASE WHEN p > {1 - level}::DOUBLE THEN t ELSE a END, CASE WHEN p > {1 - level}::DOUBLE THEN b ELSE t END, k + 1
+            FROM (SELECT *, {area} AS p FROM (SELECT *, (a + b) / 2 AS t FROM half)) WHERE k < 50),
+        q AS (SELECT dof, (a + b) / 2 AS t FROM half WHERE k = 50),
+        g AS (SELECT a.*, slope, intercept, mid, sxx, sse, n, t FROM ({at}) a LEFT JOIN f ON {same} LEFT JOIN q ON q.dof = f.n - 2)
+        SELECT * EXCLUDE (slope, intercept, mid, sxx, sse, n, t{extra}), intercept + slope * {x} AS fitted,
+               intercept + slope * {x} - t * sqrt(sse / (n - 2) * (1.0::DOUBLE / n + ({x} - mid) * ({x} - mid) / sxx)) AS lower,
+               intercept + slope * {x} + t * sqrt(sse / (n - 2) * (1.0::DOUBLE / n + ({x} - mid) * ({x} - mid) / sxx)) AS upper
+        FROM g"""
+
+
+SPRING_DAYS = "SELECT site, wyear, date, temp_avg, temp_avg_vwc FROM v_daily WHERE month(date) BETWEEN 3 AND 5"
+add("lm_band", band(f"SELECT site, wyear, temp_avg_vwc AS y, temp_avg AS x FROM ({SPRING_DAYS})", "site, wyear", "temp_avg", SPRING_DAYS, 0.95), "temp_avg temp_avg_vwc fitted lower upper")
+LINES = "SELECT l_returnflag, l_linestatus, l_extendedprice / 1000 AS y, l_quantity AS x FROM lineitem"
+add(
+    "lm_band_grid",
+    band(
+        LINES,
+        "l_returnflag, l_linestatus",
+        "l_quantity",
+        f"""SELECT l_returnflag, l_linestatus, CAST(i AS INTEGER) AS point, low + (high - low) * i / 79.0::DOUBLE AS l_quantity
+            FROM (SELECT l_returnflag, l_linestatus, min(x) AS low, max(x) AS high FROM ({LINES}) GROUP BY ALL), range(0, 80) r(i)""",
+        0.99,
+    ),
+    "l_quantity fitted lower upper",
+)
 A, B, P = "WBminusRB_abs_spr", "WBminusRB_abs_end", "WBminusRB_per_spr"
 WARM_ALL = f"""(SELECT wyear, coalesce(n_cl_warm_4, 0) AS n_cl_warm_4, coalesce({A}, 0) AS {A}, coalesce({B}, 0) AS {B} FROM v_warm_wide FULL JOIN v_yields USING (wyear))"""
 SPRING_RAIN = """(SELECT wyear, CASE WHEN count(precip_mm) = count(*) THEN sum(precip_mm) END AS x FROM v_4cl WHERE site = 'WB' GROUP BY 1)"""

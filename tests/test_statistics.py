@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from freshet.functions.tails import student_t_two_sided
+from freshet.functions.tails import student_t_quantile, student_t_two_sided
 from freshet.operators import models, permanova, sizing, som
 from freshet.plans.sweep import read_grid, sweep
 
@@ -55,6 +55,46 @@ def test_tails_by_one_method_for_every_dof(spark):
         assert r["p"] == pytest.approx(want, rel=1e-8 if r["dof"] != 100_000 or r["t"] < 5 else 1e-5)
 
 
+def test_quantiles_give_their_tail_back(spark):
+    places = [(n,) for n in (1, 2, 3, 10, 97, 1000, 10**6, 10**9)]
+    for level in (0.1, 0.5, 0.95, 0.99, 1 - 1e-6):
+        df = spark.createDataFrame(places, "dof long").withColumn("t", student_t_quantile(level, F.col("dof")))
+        for r in df.withColumn("p", student_t_two_sided(F.col("t"), F.col("dof"))).collect():
+            assert r["p"] == pytest.approx(1 - level, rel=1e-8)
+            if r["dof"] == 1:
+                assert r["t"] == pytest.approx(math.tan(math.pi * level / 2), rel=1e-8)
+            if r["dof"] == 2:
+                assert r["t"] == pytest.approx(level * math.sqrt(2 / (1 - level * level)), rel=1e-8)
+    assert spark.range(1).select(student_t_quantile(0.95, F.lit(0))).first()[0] is None
+
+
+def test_band_of_small_groups(spark):
+    """Against the matrix formula; groups of two pairs, of one place, and rows without x or y."""
+    rng = np.random.default_rng(2)
+    xs, noise = rng.normal(size=30), rng.normal(size=30)
+    rows = [("a", float(x), float(2 * x + 1 + e)) for x, e in zip(xs, noise)] + [("a", None, 1.0), ("a", 0.5, None), ("two", 1.0, 1.0), ("two", 2.0, 3.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 4.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = models.fitted_band(df, "y", "x", ["g"]).collect()
+    assert len(got) == len(rows)
+    design = np.column_stack([np.ones(30), xs])
+    ys = 2 * xs + 1 + noise
+    beta, rest, _, _ = np.linalg.lstsq(design, ys, rcond=None)
+    inverse, spread = np.linalg.inv(design.T @ design), math.sqrt(rest[0] / 28)
+    for r in got:
+        if r["g"] == "a" and r["x"] is not None:
+            at = np.array([1, r["x"]])
+            half = 2.048407141795244 * spread * math.sqrt(at @ inverse @ at)  # fixed value: the 0.975 quantile for 28 degrees
+            assert (r["fitted"], r["lower"], r["upper"]) == pytest.approx((at @ beta, at @ beta - half, at @ beta + half), rel=1e-9)
+        elif r["g"] == "two":
+            assert r["fitted"] == pytest.approx(r["y"]) and r["lower"] is None
+        else:
+            assert r["lower"] is None
+    one = models.fitted_band(df.where("g = 'a'").drop("g"), "y", "x").where("x is not null").orderBy("x").first()
+    grid = models.band_grid(df, "y", "x", ["g"], points=5).where("g = 'a'").orderBy("point").collect()
+    assert [r["x"] for r in grid] == pytest.approx(list(np.linspace(xs.min(), xs.max(), 5)))
+    assert (grid[0]["lower"], grid[0]["upper"]) == pytest.approx((one["lower"], one["upper"]))
+
+
 def test_rows_with_a_missing_feature_do_not_reach_a_map(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(59, 2)))] + [(59, None, 1.0)]
