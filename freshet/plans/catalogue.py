@@ -61,27 +61,40 @@ def scan_typed(spark, folder):
     return raw.withColumn("recordtime", calendar.parse_timestamp(F.col("recordtime")).cast("timestamp_ntz"))
 
 
+SENSOR_FILES = "event_id long, airtemp_c double, precip double"
+
+
 def _two_generations(spark, folder):
-    """Sensor files of two generations: the old ones also have a precipitation column."""
+    """Sensor files of two generations: the old ones have a precipitation column, the new ones another column order."""
     base = shared_dir(spark, "multi")
     readings = r.sensor(spark, folder)
     old = F.col("station") < "m"
     files.write_csv(readings.where(old).select("event_id", "airtemp_c", F.lit(0.5).alias("precip")), f"{base}/old")
-    files.write_csv(readings.where(~old).select("event_id", "airtemp_c"), f"{base}/new")
-    return base, {"old": "event_id long, airtemp_c double, precip double", "new": "event_id long, airtemp_c double"}
+    files.write_csv(readings.where(~old).select("airtemp_c", "event_id"), f"{base}/new")
+    return base
 
 
 @query
 def scan_multi(spark, folder):
-    return files.read_csv_folder(spark, *_two_generations(spark, folder))
+    return files.read_csv_folder(spark, _two_generations(spark, folder), SENSOR_FILES)
 
 
 @query
 def source_tag(spark, folder):
-    base, schemas = _two_generations(spark, folder)
-    tag = F.regexp_extract(files.source_file(), "/(old|new)/", 1)
-    parts = [files.read_csv(spark, f"{base}/{p}", s).select("event_id", tag.alias("source")) for p, s in schemas.items()]
-    return reshape.bind_rows(*parts)
+    found = files.read_csv_folder(spark, _two_generations(spark, folder), SENSOR_FILES, "path")
+    return found.select("event_id", F.regexp_extract("path", "/(old|new)/", 1).alias("source"))
+
+
+@query
+def scan_inferred(spark, folder):
+    """Files of two column orders read without a schema."""
+    base = shared_dir(spark, "inferred")
+    orders = r.table(spark, folder, "orders")
+    early = F.col("o_orderkey") % 2 == 0
+    cols = ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"]
+    for name, part, names in (("a", early, cols), ("b", ~early, cols[::-1])):
+        files.write_csv(orders.where(part).withColumn("o_orderdate", F.to_date("o_orderdate")).select(*names), f"{base}/{name}")
+    return files.read_csv(spark, base)
 
 
 @query
@@ -102,6 +115,38 @@ def retype(spark, folder):
     return columns.cast_to(texts, {"key": "long", "price": "double", "priority": "int"})
 
 
+def _as_texts(df):
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+@query
+def retype_inferred(spark, folder):
+    """Orders as texts, with their types found again."""
+    return columns.retype(_as_texts(r.table(spark, folder, "orders")))
+
+
+@query
+def retype_inferred_pages(spark, folder):
+    """Pages as texts: numbers, addresses and markup."""
+    return columns.retype(_as_texts(r.table(spark, folder, "pages")))
+
+
+@query
+def types_inferred(spark, folder):
+    """The type found for every column of five tables as texts, days as such, prices with missing marks."""
+    out = []
+    for name in ("orders", "lineitem", "events", "customer", "pages"):
+        rows = r.table(spark, folder, name)
+        if name == "lineitem":
+            day = F.date_format("l_shipdate", "yyyy/M/d")
+            mixed = F.when(F.col("l_linenumber") == 1, "NA").when(F.col("l_linenumber") == 2, " 7 ").otherwise(F.col("l_tax").cast("string"))
+            code = F.lpad(F.col("l_suppkey").cast("string"), 9, "0")
+            rows = rows.withColumns({"l_shipdate": day, "l_tax": mixed, "l_suppkey": code, "l_linestatus": F.when(F.col("l_linestatus") == "O", "T").otherwise("FALSE")})
+        types = columns.infer_types(_as_texts(rows), rows.columns)
+        out += [(name, c, t) for c, t in types.items()]
+    return spark.createDataFrame(out, "source string, name string, type string")
+
+
 @query
 def append_literals(spark, folder):
     missing = spark.createDataFrame([("2003-04-10",), ("2003-05-30",)], "d string").select(F.to_date("d").alias("date"))

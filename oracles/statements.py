@@ -25,6 +25,42 @@ add(
     "SELECT o_orderkey AS key, o_totalprice AS price, TRY_CAST(o_orderpriority AS INTEGER) AS priority, o_orderstatus AS status FROM orders",
     "price",
 )
+add("scan_inferred", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, o_orderpriority FROM orders", "o_totalprice")
+add("retype_inferred", "SELECT * FROM orders", "o_totalprice")
+add("retype_inferred_pages", "SELECT page_id, nullif(nullif(url, ''), 'NA') AS url, nullif(nullif(html, ''), 'NA') AS html FROM pages")
+
+
+def inferred(source: str, names: str) -> str:
+    """The first type that all texts of a column fit, column after column."""
+    kinds = {
+        "boolean": "t IN ('TRUE', 'FALSE', 'True', 'False', 'true', 'false', 'T', 'F')",
+        "bigint": r"regexp_full_match(t, '[+-]?(0|[1-9][0-9]*)') AND try_cast(t AS BIGINT) IS NOT NULL",
+        "double": r"regexp_full_match(t, '[+-]?(0|[1-9][0-9]*)?([.][0-9]*)?([eE][+-]?[0-9]+)?') AND try_cast(t AS DOUBLE) IS NOT NULL",
+        "date": r"regexp_full_match(t, '[0-9]{4}(-[0-9]{1,2}-|/[0-9]{1,2}/)[0-9]{1,2}') AND try_cast(replace(t, '/', '-') AS DATE) IS NOT NULL",
+        "timestamp_ntz": r"regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+') AND try_cast(t AS TIMESTAMP) IS NOT NULL",
+    }
+    first = "CASE " + " ".join(f"WHEN bool_and({test}) THEN '{kind}'" for kind, test in kinds.items()) + " ELSE 'string' END"
+    label = source.split()[-1].strip("()")
+    return " UNION ALL ".join(
+        f"SELECT '{label}' AS source, '{c}' AS name, {first} AS type FROM (SELECT trim(CAST({c} AS VARCHAR)) AS t FROM ({source})) WHERE t NOT IN ('', 'NA')" for c in names.split()
+    )
+
+
+SHIPPED = """SELECT * REPLACE (strftime(l_shipdate, '%Y/%-m/%-d') AS l_shipdate, lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS l_suppkey,
+    CASE l_linenumber WHEN 1 THEN 'NA' WHEN 2 THEN ' 7 ' ELSE CAST(l_tax AS VARCHAR) END AS l_tax, CASE l_linestatus WHEN 'O' THEN 'T' ELSE 'FALSE' END AS l_linestatus) FROM lineitem"""
+add(
+    "types_inferred",
+    " UNION ALL ".join(
+        inferred(s, n)
+        for s, n in (
+            ("SELECT * FROM orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
+            (SHIPPED, "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"),
+            ("SELECT * FROM events", "event_id ts user_id event_type value props"),
+            ("SELECT * FROM customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"),
+            ("SELECT * FROM pages", "page_id url html"),
+        )
+    ),
+)
 add("append_literals", "SELECT * FROM v_snow UNION ALL SELECT * FROM (VALUES (DATE '2003-04-10', NULL), (DATE '2003-05-30', NULL)) AS t(a, b)")
 add(
     "date_spine",

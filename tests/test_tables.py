@@ -1,6 +1,7 @@
 """Missing-value rules, joins, reshaping, ranking and quantiles on small fixtures."""
 
 import datetime as dt
+import gzip
 import random
 
 import numpy as np
@@ -174,6 +175,70 @@ def test_files_with_different_headers(spark, tmp_path):
     assert got == [(dt.datetime(2003, 1, 2, 4, 5), None, 7.0), (dt.datetime(2003, 1, 2, 5, 5), 1.5, None), (None, None, None)]
 
 
+def test_columns_are_found_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x,y\n1,10,100\n")
+    (tmp_path / "b.csv").write_text('"y","id","x"\n200,2,20\n')
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "c.csv").write_text("\ufeffid,y\n3,300\n4,bad\n")
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as f:
+        f.write("x,id,y\n50,5,NA\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "[odd]*.csv").write_text("y,x,id\n600,60,6\n")
+    (tmp_path / "_hidden.csv").write_text("nothing\n1\n")
+    (tmp_path / "notes.txt").write_text("nothing\n1\n")
+    got = rows(files.read_csv(spark, str(tmp_path), "id long, x double, y double", "path").withColumn("path", F.element_at(F.split("path", "/"), -1)), "id")
+    assert [r[:3] for r in got] == [(1, 10.0, 100.0), (2, 20.0, 200.0), (3, None, 300.0), (4, None, None), (5, 50.0, None), (6, 60.0, 600.0)]
+    assert [r[3] for r in got][:5] == ["a.csv", "b.csv", "c.csv", "c.csv", "d.csv.gz"]
+    inferred = files.read_csv(spark, str(tmp_path))
+    assert dict(inferred.dtypes) == {"id": "bigint", "x": "bigint", "y": "string"}
+    assert rows(inferred.select("id", "x"), "id")[2:4] == [(3, None), (4, None)]
+
+
+def test_wrong_headers_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,xx\n1,10\n")
+    (tmp_path / "b.csv").write_text("id,x,x\n1,10,11\n")
+    with pytest.raises(ValueError, match="unknown columns xx"):
+        files.read_csv(spark, f"{tmp_path}/a.csv", "id long, x double")
+    with pytest.raises(ValueError, match="twice"):
+        files.read_csv(spark, f"{tmp_path}/b.csv", "id long, x double")
+    with pytest.raises(FileNotFoundError):
+        files.read_csv(spark, f"{tmp_path}/none.csv", "id long")
+
+
+# texts of a column and the type they have
+COLUMNS = [
+    (["1", "-2", None, "NA", " 3 "], "bigint"),
+    (["9223372036854775808", "1"], "double"),
+    (["1", "2.5", "1e3", ".5", "NaN", "-Inf"], "double"),
+    (["007", "1"], "string"),
+    (["0", "0.5"], "double"),
+    (["TRUE", "F", "false"], "boolean"),
+    (["TRUE", "1"], "string"),
+    (["2001-02-03", "2001/2/3"], "date"),
+    (["2001-02-03", "2001-02-03 04:05", "2001-02-03T04:05:06.5"], "timestamp_ntz"),
+    (["2001-02-30"], "string"),
+    (["2001-02/03"], "string"),
+    (["", None, "NA"], "boolean"),
+    (["1", "x"], "string"),
+    (["1d", "2"], "string"),
+]
+
+
+def test_types_from_texts(spark):
+    names = [f"c {i}" for i in range(len(COLUMNS))]
+    longest = max(len(texts) for texts, _ in COLUMNS)
+    rows_ = list(zip(*[[*texts, *[None] * (longest - len(texts))] for texts, _ in COLUMNS]))
+    df = spark.createDataFrame(rows_, ", ".join(f"`{n}` string" for n in names)).repartition(4)
+    assert columns.infer_types(df, names) == dict(zip(names, (t for _, t in COLUMNS)))
+    typed = columns.retype(df.withColumn("kept", F.lit(1)))
+    assert dict(typed.dtypes) == dict(zip(names, (t for _, t in COLUMNS))) | {"kept": "int"}
+    got = {n: sorted((r[n] for r in typed.collect() if r[n] is not None), key=str) for n in names}
+    assert got["c 0"] == [-2, 1, 3] and got["c 5"] == [False, False, True]
+    assert got["c 7"] == [dt.date(2001, 2, 3)] * 2
+    assert got["c 8"] == [dt.datetime(2001, 2, 3), dt.datetime(2001, 2, 3, 4, 5), dt.datetime(2001, 2, 3, 4, 5, 6, 500000)]
+    assert columns.retype(df.limit(0)).dtypes[0] == ("c 0", "boolean")
+
+
 # withdrawals of one published water year, October to September (fixed values)
 USE_1999 = [(10, 0.0), (11, 9.3), (12, 21.1), (1, 16.4), (2, 5.5), (3, 1.2)] + [(m, None) for m in range(4, 10)]
 
