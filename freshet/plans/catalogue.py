@@ -16,7 +16,7 @@ from freshet.plans.springs import FEATURES
 from freshet.plans.sweep import best_runs
 from freshet.session import shared_dir
 from freshet.sources import files, readings as r
-from freshet.streaming import rollups
+from freshet.streaming import closing, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1127,3 +1127,39 @@ def stream_hourly_mean(spark, folder):
 @query
 def stream_daily_total(spark, folder):
     return rollups.daily_total(_event_stream(spark, folder), "ts", "station", "airtemp_c", "airtemp_total")
+
+
+def _arrivals(spark, folder, width, lateness, values):
+    """Events arriving in three loads, some readings two days after their own; the queries stop and go on after each."""
+    base = shared_dir(spark, "closing")
+    events = r.table(spark, folder, "events").select("event_id", "ts", F.col("event_type").alias("station"), "value")
+    tardy = F.when(F.col("event_id") % 37 == 0, 2).otherwise(0)
+    load = F.least(F.floor((F.dayofmonth("ts") + tardy) / 11), F.lit(2))
+    events = events.withColumn("load", load)
+    for i in range(3):
+        events.where(F.col("load") == i).drop("load").write.parquet(f"{base}/in/load={i}")
+        stream = rollups.read_stream(spark, f"{base}/in/load=*", events.drop("load").schema, "*.parquet", "ts")
+        found = closing.roll_up(stream, "ts", ["station"], values, width, lateness, base)
+    return base, *found
+
+
+@query
+def stream_hourly_closed(spark, folder):
+    """Hourly means of the windows that are closed, from three loads, with their folders merged."""
+    values = [F.count(F.lit(1)).alias("n"), F.avg("value").alias("airtemp_c")]
+    base, found, _ = _arrivals(spark, folder, "1 hour", "12 hours", values)
+    closing.compact(spark, base, found.schema)
+    return closing.closed(spark, base, found.schema)
+
+
+@query
+def stream_daily_closed(spark, folder):
+    """Daily totals of the days that are closed."""
+    return _arrivals(spark, folder, "1 day", "6 hours", [F.count(F.lit(1)).alias("n"), nulls.strict_sum("value").alias("total")])[1]
+
+
+@query
+def stream_late_readings(spark, folder):
+    """Readings that came after their hour was closed, with the watermark they met."""
+    found = _arrivals(spark, folder, "1 hour", "12 hours", [F.count(F.lit(1)).alias("n")])[2]
+    return found.select("event_id", rollups.wall_time(F.col("ts")).alias("ts"), "station", "value", rollups.wall_time(F.col("watermark")).alias("watermark"))

@@ -642,3 +642,21 @@ add(
     """SELECT CAST(ts AS DATE) AS date, station, CASE WHEN count(airtemp_c) = count(*) THEN sum(airtemp_c) END AS airtemp_total FROM v_sensor GROUP BY 1, 2""",
     "airtemp_total",
 )
+
+
+def arrivals(width: str, lateness: str) -> str:
+    """Loads of events, each with the watermark of the loads before it, and whether a row is late."""
+    return f"""(SELECT *, date_trunc('{width}', ts) AS w, coalesce(date_trunc('{width}', ts) + INTERVAL 1 {width} <= mark, false) AS late
+        FROM (SELECT event_id, ts, event_type AS station, value, CAST(least(floor((day(ts) + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END) / 11), 2) AS INTEGER) AS load FROM events)
+        JOIN (SELECT i AS load, (SELECT max(ts) FROM events WHERE least(floor((day(ts) + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END) / 11), 2) < i) - INTERVAL {lateness} AS mark
+              FROM range(0, 3) r(i)) USING (load))"""
+
+
+def closed_windows(width: str, lateness: str, values: str) -> str:
+    return f"""SELECT w AS "from", w + INTERVAL 1 {width} AS upto, station, count(*) AS n, {values} FROM {arrivals(width, lateness)}
+               WHERE NOT late AND w + INTERVAL 1 {width} <= (SELECT max(ts) FROM events) - INTERVAL {lateness} GROUP BY ALL"""
+
+
+add("stream_hourly_closed", closed_windows("hour", "12 hours", "avg(value) AS airtemp_c"), "airtemp_c")
+add("stream_daily_closed", closed_windows("day", "6 hours", "CASE WHEN count(value) = count(*) THEN sum(value) END AS total"), "total")
+add("stream_late_readings", f"SELECT event_id, ts, station, value, mark AS watermark FROM {arrivals('hour', '12 hours')} WHERE late", "value")
