@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.tails import let, student_t_quantile, student_t_two_sided
 from freshet.operators.joins import join_matching_nulls
+from freshet.operators.moments import correlations
 
 
 def slope_p_value(r2: Column, n: Column) -> Column:
@@ -109,20 +109,6 @@ def correlation(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> Dat
 
 def correlation_ranking(df: DataFrame, cols: Sequence[str], max_p: float = 0.05, top: int = 20) -> DataFrame:
     """The strongest correlations among all pairs of columns: one pass over the data for all of them."""
-    pairs = list(combinations(cols, 2))
-    row = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("var_a"),
-                    F.lit(b).alias("var_b"),
-                    F.corr(a, b).alias("r"),
-                    F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"),
-                )
-                for a, b in pairs
-            ]
-        ).alias("all")
-    )
-    ranked = row.select(F.inline("all"))
+    ranked = correlations(df, cols)
     ranked = ranked.withColumn("p_value", slope_p_value(F.col("r") * F.col("r"), F.col("n")))
     return ranked.where(F.col("p_value") <= max_p).orderBy(F.abs("r").desc(), "var_a", "var_b").limit(top)

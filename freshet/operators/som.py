@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.operators.columns import complete_cases
+from freshet.session import shared_dir
 
 SLICE_NODES = 4096  # nodes per broadcast when assigning rows; larger codebooks take several
 AT_ONCE = 4_000_000  # row-node distances that a task holds while training
@@ -95,22 +96,31 @@ def _vectors(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
+def _pool(data: DataFrame, order: Sequence[Column], runs: Sequence[Mapping[str, Any]], times: int) -> np.ndarray:
+    """The first rows of a table with _x, ``times`` as many as the largest lattice has nodes."""
+    most = max(int(r["rows"]) * int(r["cols"]) for r in runs)
+    pool = np.array([r[0] for r in data.orderBy(*order).limit(times * most).select("_x").collect()], dtype=float)
+    if most > len(pool):
+        raise ValueError("a lattice cannot have more nodes than there are observations")
+    return pool
+
+
 def _starting_codes(data: DataFrame, runs: Sequence[Mapping[str, Any]], seed: int) -> dict[int, np.ndarray]:
     """Distinct rows per run, drawn from a pool of rows with the smallest seeded hash of their key."""
-    most = max(int(r["rows"]) * int(r["cols"]) for r in runs)
-    first = data.orderBy(F.xxhash64(F.lit(seed), F.col("_key")), F.col("_key")).limit(2 * most)
-    pool = np.array([r[0] for r in first.select("_x").collect()], dtype=float)
+    pool = _pool(data, [F.xxhash64(F.lit(seed), F.col("_key")), F.col("_key")], runs, 2)
     codes = {}
     for r in runs:
-        nodes = int(r["rows"]) * int(r["cols"])
-        if nodes > len(pool):
-            raise ValueError("a lattice cannot have more nodes than there are observations")
         rng = np.random.default_rng(seed * 100_003 + int(r["run"]))
-        codes[int(r["run"])] = pool[rng.permutation(len(pool))[:nodes]].copy()
+        codes[int(r["run"])] = pool[rng.permutation(len(pool))[: int(r["rows"]) * int(r["cols"])]].copy()
     return codes
 
 
-def _epoch_sums(data: DataFrame, width: int, codes: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
+def _first_rows(df: DataFrame, cols: Sequence[str], runs: Sequence[Mapping[str, Any]], start: Sequence[Column]) -> dict[int, np.ndarray]:
+    pool = _pool(df.withColumn("_x", _vectors(cols)), start, runs, 1)
+    return {int(r["run"]): pool[: int(r["rows"]) * int(r["cols"])].copy() for r in runs}
+
+
+def epoch_sums(data: DataFrame, width: int, codes: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Per run a (nodes, 2 + features) table: rows, summed distance and summed features of each node.
 
     Every task adds up its rows per node; its totals are combined by one shuffle
@@ -149,11 +159,30 @@ def _epoch_sums(data: DataFrame, width: int, codes: Mapping[int, np.ndarray]) ->
     return out
 
 
-def _smooth(w: np.ndarray, table: np.ndarray, points: np.ndarray, radius: float, topology: str) -> np.ndarray:
-    """Every node moves to the mean of the rows won inside its neighbourhood; without any it stays."""
+def _smooth(w: np.ndarray, table: np.ndarray, points: np.ndarray, radius: float, topology: str, rate: float | None = None, repeats: float = 1.0) -> np.ndarray:
+    """Every node moves towards the mean of the rows won inside its neighbourhood; without any it stays.
+
+    Without a rate it moves all the way. With one it moves as far as ``repeats`` single steps of that rate for each
+    of those rows would take it: each leaves 1 - rate of the distance.
+    """
     summed = neighbourhood_sums(np.delete(table, 1, axis=1), points, radius, topology)
-    weight, moved = np.round(summed[:, 0]), summed[:, 1:]
-    return np.where(weight[:, None] > 0, moved / np.maximum(weight, 1e-300)[:, None], w)
+    weight, moved = np.round(summed[:, 0])[:, None], summed[:, 1:]
+    mean = moved / np.maximum(weight, 1e-300)
+    if rate is None:
+        return np.where(weight > 0, mean, w)
+    stays = np.exp(np.log1p(-min(rate, 1 - 1e-12)) * repeats * weight)
+    return np.where(weight > 0, stays * w + (1 - stays) * mean, w)
+
+
+def _rate(run: Mapping[str, Any], done: float, share: float) -> tuple[float | None, float]:
+    """(rate, presentations of each row) of a step; no rate for a run without any."""
+    coarse = run.get("alpha_coarse")
+    if coarse is None:
+        return None, 1.0
+    fine = coarse if run.get("alpha_fine") is None else run["alpha_fine"]
+    if not 0 < fine <= coarse <= 1:
+        raise ValueError(f"run {run['run']}: rates must fall from at most one and stay above zero")
+    return coarse + (fine - coarse) * done, (run.get("iterations") or 1) * share
 
 
 def train_epoch(df: DataFrame, cols: Sequence[str], codes: DataFrame, radius: float) -> DataFrame:
@@ -162,7 +191,7 @@ def train_epoch(df: DataFrame, cols: Sequence[str], codes: DataFrame, radius: fl
     for r in codes.orderBy("run", "node").collect():
         book.setdefault(r["run"], []).append(r)
     start = {run: np.array([r["w"] for r in nodes], dtype=float) for run, nodes in book.items()}
-    sums = _epoch_sums(complete_cases(df, cols).select(_vectors(cols).alias("_x")), len(cols), start)
+    sums = epoch_sums(complete_cases(df, cols).select(_vectors(cols).alias("_x")), len(cols), start)
     rows = []
     for run, nodes in book.items():
         points = np.array([[r["gx"], r["gy"]] for r in nodes])
@@ -171,27 +200,48 @@ def train_epoch(df: DataFrame, cols: Sequence[str], codes: DataFrame, radius: fl
     return df.sparkSession.createDataFrame(rows, CODEBOOK)
 
 
-def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str, Any]], epochs: int = 30, tolerance: float = 1e-4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str, Any]], epochs: int = 30, tolerance: float = 1e-4, seed: int = 1, batch_rows: int | None = None, start: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
     """Train one map per run; returns (codebook, progress).
 
+    A run with ``alpha_coarse`` follows the rates of the sequential rule in steps of whole batches: the rate falls
+    linearly to ``alpha_fine``, and a step stands for as many presentations of its rows as make up ``iterations``
+    passes in all. With ``batch_rows`` the rows are dealt by a hash of their key into batches of about that many;
+    a step then reads one batch only, written apart, and ``epochs`` counts steps. Small batches make noisy last steps:
+    they should hold many rows per node. Every run starts from distinct rows drawn with the seed, or from the first
+    rows in the order of ``start``.
+
     ``runs`` are grid rows with run, rows, cols and optionally topology. The
     neighbourhood is a bubble whose radius falls linearly from the 2/3 quantile of
     the grid distances to 0. Rows with a missing feature are left out. Codebook: run, node, gx, gy, w. Progress: run, epoch,
     the mean distance to the codes of that epoch and the mean change they then make.
     """
     spark = df.sparkSession
-    data = complete_cases(df, cols).select(F.col(key).alias("_key"), _vectors(cols).alias("_x")).persist()
+    complete = complete_cases(df, cols)
+    data = complete.select(F.col(key).alias("_key"), _vectors(cols).alias("_x"))
+    batches = 1
+    if batch_rows:
+        batches = max(1, -(-data.count() // batch_rows))
+    if batches > 1:
+        path = shared_dir(spark, "batches")
+        dealt = data.withColumn("_batch", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(batches)).cast("int"))
+        dealt.write.partitionBy("_batch").parquet(path)
+        data = spark.read.schema(dealt.schema).parquet(path)
+    else:
+        data = data.persist()
     try:
-        codes = _starting_codes(data, runs, seed)
+        codes = _first_rows(complete, cols, runs, start) if start else _starting_codes(data, runs, seed)
         points = {int(r["run"]): lattice(int(r["rows"]), int(r["cols"]), r.get("topology", "hexagonal")) for r in runs}
         kind = {int(r["run"]): r.get("topology", "hexagonal") for r in runs}
         start = {int(r["run"]): start_radius(int(r["rows"]), int(r["cols"]), kind[int(r["run"])]) for r in runs}
+        rates = {int(r["run"]): r for r in runs}
         active, progress = set(codes), []
         for epoch in range(1, epochs + 1):
-            for run, table in _epoch_sums(data, len(cols), {r: codes[r] for r in active}).items():
+            part = data.where(F.col("_batch") == (epoch - 1) % batches) if batches > 1 else data
+            done = (epoch - 1) / max(epochs - 1, 1)
+            for run, table in epoch_sums(part, len(cols), {r: codes[r] for r in active}).items():
                 w, n = codes[run], table[:, 0]
-                radius = start[run] * (1 - (epoch - 1) / max(epochs - 1, 1))
-                new = _smooth(w, table, points[run], radius, kind[run])
+                radius = start[run] * (1 - done)
+                new = _smooth(w, table, points[run], radius, kind[run], *_rate(rates[run], done, batches / epochs))
                 change = float(np.abs(new - w).mean())
                 progress.append((int(run), epoch, float(table[:, 1].sum() / n.sum()), change))
                 codes[run] = new
@@ -201,7 +251,8 @@ def fit(df: DataFrame, key: str, cols: Sequence[str], runs: Sequence[Mapping[str
             if not active:
                 break
     finally:
-        data.unpersist()
+        if batches == 1:
+            data.unpersist()
     rows = [
         (run, i + 1, float(points[run][i, 0]), float(points[run][i, 1]), [float(v) for v in w[i]])
         for run, w in codes.items()

@@ -9,11 +9,11 @@ from pyspark.sql.types import DoubleType
 
 from freshet.functions import calendar, nulls, text
 from freshet.functions.calendar import position, water_year
-from freshet.operators import aggregates, columns, fills, joins, models, ordered, pairs, permanova, quantiles, ranking, reshape, scaling, sizing, som
+from freshet.operators import aggregates, columns, fills, joins, models, moments, ordered, pairs, permanova, quantiles, ranking, reshape, scaling, sizing, som
 from freshet.plans import daily as daily_plan, springs, yields
 from freshet.plans.daily import compiled
 from freshet.plans.springs import FEATURES
-from freshet.plans.sweep import best_runs
+from freshet.plans.sweep import GRID_SCHEMA, best_runs
 from freshet.session import shared_dir
 from freshet.sources import files, readings as r
 from freshet.streaming import closing, rollups
@@ -804,6 +804,12 @@ def som_sweep(spark, folder):
     return springs.swept(spark, folder)[0]
 
 
+@query
+def sweep_grid(spark, folder):
+    """The parameter file of the sweep as it is read: lattices from the data, in every number of clusters, twice."""
+    return files.read_csv(spark, springs.grid_file(spark, folder), GRID_SCHEMA)
+
+
 @query
 def sweep_assignments(spark, folder):
     """Node, distance and cluster of every spring day in every run."""
@@ -846,17 +852,22 @@ def _vectors(spark, folder):
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
+def _vector_map(spark, folder):
+    """A map of the embedding vectors, started from the rows that an integer hash puts first; all epochs are run."""
+    data, names = _vectors(spark, folder)
+    first = [F.col("vec_id") * 7919 % 10007, F.col("vec_id")]
+    return *som.fit(data, "vec_id", names, [GRID[0]], tolerance=0.0, start=first), names
+
+
 @query
 def som_fit(spark, folder):
-    """A map of the embedding vectors."""
-    data, names = _vectors(spark, folder)
-    return som.component_planes(som.fit(data, "vec_id", names, [GRID[0]])[0], names)
+    codes, _, names = _vector_map(spark, folder)
+    return som.component_planes(codes, names)
 
 
 @query
 def som_progress(spark, folder):
-    data, names = _vectors(spark, folder)
-    return som.fit(data, "vec_id", names, [GRID[0]])[1]
+    return _vector_map(spark, folder)[1]
 
 
 @query
@@ -919,6 +930,13 @@ def permanova_p(spark, folder):
     return permanova.permanova(data, "date", "cluster", FEATURES)
 
 
+@query
+def permanova_permuted(spark, folder):
+    """Pseudo-F of every permutation of the days' clusters."""
+    data = springs.scaled_features(spark, folder).join(springs.day_clusters(spark, folder), "date")
+    return permanova.permuted_f(data, "date", "cluster", FEATURES)
+
+
 @query
 def minmax_scale(spark, folder):
     return scaling.min_max(r.table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.lit(1.0).alias("constant")), ["size", "price", "constant"])
@@ -945,7 +963,9 @@ def weight_features(spark, folder):
 
 @query
 def kmeans_elbow(spark, folder):
-    return sizing.kmeans_elbow(springs.scaled_features(spark, folder), FEATURES)
+    """From starts that an integer hash of the day picks."""
+    day = F.date_diff("date", F.lit("1970-01-01").cast("date")).cast("long")
+    return sizing.kmeans_elbow(springs.scaled_features(spark, folder), FEATURES, start=[day * 7919 % 10007, F.col("date")])
 
 
 @query
@@ -960,6 +980,28 @@ def lattice_size(spark, folder):
     return sizing.lattice_size(springs.features(spark, folder), FEATURES)
 
 
+@query
+def grid_from_data(spark, folder):
+    """The five lattices that suit the spring days best."""
+    return sizing.grid_from_data(springs.features(spark, folder), FEATURES)
+
+
+@query
+def weights_pca(spark, folder):
+    """Loadings of the spring drivers on their first principal component."""
+    found = moments.first_loadings(springs.features(spark, folder), FEATURES)
+    return spark.createDataFrame(list(found.items()), "feature string, weight double")
+
+
+@query
+def som_rates(spark, folder):
+    """The same map with the published rates, with slow ones in few passes, and without any."""
+    runs = [GRID[2] | {"run": i, **more} for i, more in enumerate(({"iterations": 1500, "alpha_coarse": 0.05, "alpha_fine": 0.01}, {"iterations": 3, "alpha_coarse": 0.02, "alpha_fine": 0.001}, {}), 1)]
+    data = springs.scaled_features(spark, folder)
+    codes, _ = som.fit(data, "date", FEATURES, runs)
+    return som.quantization_error(som.assign(data.select("date", *FEATURES), FEATURES, codes))
+
+
 @query
 def node_count(spark, folder):
     return sizing.node_count(springs.features(spark, folder))
@@ -1033,6 +1075,14 @@ def corr_cross(spark, folder):
     return models.correlation_ranking(springs.features(spark, folder), FEATURES, max_p=1.0)
 
 
+@query
+def corr_wide(spark, folder):
+    """The 200 strongest of all correlations between the dimensions of the embeddings, one in nine values unknown."""
+    data, names = _vectors(spark, folder)
+    holes = {n: F.when((F.col("vec_id") + i) % 9 != 0, F.col(n)) for i, n in enumerate(names)}
+    return models.correlation_ranking(data.select("vec_id", *[c.alias(n) for n, c in holes.items()]), names, max_p=1.0, top=200)
+
+
 @query
 def corr_cross_significant(spark, folder):
     return models.correlation_ranking(springs.features(spark, folder), FEATURES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from freshet.operators import som
 from freshet.operators.columns import complete_cases, drop_listed, leading
@@ -10,6 +11,7 @@ from freshet.operators.ordered import row_numbers
 from freshet.operators.reshape import bind_rows
 from freshet.operators.scaling import min_max
 from freshet.plans.daily import compiled
+from freshet.operators.sizing import grid_from_data
 from freshet.plans.sweep import GRID_SCHEMA, best_runs, read_grid, sweep
 from freshet.session import shared_dir
 from freshet.sources import files
@@ -108,20 +110,22 @@ def numbered_features(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- the sweep and what follows from it --------------------------------------
 
-# fixed values: rows and columns of the lattices, tried twice for every number of clusters
-LATTICES = ((12, 15), (13, 15), (11, 16), (12, 16), (13, 16))
 CLUSTERS = (3, 4, 5)
+TRIES = 2  # runs of every lattice and number of clusters, from other starts
 
 
-def grid_file(spark: SparkSession) -> str:
-    """The parameter grid of the sweep as a CSV file in the shared folder; its path."""
-    sizes = [size for _ in range(2) for size in LATTICES]
-    rows = [
-        (i, "bothSites", r * c, "hexagonal", r, c, "L2norm", "noPCA", 1500, 0.05, 0.01, k, round(c / r, 1))
-        for i, (k, (r, c)) in enumerate(((k, size) for k in CLUSTERS for size in sizes), 1)
-    ]
+def grid_file(spark: SparkSession, folder: str) -> str:
+    """The parameter grid of the sweep, with the lattices that suit the spring days, as a CSV file in the shared folder; its path.
+
+    Rates, iterations and numbers of clusters are those of the published sweep.
+    """
+    sizes = grid_from_data(features(spark, folder), FEATURES)
+    every = sizes.select("*", F.explode(F.array(*map(F.lit, CLUSTERS))).alias("k")).select("*", F.explode(F.sequence(F.lit(1), F.lit(TRIES))).alias("try"))
+    numbered = every.withColumn("myRun", F.row_number().over(Window.orderBy("k", "try", "place")).cast("int"))
+    fixed = {"myDataSet": "bothSites", "myTopo": "hexagonal", "normMeth": "L2norm", "wghtMeth": "noPCA", "niter": 1500, "crsAlpha": 0.05, "finAlpha": 0.01}
+    grid = numbered.withColumns({c: F.lit(v) for c, v in fixed.items()}).withColumnsRenamed({"k": "nClusters", "col_row_ratio": "colRowRatio"})
     path = shared_dir(spark, "grid")
-    files.write_csv(spark.createDataFrame(rows, GRID_SCHEMA), path)
+    files.write_csv(grid.select(*StructType.fromDDL(GRID_SCHEMA).names), path)
     return path
 
 
@@ -131,7 +135,7 @@ def swept(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
     def train(which: str) -> DataFrame:
         if not made:
-            grid = read_grid(files.read_csv(spark, grid_file(spark), GRID_SCHEMA))
+            grid = read_grid(files.read_csv(spark, grid_file(spark, folder), GRID_SCHEMA))
             made["scores"], made["assignments"] = sweep(features(spark, folder), "date", FEATURES, grid)
         return made[which]
 

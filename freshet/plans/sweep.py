@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.operators import permanova, som
+from freshet.operators.moments import first_loadings
 from freshet.operators.ranking import upper_half
 from freshet.operators.reshape import bind_rows
 from freshet.operators.scaling import scale_by
@@ -18,17 +19,15 @@ GRID_SCHEMA = (
     "myRun int, myDataSet string, nodes int, myTopo string, rows int, cols int, normMeth string, wghtMeth string, "
     "niter int, crsAlpha double, finAlpha double, nClusters int, colRowRatio double"
 )
-#: Fields of a run that the training does not use but the score table carries.
+#: Fields of a run that the score table carries.
 CARRIED = {"dataset": "string", "nodes": "int", "scaling": "string", "weighting": "string", "iterations": "int", "alpha_coarse": "double", "alpha_fine": "double", "col_row_ratio": "double"}
 
 
 def read_grid(params: DataFrame) -> list[dict[str, Any]]:
     """Rows of a parameter file, one entry per run, with every field.
 
-    The file's number of iterations counts passes of the sequential rule and its
-    learning rates belong to that rule; the batch rule here has neither, so they
-    are carried to the scores only. A number of nodes that is not that of the
-    lattice is an error.
+    Iterations and learning rates are those of the sequential rule; training follows them in steps of
+    whole batches (``som.fit``). A number of nodes that is not that of the lattice is an error.
     """
     out = []
     for r in params.orderBy("myRun").collect():
@@ -66,12 +65,14 @@ def sweep(features: DataFrame, key: str, cols: Sequence[str], grid: Sequence[Map
 
     Scores: run, rows, cols, topology, clusters, the carried fields, qe, npf, p_value. Assignments are
     long, (run, key, node, dist, cluster); there is never a column per observation.
-    Runs with the same scaling and weighting are trained together. ``weights`` apply
-    to runs whose weighting is ``PCA``.
+    Runs with the same scaling and weighting are trained together. Runs whose weighting is ``PCA`` take
+    ``weights``, by default the loadings of the features' first principal component.
     """
     together: dict[tuple[str, bool], list[Mapping[str, Any]]] = {}
     for run in grid:
-        weighted = weights is not None and run.get("weighting") == "PCA"
+        weighted = run.get("weighting") == "PCA"
+        if weighted and weights is None:
+            weights = first_loadings(features, cols)
         together.setdefault((run.get("scaling", "minmax"), weighted), []).append(run)
     results = []
     for (method, weighted), runs in together.items():

@@ -660,3 +660,130 @@ def closed_windows(width: str, lateness: str, values: str) -> str:
 add("stream_hourly_closed", closed_windows("hour", "12 hours", "avg(value) AS airtemp_c"), "airtemp_c")
 add("stream_daily_closed", closed_windows("day", "6 hours", "CASE WHEN count(value) = count(*) THEN sum(value) END AS total"), "total")
 add("stream_late_readings", f"SELECT event_id, ts, station, value, mark AS watermark FROM {arrivals('hour', '12 hours')} WHERE late", "value")
+
+
+def power(source: str) -> str:
+    """CTEs e1 and e2 (i, v, value): first and second eigenvector by squaring the correlation matrix again and again."""
+    long = " UNION ALL ".join(f"SELECT date, {i} AS i, {f} AS x FROM {source}" for i, f in enumerate(FEATURES))
+    parts = [f"l AS MATERIALIZED ({long})", "c1 AS MATERIALIZED (SELECT a.i, b.i AS j, corr(a.x, b.x) AS v FROM l a JOIN l b USING (date) GROUP BY ALL)"]
+    for k in (1, 2):
+        last = f"c{k}"
+        for step in range(12):
+            new = f"p{k}_{step}"
+            parts.append(f"{new}_ AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY ALL)")
+            parts.append(f"{new} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {new}_) AS v FROM {new}_)")
+            last = new
+        # a power of the matrix has the eigenvector in every column; take the longest
+        parts.append(f"u{k} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE j = (SELECT j FROM {last} GROUP BY j ORDER BY sum(v * v) DESC, j LIMIT 1))")
+        parts.append(f"e{k} AS MATERIALIZED (SELECT i, v, (SELECT sum(a.v * c.v * b.v) FROM c{k} c JOIN u{k} a ON a.i = c.i JOIN u{k} b ON b.i = c.j) AS value FROM u{k})")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - a.value * a.v * b.v AS v FROM c{k} c JOIN e{k} a ON a.i = c.i JOIN e{k} b ON b.i = c.j)")
+    return "WITH " + ", ".join(parts)
+
+
+NAMES = "CASE i " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FEATURES)) + " END"
+add("weights_pca", f"{power('v_features')} SELECT {NAMES} AS feature, v * sign((SELECT arg_max(v, abs(v)) FROM e1)) AS weight FROM e1", "weight")
+SIZE = f"""{power('v_features')}, z AS (SELECT (SELECT count(*) FROM v_features) AS n, CAST(round(5 * sqrt((SELECT count(*) FROM v_features))) AS BIGINT) AS nodes,
+           round((SELECT max(value) FROM e1) / (SELECT max(value) FROM e2), 1) AS ratio)"""
+add("lattice_size", f"SELECT * FROM ({SIZE} SELECT n, nodes, ratio AS col_row_ratio FROM z)")
+BEST = f"""SELECT * FROM ({SIZE}, g AS (SELECT r.i AS r, c.i AS c, round(abs(ln(r.i * c.i / nodes)) + abs(ln(c.i / r.i / ratio)), 9) AS far
+                      FROM z, range(1, 400) r(i), range(1, 400) c(i) WHERE r.i * c.i <= n)
+        SELECT CAST(row_number() OVER (ORDER BY far, r, c) AS INTEGER) AS place, CAST(r AS INTEGER) AS rows, CAST(c AS INTEGER) AS cols,
+               CAST(r * c AS INTEGER) AS nodes, round(c / r, 1) AS col_row_ratio FROM g ORDER BY far, r, c LIMIT 5)"""
+add("grid_from_data", BEST)
+add(
+    "sweep_grid",
+    f"""SELECT CAST(row_number() OVER (ORDER BY k, t, place) AS INTEGER) AS "myRun", 'bothSites' AS "myDataSet", nodes, 'hexagonal' AS "myTopo", rows, cols, 'L2norm' AS "normMeth",
+               'noPCA' AS "wghtMeth", CAST(1500 AS INTEGER) AS niter, 0.05::DOUBLE AS "crsAlpha", 0.01::DOUBLE AS "finAlpha", CAST(k AS INTEGER) AS "nClusters", col_row_ratio AS "colRowRatio"
+        FROM ({BEST}), range(3, 6) a(k), range(1, 3) b(t)""",
+)
+
+
+def map_steps(epochs: int, rows: int, cols: int) -> str:
+    """CTEs m0.. (codes) and a0.. (rows on them): the batch rule on a hexagonal lattice, step after step."""
+    nodes = rows * cols
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)",
+        f"""spot AS (SELECT i + 1 AS node, i % {cols} + 1 + CASE WHEN (i // {cols} + 1) % 2 = 1 THEN 0.5::DOUBLE ELSE 0 END AS gx, (i // {cols} + 1) * (sqrt(3.0::DOUBLE) / 2) AS gy FROM range(0, {nodes}) r(i))""",
+        "near AS MATERIALIZED (SELECT a.node AS i, b.node AS j, sqrt((a.gx - b.gx) ** 2 + (a.gy - b.gy) ** 2) AS far FROM spot a, spot b)",
+        "reach AS MATERIALIZED (SELECT quantile_cont(far, 2.0::DOUBLE / 3) AS r FROM near WHERE i < j)",
+        f"first AS (SELECT id, row_number() OVER (ORDER BY id * 7919 % 10007, id) AS node FROM (SELECT vec_id AS id FROM embeddings) QUALIFY node <= {nodes})",
+        "m0 AS MATERIALIZED (SELECT node, dim, x AS w FROM first JOIN v USING (id))",
+    ]
+    for t in range(epochs):
+        parts += [
+            f"a{t} AS MATERIALIZED (SELECT id, min({{'d': round(d, 12), 'node': node}}).node AS node, min(d) AS d FROM (SELECT id, node, sum((x - w) * (x - w)) AS d FROM v JOIN m{t} USING (dim) GROUP BY ALL) GROUP BY id)",
+            f"s{t} AS MATERIALIZED (SELECT node, dim, count(*) AS n, sum(x) AS s FROM a{t} JOIN v USING (id) GROUP BY ALL)",
+            f"""m{t + 1} AS MATERIALIZED (SELECT c.node, c.dim, coalesce(sum(s.s) / sum(s.n), any_value(c.w)) AS w
+                FROM m{t} c LEFT JOIN near h ON h.j = c.node AND h.far <= (SELECT r FROM reach) * {1 - t / (epochs - 1)}::DOUBLE + 1e-9::DOUBLE
+                LEFT JOIN s{t} s ON s.node = h.i AND s.dim = c.dim GROUP BY c.node, c.dim)""",
+        ]
+    return "WITH " + ", ".join(parts)
+
+
+EPOCHS = 30
+add("som_fit", f"{map_steps(EPOCHS, 4, 5)} SELECT CAST(1 AS INTEGER) AS run, CAST(node AS INTEGER) AS node, 'x' || dim AS var, w AS value FROM m{EPOCHS}", "value")
+add(
+    "som_progress",
+    map_steps(EPOCHS, 4, 5)
+    + " UNION ALL ".join(
+        f" SELECT CAST(1 AS INTEGER) AS run, CAST({t + 1} AS INTEGER) AS epoch, (SELECT avg(d) FROM a{t}) AS mean_distance, (SELECT avg(abs(b.w - a.w)) FROM m{t} a JOIN m{t + 1} b USING (node, dim)) AS mean_change"
+        for t in range(EPOCHS)
+    ),
+    "mean_distance mean_change",
+)
+
+
+def lloyd(steps: int) -> str:
+    """Clusters of k = 1..8 from hashed starts, one step of all after the other."""
+    gap = " + ".join(f"(s.{f} - c.{f}) * (s.{f} - c.{f})" for f in FEATURES)
+    parts = [f"""m0 AS MATERIALIZED (SELECT k, j, {F6.replace(' ', ', ')} FROM (
+        SELECT *, row_number() OVER (ORDER BY (date - DATE '1970-01-01') * 7919 % 10007, date) AS j FROM v_scaled), range(1, 9) r(k) WHERE j <= k)"""]
+    for t in range(steps + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT date, k, arg_min(j, d) AS j, min(d) AS d FROM (SELECT date, k, j, {gap} AS d FROM v_scaled s, m{t} c) GROUP BY ALL)")
+        means = ", ".join(f"coalesce(avg(s.{f}), any_value(c.{f})) AS {f}" for f in FEATURES)
+        parts.append(f"m{t + 1} AS MATERIALIZED (SELECT c.k, c.j, {means} FROM m{t} c LEFT JOIN a{t} a ON a.k = c.k AND a.j = c.j LEFT JOIN v_scaled s ON s.date = a.date GROUP BY ALL)")
+    return "WITH " + ", ".join(parts) + f" SELECT CAST(k AS INTEGER) AS k, sum(d) AS wss FROM a{steps} GROUP BY k"
+
+
+add("kmeans_elbow", lloyd(30), "wss")
+WIDE = """SELECT vec_id, i, CASE WHEN (vec_id + i) % 9 <> 0 THEN CAST(x AS DOUBLE) END AS x
+          FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
+add(
+    "corr_wide",
+    f"""WITH w AS MATERIALIZED ({WIDE})
+        SELECT *, {tail('(r * r)', 'n')} AS p_value
+        FROM (SELECT 'x' || a.i AS var_a, 'x' || b.i AS var_b, corr(a.x, b.x) AS r, count(*) AS n FROM w a JOIN w b ON a.vec_id = b.vec_id AND a.i < b.i
+              WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL ORDER BY abs(r) DESC, var_a, var_b LIMIT 200)""",
+    "r p_value",
+)
+
+
+def permuted(permutations: int, seed: int) -> str:
+    """Labels cut off the order of hashed days in every permutation, and pseudo-F from all pairs' polynomial."""
+    fixed = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # fixed values: the splitmix64 generator
+    whole = "18446744073709551616::HUGEINT"
+    mix = lambda z, shift, factor: f"(xor({z}, {z} // {1 << shift}) * {factor}::UHUGEINT) % {1 << 64}::UHUGEINT"
+    sums = lambda keys: (
+        f"SELECT {keys}, count(*) AS n, sum(s) AS ss, sum(s * s) AS ss2, "
+        + ", ".join(f"sum({f}) AS s_{f}, sum(s * {f}) AS sx_{f}" for f in FEATURES) + ", "
+        + ", ".join(f"sum({a} * {b}) AS m_{a}_{b}" for a in FEATURES for b in FEATURES)
+    )
+    square = " + ".join(f"m_{a}_{b} * m_{a}_{b}" for a in FEATURES for b in FEATURES)
+    cross = " + ".join(f"sx_{f} * s_{f}" for f in FEATURES)
+    pairs = f"(2 * n * ss2 + 2 * ss * ss + 4 * ({square}) - 8 * ({cross})) / (2 * n)"
+    return f"""WITH x AS MATERIALIZED (SELECT * EXCLUDE (s), {' + '.join(f'{f} * {f}' for f in FEATURES)} AS s
+            FROM (SELECT date, cluster, 0 AS s, {', '.join(f'{f} - avg({f}) OVER () AS {f}' for f in FEATURES)} FROM v_labelled)),
+        z0 AS (SELECT date, p, CAST(((date - DATE '1970-01-01') + p * {fixed[0]}::HUGEINT + {seed * fixed[1]}::HUGEINT) % {whole} AS UHUGEINT) AS z FROM x, range(1, {permutations + 1}) r(p)),
+        z1 AS (SELECT date, p, {mix('z', 30, fixed[1])} AS z FROM z0),
+        z2 AS (SELECT date, p, {mix('z', 27, fixed[2])} AS z FROM z1),
+        z3 AS MATERIALIZED (SELECT date, p, row_number() OVER (PARTITION BY p ORDER BY xor(z, z // {1 << 31})) AS place FROM z2),
+        c AS MATERIALIZED (SELECT cluster, sum(count(*)) OVER (ORDER BY cluster) AS upto FROM x GROUP BY cluster),
+        drawn AS (SELECT p, min(c.cluster) AS label, any_value(x) AS x FROM z3 JOIN x USING (date) JOIN c ON c.upto >= place GROUP BY p, date),
+        every AS MATERIALIZED (SELECT p, label, unnest(x) FROM drawn UNION ALL SELECT 0, cluster, * FROM x),
+        within AS (SELECT p, sum({pairs}) AS w, count(*) AS k FROM ({sums('p, label')} FROM every GROUP BY ALL) GROUP BY p),
+        f AS MATERIALIZED (SELECT p, n, k, ((t - w) / (k - 1)) / (w / (n - k)) AS f FROM (SELECT p, n, {pairs} AS t FROM ({sums('p')} FROM every GROUP BY ALL)) JOIN within USING (p))
+        """
+
+
+add("permanova_p", permuted(99, 1) + "SELECT a.n, a.k, a.f, (count(*) FILTER (b.f >= a.f) + 1) / 100 AS p_value FROM f a, f b WHERE a.p = 0 AND b.p > 0 GROUP BY ALL", "f")
+add("permanova_permuted", permuted(99, 1) + "SELECT CAST(p AS INTEGER) AS perm, f FROM f WHERE p > 0", "f")

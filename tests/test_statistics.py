@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from freshet.functions.tails import student_t_quantile, student_t_two_sided
-from freshet.operators import models, permanova, sizing, som
+from freshet.operators import models, moments, permanova, sizing, som
 from freshet.plans.sweep import read_grid, sweep
 
 # two-sided tails of Student's t: statistic, degrees of freedom, p (fixed values from printed tables)
@@ -274,3 +274,84 @@ def test_a_lattice_of_twenty_thousand_nodes_trains(spark):
     df = spark.range(25_000).selectExpr("id", "pmod(xxhash64(id), 1000) / 1000.0D AS x", "pmod(xxhash64(id, 1), 1000) / 1000.0D AS y")
     codes, progress = som.fit(df, "id", ["x", "y"], [{"run": 1, "rows": 100, "cols": 200}], epochs=2)
     assert codes.count() == 20_000 and progress.count() == 2
+
+
+def test_correlations_with_missing_values_and_constant_columns(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 40)) + 1e6
+    x[:, 1] = x[:, 0] * 2 + rng.normal(size=400)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 39] = 5.0
+    names = [f"c{i}" for i in range(40)]
+    table = [[None if math.isnan(v) and i % 2 else float(v) for i, v in enumerate(row)] for row in x]  # both null and NaN
+    df = spark.createDataFrame(table, ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r["var_a"], r["var_b"]): (r["r"], r["n"]) for r in moments.correlations(df, names).collect()}
+    assert len(got) == 40 * 39 // 2
+    for i, j in itertools.combinations(range(40), 2):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        r, n = got[names[i], names[j]]
+        assert n == both.sum()
+        if j == 39:
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], rel=1e-6, abs=1e-8)
+    assert moments.correlations(df.limit(0), names).count() == 0
+
+
+def test_weights_are_loadings_of_complete_rows(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 1))
+    x = np.hstack([base + rng.normal(size=(300, 1)) * s for s in (0.1, 0.5, 2.0)]) * [1, -30, 4]
+    df = spark.createDataFrame([[float(v) for v in row] for row in x] + [[None, 1.0, 2.0]], "a double, b double, c double")
+    got = moments.first_loadings(df, ["a", "b", "c"])
+    vector = np.linalg.eigh(np.corrcoef(x.T))[1][:, -1]
+    vector *= np.sign(vector[np.abs(vector).argmax()])
+    assert [got[c] for c in "abc"] == pytest.approx(list(vector))
+    with pytest.raises(ValueError, match="constant"):
+        moments.first_loadings(df.withColumn("c", F.lit(1.0)), ["a", "c"])
+
+
+def test_learning_rates_act(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(rng.normal(size=(3000, 3)))], "id long, a double, b double, c double")
+    cols, size = ["a", "b", "c"], {"rows": 4, "cols": 5}
+    rates = [{}, {"alpha_coarse": 0.05, "alpha_fine": 0.01, "iterations": 1000}, {"alpha_coarse": 0.0005, "alpha_fine": 0.0001, "iterations": 1}]
+    runs = [{"run": i, **size, **r} for i, r in enumerate(rates)]
+
+    def train(**more):
+        codes, _ = som.fit(df, "id", cols, runs, seed=3, **more)
+        errors = {r["run"]: r["qe"] for r in som.quantization_error(som.assign(df, cols, codes)).collect()}
+        return errors, {(r["run"], r["node"]): np.array(r["w"]) for r in codes.collect()}
+
+    errors, codes = train()
+    again = train()[1]
+    assert all((codes[k] == again[k]).all() for k in codes)
+    assert errors[1] == pytest.approx(errors[0], rel=0.05)
+    assert max(np.abs(codes[2, n] - codes[0, n]).max() for n in range(1, 21)) > 0.05
+    # in three batches
+    errors, dealt = train(batch_rows=1000)
+    assert errors[1] == pytest.approx(errors[0], rel=0.05) and errors[0] < 0.8
+    assert any((dealt[k] != codes[k]).any() for k in codes)
+    with pytest.raises(ValueError, match="rates"):
+        som.fit(df, "id", cols, [{"run": 1, **size, "alpha_coarse": 0.01, "alpha_fine": 0.05}])
+
+
+def test_lattices_near_the_aims():
+    for nodes, ratio, most in ((115, 1.3, 530), (20, 4.0, 1000), (3, 1.0, 2), (1000, 1.1, 10**6)):
+        every = [(round(abs(math.log(r * c / nodes)) + abs(math.log(c / r / ratio)), 9), r, c) for r in range(1, 300) for c in range(1, 300) if r * c <= most]
+        assert sizing.lattices(nodes, ratio, most, 4) == [(r, c) for _, r, c in sorted(every)[:4]]
+
+
+def test_every_permutation_has_its_own_labels(spark):
+    """Pseudo-F of a permutation is that of the rows with its labels, in several groups with nulls among them."""
+    rng = np.random.default_rng(12)
+    rows = [(i, g, f"l{rng.integers(3)}", *map(float, rng.normal(size=2))) for g in ("x", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, g string, l string, a double, b double").repartition(3)
+    got = {(r["g"], r["perm"]): r["f"] for r in permanova.permuted_f(df, "id", "l", ["a", "b"], ["g"], permutations=7, seed=5).collect()}
+    labelled = permanova.permuted_labels(df, "id", "l", ["g"], 7, 5, ["id", "a", "b"])
+    want = {(r["g"], r["perm"]): r["f"] for r in permanova.pseudo_f(labelled, "_label", ["a", "b"], ["g", "perm"]).collect()}
+    assert len(got) == 14 and got.keys() == want.keys()
+    for k, f in want.items():
+        assert got[k] == pytest.approx(f, rel=0.2) and len({round(v, 9) for v in got.values()}) == 14  # centred over other rows
+    p = {r["g"]: r["p_value"] for r in permanova.permanova(df, "id", "l", ["a", "b"], ["g"], permutations=7, seed=5).collect()}
+    assert set(p) == {"x", None} and all(0 < v <= 1 for v in p.values())
