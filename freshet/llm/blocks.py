@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.llm.common import give_back
 
 BLOCK_BYTES = 8 << 20
-SCHEMA = "block long, doc_id array<long>, n_words array<int>, codes binary, words binary"
+SCHEMA = "block long, doc_id array<long>, n_words array<int>, codes binary, words binary, carried array<long>"
 FIELDS = pa.schema(
     [
         ("block", pa.int64()),
@@ -26,6 +26,7 @@ FIELDS = pa.schema(
         ("n_words", pa.list_(pa.int32())),
         ("codes", pa.large_binary()),
         ("words", pa.large_binary()),
+        ("carried", pa.list_(pa.int64())),
     ]
 )
 
@@ -66,30 +67,34 @@ def unpack_words(packed: bytes) -> list[str]:
     return joined.split(" ") if joined else []
 
 
-def code_blocks(docs: DataFrame, split: Callable[[str], list[str]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of (doc_id, text) rows, dealt out by block; ``split`` gives a text's words."""
+def code_blocks(docs: DataFrame, split: Callable[[str], list[str]], block_bytes: int = BLOCK_BYTES, carry: str | None = None) -> DataFrame:
+    """Blocks of (doc_id, text) rows, dealt out by block; ``split`` gives a text's words.
+
+    ``carry`` names a column of whole numbers that goes with the documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = (TaskContext.get().partitionId() << 24) - 1
 
         def out():
-            row = [[block], [ids], [counts], [narrow(codes, len(number))], [pack_words(number)]]
+            row = [[block], [ids], [counts], [narrow(codes, len(number))], [pack_words(number)], [carried if carry else None]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, FIELDS)], schema=FIELDS)
 
-        ids, counts, codes, number, size = [], [], array("I"), {}, 0
+        ids, counts, codes, number, carried, size = [], [], array("I"), {}, [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, text, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if carry else [None] * batch.num_rows):
                 text = text.as_py()
                 if ids and size + len(text) > block_bytes:
                     block += 1
                     yield out()
-                    ids, counts, codes, number, size = [], [], array("I"), {}, 0
+                    ids, counts, codes, number, carried, size = [], [], array("I"), {}, [], 0
                 words = split(text)
                 for w in words:
                     if w not in number:
                         number[w] = len(number)
                 codes.extend(map(number.__getitem__, words))
                 ids.append(key)
+                carried.append(more)
                 counts.append(len(words))
                 size += len(text)
         if ids:
@@ -98,6 +103,6 @@ def code_blocks(docs: DataFrame, split: Callable[[str], list[str]], block_bytes:
         number.clear()
         give_back()
 
-    made = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    made = docs.select("doc_id", "text", *([carry] if carry else [])).mapInArrow(run, SCHEMA)
     # one exchange, which all that reads the blocks uses again
     return made.repartition(F.col("block"))

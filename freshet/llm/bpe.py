@@ -13,6 +13,7 @@ length is one document of a block; the ids of a block are bounded by its text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from freshet.llm.blocks import code_blocks, pack_words, unpack_words, widen
-from freshet.llm.common import give_back, texts, tokenizer_json
+from freshet.llm.common import give_back, in_batches, texts, tokenizer_json
 
 # fixed value: the characters of Unicode property White_Space
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -106,11 +108,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.nd
     return flat[at]
 
 
-def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of one block with the ids of their words, by position."""
+def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[int | None, int | None, np.ndarray]]:
+    """(doc_id, what goes with it, ids) of the documents of one block: the ids of their words, put together by position."""
     if not left.num_rows:
-        return pa.Table.from_pylist([], schema=OUT)
-    row = {c: left.column(c)[0].as_py() for c in ("doc_id", "n_words", "codes")}
+        return
+    row = {c: left.column(c)[0].as_py() for c in ("doc_id", "n_words", "codes", "carried")}
     codes = widen(row["codes"])
     total = int(codes.max()) + 1 if len(codes) else 0
     sizes = np.zeros(total, np.uint32)
@@ -124,39 +126,55 @@ def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
     for numbers, own, ids in parts:
         ends = np.cumsum(own, dtype=np.int64)
         flat[np.repeat(starts[numbers] - (ends - own), own) + np.arange(len(ids))] = ids
-    out, at = [np.zeros(0, np.int32)], 0
-    for n in row["n_words"]:
-        out.append(gather(flat, starts, sizes, codes[at : at + n].astype(np.int64)))
+    at = 0
+    for key, more, n in zip(row["doc_id"], row["carried"] or [None] * len(row["doc_id"]), row["n_words"]):
+        yield key, more, gather(flat, starts, sizes, codes[at : at + n].astype(np.int64))
         at += n
-    offsets = np.cumsum([len(x) for x in out]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+
+
+def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows = list(_documents(left, right))
+    offsets = np.cumsum([0, *(len(ids) for *_, ids in rows)]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *(ids for *_, ids in rows)])))
+    made = pa.table([pa.array([key for key, *_ in rows], pa.int64()), ids], schema=OUT)
+    del rows
     give_back()
-    return pa.table([pa.array(row["doc_id"], pa.int64()), ids], schema=OUT)
+    return made
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of every text, as the tokenizer gives them without special tokens."""
-    source = tokenizer or tokenizer_json()
-    blocks = code_blocks(texts(docs), WORD.findall)
+def _blocks_and_words(docs: DataFrame, source: str, carry: str | None = None):
+    """Blocks of documents, and the ids of the words of each block."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(carry).cast("long").alias("carried")) if carry else texts(docs)
+    blocks = code_blocks(rows, WORD.findall, carry="carried" if carry else None)
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = blocks.mapInArrow(_parts(buckets), "bucket int, block long, number binary, words binary")
     by_word = parts.repartition("bucket").sortWithinPartitions("bucket")
     back = by_word.mapInArrow(_encode_words(source), "block long, number binary, size binary, ids binary")
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids array<int>")
+    return blocks.groupBy("block").cogroup(back.groupBy("block"))
 
 
-def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, ids, text): ids replaced by their pieces, a space between; unknown ids are left out.
+def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of every text, as the tokenizer gives them without special tokens."""
+    return _blocks_and_words(docs, tokenizer or tokenizer_json()).applyInArrow(_put_together, "doc_id long, ids array<int>")
 
-    The id-to-piece table has one row per id of the vocabulary; every task looks ids up in a copy.
-    """
+
+def piece_table(tokenizer: str | None = None) -> list[str | None]:
+    """The id-to-piece table; None for ids without a piece."""
     from tokenizers import Tokenizer
 
-    bpe = Tokenizer.from_str(tokenizer or tokenizer_json())
-    vocabulary = bpe.get_vocab(with_added_tokens=True)
+    vocabulary = Tokenizer.from_str(tokenizer or tokenizer_json()).get_vocab(with_added_tokens=True)
     pieces = [None] * (max(vocabulary.values()) + 1)
     for piece, number in vocabulary.items():
         pieces[number] = piece
+    return pieces
+
+
+def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): ids replaced by their pieces, a space between; unknown ids are left out.
+
+    The id-to-piece table has one row per id of the vocabulary; every task looks ids up in a copy.
+    """
+    pieces = piece_table(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array([*pieces, None], dtype=object)  # the last one for ids out of range
@@ -174,13 +192,47 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
-    """One row per document: number of ids, digest of the ids and of the decoded text; the ids if asked for."""
-    written = F.translate(F.col("ids").cast("string"), "[],", "")
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(written, 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-        *(["ids"] if ids else []),
-    )
+def digests(docs: DataFrame, tokenizer: str | None = None, carry: str | None = None) -> DataFrame:
+    """One row per document: number of ids, digest of the ids and of the text decoded from them.
+
+    As ``decode(encode(docs))``, but a document's pieces are looked up, joined and digested where its ids are put
+    together, one document after the other, so that neither texts nor lists of a whole block are held again. ``carry``
+    names a column of whole numbers to come along; the ids then come along, too, packed (see ``unpacked``).
+    """
+    source = tokenizer or tokenizer_json()
+    pieces = piece_table(source)
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields + ([("carried", pa.int64()), ("packed", pa.binary())] if carry else []))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.array(pieces, dtype=object)
+
+        def rows():
+            for key, more, own in _documents(left, right):
+                written, text = " ".join(map(str, own.tolist())), " ".join(known[own].tolist())
+                row = key, len(own), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                packed = pack(own.astype(np.uint32).tobytes()) if carry else b""
+                yield 256 + len(packed), (*row, more, packed) if carry else row
+
+        made = pa.Table.from_batches(in_batches(rows(), schema), schema=schema)
+        give_back()
+        return made
+
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", carried long, packed binary" if carry else "")
+    found = _blocks_and_words(docs, source, carry).applyInArrow(run, out)
+    return found.withColumnRenamed("carried", carry) if carry else found
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """The rows with their packed ids as ``ids array<int>``, in the same order."""
+    rest = [f for f in found.schema.fields if f.name != "packed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [unpack(v.as_py()).astype(np.int32) for v in part.column("packed")]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), pa.array(ids, pa.list_(pa.int32()))], names=[*(f.name for f in rest), "ids"])
+        give_back()
+
+    return found.select(*[f.name for f in rest], "packed").mapInArrow(run, StructType([*rest, StructField("ids", ArrayType(IntegerType()))]))

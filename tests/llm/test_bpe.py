@@ -2,6 +2,7 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from freshet.llm import bpe
@@ -24,7 +25,7 @@ TEXTS = [
 def test_same_as_the_tokenizer(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string").repartition(3)
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs)).collect()}
-    digests = {r.doc_id: r for r in bpe.digests(bpe.decode(bpe.encode(docs))).collect()}
+    digests = {r.doc_id: r for r in bpe.unpacked(bpe.digests(docs.withColumn("n", F.col("doc_id") * 7), carry="n")).collect()}
     own = Tokenizer.from_str(tokenizer_json())
     assert len(got) == len(TEXTS)
     for i, t in enumerate(TEXTS):
@@ -32,7 +33,7 @@ def test_same_as_the_tokenizer(spark):
         assert list(got[i].ids) == ids
         text = own.decode(ids, skip_special_tokens=False)
         assert got[i].text == text
-        assert digests[i].n_tokens == len(ids)
+        assert digests[i].n_tokens == len(ids) and list(digests[i].ids) == ids and digests[i].n == 7 * i
         assert digests[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert digests[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
