@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.llm.common import texts
+from freshet.llm.common import give_back, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -235,6 +235,7 @@ def asks(text: str) -> bool:
     needs a disguised dot as well). In an identifier, the word or number next to a spelled digit is a
     number, a word of a chain, or letters that stand for digits.
     """
+    raw = text
     if not text.isascii():
         if look_alikes(text):
             return True
@@ -249,7 +250,8 @@ def asks(text: str) -> bool:
         for i, w in enumerate(words):
             if w in NUMBER_WORDS and any(o in BESIDE or o.isdecimal() or not o.strip("oil") for o in (*words[max(0, i - 1) : i], *words[i + 1 : i + 2])):
                 return True
-    return MIXED.search(text) is not None and bool(letter_digits(text))
+    # letters for digits are those of the text itself, and so are the letters beside them
+    return MIXED.search(raw) is not None and bool(letter_digits(raw))
 
 
 def _disguised(text: str, passes: tuple[Callable, ...]) -> list[tuple[str, int, int]]:
@@ -315,11 +317,20 @@ def masked(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows with identifiers in ``text`` masked; a null text stays null."""
+    """The rows with identifiers in ``text`` masked; a null text stays null.
 
-    @F.pandas_udf("string")
-    def mask(column):
-        return column.map(masked, na_action="ignore")
+    Only the texts reach Python, a few at a time, and its memory is given back after each batch.
+    """
+
+    @F.arrow_udf("string")
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for at in range(0, len(batch), 256):
+                parts.append(pa.array([None if t is None else masked(t) for t in batch.slice(at, 256).to_pylist()], pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            del batch, parts
+            give_back()
 
     return docs.withColumn("text", mask(F.col("text").cast("string")))
 

@@ -86,6 +86,18 @@ def test_spans_with_the_prefilter_and_without():
         assert pii.spans(text) == pii.spans(text, lambda _: True), text
 
 
+@pytest.mark.parametrize("text", ["İ192.168.1.1l", ",+1 800 555 0199Oİ2…", "ſ10.0.0.O1", "ı4111 1111 1111 111l"])
+def test_letters_that_fold_to_others(text):
+    assert pii.spans(text) == pii.spans(text, lambda _: True)
+
+
+def test_letters_that_fold_with_the_prefilter_and_without():
+    rng = random.Random(21)
+    for _ in range(60000):
+        text = "".join(rng.choices("İıſ0189OIl.+- ()@a:…", k=rng.randrange(6, 26)))
+        assert pii.spans(text) == pii.spans(text, lambda _: True), text
+
+
 @pytest.mark.parametrize("kind,before,it,after", DISGUISED)
 def test_disguises(kind, before, it, after):
     text = before + it + after
