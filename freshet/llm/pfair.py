@@ -177,8 +177,8 @@ def _written(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
             return spark.read.parquet(path)
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None, max_sources: int | None = None) -> DataFrame:
-    """The rows with a struct ``mix``: source, block, phase, target, slot, place (in the block).
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None, max_sources: int | None = None, name: str = "mix") -> DataFrame:
+    """The rows with a struct ``mix`` (``name`` gives it another name; a column of that name is replaced): source, block, phase, target, slot, place (in the block).
 
     Ordered by (mix.slot, mix.place) they are the mixture. ``weights``: a positive weight per
     source, sources without one getting the smallest; None: the square root of a source's
@@ -212,12 +212,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars
     if max_sources is not None and named:
         source = F.when(source.isin([s for s in named if s]), source).otherwise(F.lit(""))
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.withColumn("mix", F.struct(source.alias("source"), size.alias("size"), order.alias("order"), F.shiftrightunsigned(order, 64 - bits).alias("chunk")))
+    # the caller's columns travel in one struct, so that no name can clash
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(source.alias("source"), size.alias("size"), order.alias("order"), F.shiftrightunsigned(order, 64 - bits).alias("chunk")).alias("mix"),
+        F.col("doc_id").alias("o_id"),
+    )
     keys = rows.select("mix.*")
     sums = keys.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("o_source"), F.col("chunk").alias("o_chunk"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("o_before"))
-    inner = Window.partitionBy("mix.source", "mix.chunk").orderBy("mix.order", "doc_id", "mix.size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("mix.source", "mix.chunk").orderBy("mix.order", "o_id", "mix.size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("o_upto", F.sum("mix.size").over(inner))
     rows = rows.join(offsets, (F.col("mix.source") == F.col("o_source")) & (F.col("mix.chunk") == F.col("o_chunk")))
     begins = F.col("o_before") + F.col("o_upto") - F.col("mix.size")
@@ -226,4 +231,4 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars
     made = F.struct(
         F.col("mix.source").alias("source"), F.col("o_block").alias("block"), F.col("p_phase").alias("phase"), F.col("p_target").alias("target"), F.col("p_slot").alias("slot"), F.col("o_place").alias("place")
     )
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], made.alias("mix"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != name], made.alias(name))

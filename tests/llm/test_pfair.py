@@ -104,3 +104,14 @@ def test_every_source_has_its_own_row(spark):
     got = pfair.mix(docs, block_chars=4).collect()
     assert len(got) == 1300 and all(r.mix.source == (r.source or "") for r in got)
     assert len({r.mix.slot for r in got}) == len({(r.mix.source, r.mix.block) for r in got})
+
+
+def test_columns_with_names_used_inside(spark):
+    names = ["p_slot", "p_source", "p_block", "o_source", "o_upto", "o_chunk", "o_before", "o_id", "row", "mix"]
+    rows = [(i, "x" * (i % 7), f"s{i % 2}", *(f"{n} {i}" for n in names)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = pfair.mix(docs, name="place in the mixture")
+    assert got.columns == [*docs.columns, "place in the mixture"]
+    assert sorted(tuple(r)[:-1] for r in got.collect()) == sorted(rows)
+    want = {r.doc_id: tuple(r.mix) for r in pfair.mix(docs.select("doc_id", "text", "source")).collect()}
+    assert {r.doc_id: tuple(r[-1]) for r in got.collect()} == want
