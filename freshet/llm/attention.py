@@ -8,8 +8,8 @@ encoded passages, and a logistic layer on it gives the probability of label 1. A
 are learned from document labels alone.
 
 The network has under a thousand weights. It is fitted on the driver with a bounded sample of
-labelled documents (``sample`` of each label, those with the smallest hashes, at most ``bag``
-passages of each while fitting); scoring reads every passage of every text.
+labelled documents (``sample`` of each label, those with the smallest hashes), every passage of which
+counts; scoring reads every passage of every text, too.
 
 Null and empty texts are one empty passage and get a score like any other.
 """
@@ -27,7 +27,6 @@ from freshet.llm.common import fold, give_back, texts
 
 PASSAGE = 400
 SAMPLE = 800
-BAG = 48
 HIDDEN = 12
 FOLDS = 5
 THRESHOLD = 0.3
@@ -172,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     """A network from the labelled rows outside fold 0; None if there is no labelled row.
 
     Only (doc_id, quality) of the labels and the texts are read. Rows with a null id or a label
-    other than 0 and 1 are left out; of a document labelled twice the smaller label counts.
+    other than 0 and 1 are left out; of a document labelled twice the smaller label counts, of texts with one id the
+    one whose encoding is the smallest.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id"), folds) != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
@@ -190,15 +190,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                bag = encode(text.as_py())
-                if len(bag) > BAG:
-                    bag = bag[np.linspace(0, len(bag) - 1, BAG).astype(int)]
-                rows.append(bag.astype(np.float32).tobytes())
+                rows.append(encode(text.as_py()).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "bag"])
 
     own = texts(docs).where("doc_id is not null")
     found = own.join(ids, F.col("doc_id") == F.col("l_id")).select("doc_id", "quality", "text").mapInArrow(bags, "doc_id long, quality int, bag binary")
-    rows = sorted(found.limit(4 * sample).collect(), key=lambda r: (r.doc_id, r.bag))
+    # a row per sampled id, also where ids repeat
+    rows = sorted(found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("bag").alias("bag")).collect(), key=lambda r: r.doc_id)
     if not rows:
         return None
     quality = np.array([r.quality for r in rows], float)

@@ -187,7 +187,8 @@ def followed(docs: DataFrame, parts: int | None = None) -> DataFrame:
     row's next is the first. Texts are zstd-compressed.
 
     Rows are dealt over ranges of doc_id, so no task sees them all; only each range's first row
-    goes to the row before it. Ties are in order of the text; null ids come last; a single row is
+    goes to the row before it. Ties are in a fixed order, that of the
+    compressed texts; null ids come last; a single row is
     its own next.
     """
     import zstandard
@@ -196,22 +197,22 @@ def followed(docs: DataFrame, parts: int | None = None) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             held = [press.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), batch.column(2)], names=["doc_id", "text", "range"])
+            key = batch.column(0)
+            # the number of cuts above the id: ranges are in descending order of it, null ids come last
+            place = len(cuts) - np.searchsorted(cuts, key.fill_null(0).to_numpy(), side="right")
+            place = np.where(key.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, place)
+            yield pa.RecordBatch.from_arrays([key, pa.array(held, pa.binary()), pa.array(place.astype(np.int32))], names=["doc_id", "text", "range"])
 
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first().c or [] if parts > 1 else []
-    key = F.col("doc_id")
-    place = F.lit(0)
-    for cut in sorted(set(cuts)):  # as many as partitions, a setting
-        place = place + (key < cut).cast("int")
-    named = texts(docs).withColumn("range", F.when(key.isNull(), parts).otherwise(place))
-    around = Window.orderBy("range")  # one row per range
-    ranges = named.select("range").distinct().withColumn("n_range", F.coalesce(F.lead("range").over(around), F.min("range").over(Window.partitionBy())))
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first().c if parts > 1 else None
+    cuts = np.unique(np.array(found or [], np.int64))  # as many as partitions, a setting
     # the compressed texts are shuffled once; all that follows reads that exchange
     # (a range is never null; a filter on it below the exchange would make a second exchange)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("range", T.IntegerType(), False)])
-    rows = named.mapInArrow(squeeze, schema).repartition("range")
+    rows = texts(docs).mapInArrow(squeeze, schema).repartition("range")
+    around = Window.orderBy("range")  # one row per range
+    ranges = rows.select("range").distinct().withColumn("n_range", F.coalesce(F.lead("range").over(around), F.min("range").over(Window.partitionBy())))
     inner = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
     led = rows.withColumns({"next_text": F.lead("text").over(inner), "first": F.row_number().over(inner) == 1})
     heads = led.where("first").select(F.col("range").alias("n_range"), F.col("text").alias("head"))

@@ -89,3 +89,14 @@ def test_edges(spark, network):
     none = at.train(rows, spark.createDataFrame([], "doc_id long, quality int"))
     assert none is None and {r.score for r in at.score(rows, None).collect()} == {0.5}
     assert at.keep_good(rows, None).count() == 4
+
+
+def test_every_passage_counts_while_fitting(spark):
+    """Labels that only passages from the forty-ninth on tell apart, in texts of 64 and in ids that repeat."""
+    plain, odd = "some plain words of no account. " * 14, "####|||| !!!! 0000 **** ---- " * 16
+    rows = [(i, plain * 50 + (odd if i % 2 else plain) * 2 + plain * 12) for i in range(80)]
+    docs = spark.createDataFrame(rows + rows[:6], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int")
+    network = at.train(docs, labels)
+    scores = {r.doc_id: r.score for r in at.score(docs, network).collect()}
+    assert min(s for i, s in scores.items() if i % 2 == 0) > max(s for i, s in scores.items() if i % 2)

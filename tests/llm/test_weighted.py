@@ -74,3 +74,14 @@ def test_few_rows(spark):
     assert [(r.doc_id, r.near_next, r.n_chars) for r in one] == [(4, 1.0, 6)]
     ties = spark.createDataFrame([(None, "n"), (None, "m"), (2, "b"), (2, "b")], "doc_id long, text string")
     assert len(weighted.compared(ties).collect()) == 4
+
+
+def test_order_over_many_partitions(spark):
+    """2000 ranges of ids; every row is followed by that of the next smaller id."""
+    docs = spark.range(6000).selectExpr("id * 3 as doc_id", "concat('text ', id) as text")
+    rows = weighted.followed(docs, parts=2000)
+    import zstandard
+
+    read = lambda v: int(zstandard.ZstdDecompressor().decompress(bytes(v)).decode().split()[1])
+    got = {r.doc_id: (read(r.text), read(r.next_text)) for r in rows.collect()}
+    assert got == {3 * i: (i, (i - 1) % 6000) for i in range(6000)}
