@@ -1,18 +1,19 @@
 """Chat formatting in budgeted windows.
 
-A window is a run of whole turns of a conversation, chosen by prefix sums of turn tokens: a turn
-belongs to the window in whose stride of ``budget - history`` tokens it begins. Every window starts
-with the conversation's system turn (if its first turn is one), then repeats the turns before its
-own that begin within ``history`` tokens, then has its own turns. The loss mask covers the text of
-assistant turns in their own window only, so a repeated target is masked out.
+A window is a run of whole turns of a conversation, chosen by prefix sums of turn tokens, and holds at most
+``budget`` tokens. Every window starts with the conversation's system turn (if its first turn is one), then
+repeats as many of the turns right before its own as fit into ``history`` tokens and into what is left of the budget,
+then has its own turns. What the system turn and the history leave is a stride. Turns that begin within one stride
+share a window; the last of them, if it runs over the stride and does not fit any more, has a window of its own.
+Only a turn that is longer than what the system turn leaves exceeds the budget, alone in its window, which is marked.
+The loss mask covers the text of assistant turns in their own window only, so a repeated target is masked out.
 
 Template: ``<s>`` opens a window, ``[role]`` a turn, ``</s>`` ends it. Inside roles and texts the
 characters ``\\ < [ ]`` are written ``\\0 \\1 \\2 \\3``, so no text can hold a control string, and
 the original comes back exactly. All of it is DataFrame expressions.
 
 Order within a conversation is (turn, role, text), nulls first; null roles and texts are empty;
-repeated rows are turns of their own; rows with a null conv_id form one conversation. A turn longer
-than the budget is kept whole, in a window of its own stride.
+repeated rows are turns of their own; rows with a null conv_id form one conversation.
 """
 
 from __future__ import annotations
@@ -59,32 +60,60 @@ def _turns(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"),
     )
     joined = placed.join(sums, placed["conv_id"].eqNullSafe(sums["c"]) & (placed["chunk"] == sums["k"]))
-    return joined.select("conv_id", (F.col("i") + F.col("n0")).alias("idx"), "role", "text", (F.col("s") + F.col("t0") - F.col("tokens")).alias("before"))
+    return joined.select("conv_id", (F.col("i") + F.col("n0")).alias("idx"), "role", "text", "tokens", (F.col("s") + F.col("t0") - F.col("tokens")).alias("before"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _members(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """(m_conv, window, m_idx, main, over): which turns a window holds. Only places and sizes of turns are read."""
+    light = turns.select("conv_id", "idx", "tokens", "before", "role")
+    system = light.where("idx = 1 and role = 'system'").select(F.col("conv_id").alias("c"), F.col("tokens").alias("system"))
+    sized = light.join(system, _same("conv_id", "c"), "left").withColumn("system", F.coalesce("system", F.lit(0)))
+    # the system turn counts against the budget and is no part of the run that is cut into strides
+    own = sized.where("idx > 1 or system = 0").withColumn("before", F.col("before") - F.col("system"))
+    left = F.greatest(F.lit(budget) - F.col("system"), F.lit(1))
+    own = own.withColumn("reach", F.least(F.lit(history), F.floor(left / 2))).withColumn("stride", left - F.col("reach"))
+    first, last = F.floor(F.col("before") / F.col("stride")), F.floor((F.col("before") + F.col("tokens") - 1) / F.col("stride"))
+    # a stride holds a bounded number of turns, as each counts for its marks at least
+    begun = F.min("before").over(Window.partitionBy("conv_id", "stride", first))
+    fits = (first == last) | (F.col("before") + F.col("tokens") - begun <= left)
+    own = own.withColumn("own", F.when(fits, first * 2).otherwise(first * 2 + 1))
+    held = own.groupBy("conv_id", "own").agg(F.min("before").alias("begins"), F.sum("tokens").alias("sum"), F.min("system").alias("system"), F.min("reach").alias("reach"))
+    over = F.col("sum") + F.col("system") > budget
+    room = F.least(F.col("reach"), F.greatest(F.lit(budget) - F.col("system") - F.col("sum"), F.lit(0)))
+    held = held.select(F.col("conv_id").alias("w_conv"), F.col("own").alias("window"), "begins", room.alias("room"), over.alias("over"))
+    # no stride is shorter than the history, so a turn is repeated in the three windows after its own at most
+    dealt = own.select("conv_id", "idx", "before", "own", F.explode(F.expr("sequence(own, own + 3)")).alias("at"))
+    found = dealt.join(held, _same("conv_id", "w_conv") & (F.col("at") == F.col("window")))
+    main = F.col("at") == F.col("own")
+    found = found.where(main | ((F.col("before") < F.col("begins")) & (F.col("before") >= F.col("begins") - F.col("room"))))
+    found = found.select(F.col("w_conv").alias("m_conv"), "window", F.col("idx").alias("m_idx"), main.alias("main"), "over")
+    # the system turn comes first in every window; it is new in the conversation's first one
+    start = held.groupBy(F.col("w_conv").alias("s_conv")).agg(F.min("window").alias("s_first"))
+    leads = held.join(start, _same("w_conv", "s_conv")).join(system, _same("w_conv", "c"))
+    leads = leads.select(F.col("w_conv").alias("m_conv"), "window", F.lit(1).cast("long").alias("m_idx"), (F.col("window") == F.col("s_first")).alias("main"), "over")
+    alone = system.join(held.select("w_conv").distinct(), _same("c", "w_conv"), "left_anti")
+    alone = alone.select(F.col("c").alias("m_conv"), F.lit(0).cast("long").alias("window"), F.lit(1).cast("long").alias("m_idx"), F.lit(True).alias("main"), (F.col("system") > budget).alias("over"))
+    return found.unionByName(leads).unionByName(alone)
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, window, formatted, n_turns, n_repeated, loss_spans) of (conv_id, turn, role, text).
+    """(conv_id, window, formatted, n_turns, n_repeated, repeats, n_tokens, over_budget, loss_spans) of (conv_id, turn, role, text).
 
-    loss_spans: code-point offsets [start, end) into formatted, in order. The first n_repeated
-    turns of a window belong to earlier ones. Needs 0 <= history <= budget - history.
+    loss_spans: code-point offsets [start, end) into formatted, in order. The turns marked in ``repeats`` belong to
+    earlier windows. n_tokens is at most the budget but where over_budget says that a single turn does not fit.
+    Windows of a conversation are in order by number. Needs 0 <= history <= budget - history.
     """
-    stride = budget - history
-    if not 0 <= history <= stride:
+    if not 0 <= history <= budget - history:
         raise ValueError("history must be between 0 and half of the budget")
-    turns = _turns(conversations).withColumn("own", F.floor(F.col("before") / stride))
-    # a turn can be history of the next stride only: any later window begins beyond its reach
-    dealt = turns.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("window"))
-    item = F.struct("idx", (F.col("window") == F.col("own")).alias("main"), "before", "role", "text")
-    grouped = dealt.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.min(F.when(F.col("window") == F.col("own"), F.col("before"))).alias("begins")
-    )
-    grouped = grouped.where("begins is not null")
-    system = turns.where("idx = 1 and role = 'system'").select(F.col("conv_id").alias("c"), F.struct("idx", F.lit(False).alias("main"), "before", "role", "text").alias("first"))
-    found = grouped.join(system, grouped["conv_id"].eqNullSafe(system["c"]), "left")
-    near = F.filter("items", lambda x: x["main"] | (x["before"] >= F.col("begins") - history))
-    found = found.withColumn("near", near)
-    retained = F.when(F.col("first").isNotNull() & (F.element_at("near", 1)["idx"] != 1), F.concat(F.array("first"), F.col("near"))).otherwise(F.col("near"))
-    found = found.withColumn("near", retained)
+    turns = _turns(conversations)
+    members = _members(turns, budget, history)
+    dealt = turns.join(members, _same("conv_id", "m_conv") & (F.col("idx") == F.col("m_idx")))
+    item = F.struct("idx", "main", "tokens", "role", "text")
+    found = dealt.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(item)).alias("near"), F.max("over").alias("over_budget"))
     heads = F.transform("near", lambda x: F.concat(F.lit("["), escape(x["role"]), F.lit("]")))
     bodies = F.transform("near", lambda x: escape(x["text"]))
     found = found.withColumns({"heads": heads, "bodies": bodies})
@@ -103,6 +132,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         F.concat(F.lit("<s>"), F.array_join(parts, "")).alias("formatted"),
         F.size("near").alias("n_turns"),
         F.size(F.filter("near", lambda x: ~x["main"])).alias("n_repeated"),
+        F.transform("near", lambda x: ~x["main"]).alias("repeats"),
+        F.aggregate("near", F.lit(0).cast("long"), lambda n, x: n + x["tokens"]).alias("n_tokens"),
+        "over_budget",
         marked.alias("loss_spans"),
     )
 
@@ -119,7 +151,7 @@ def read_turns(formatted: Column) -> Column:
 
 def digests(made: DataFrame) -> DataFrame:
     """One row per conversation, read back from the windows."""
-    fresh = F.slice(read_turns(F.col("formatted")), F.col("n_repeated") + 1, F.col("n_turns") - F.col("n_repeated"))
+    fresh = F.filter(F.arrays_zip(read_turns(F.col("formatted")).alias("t"), F.col("repeats").alias("old")), lambda x: ~x["old"])["t"]
     loss = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     each = made.select("conv_id", "window", fresh.alias("fresh"), F.array_join(loss, "").alias("loss"), F.length("formatted").alias("chars"))
     said = F.array_join(F.transform("fresh", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

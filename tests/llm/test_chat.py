@@ -54,8 +54,41 @@ def test_windows_repeat_limited_history_and_the_system_turn(spark):
         assert r.formatted.count("</s>") == r.n_turns
         lost = [r.formatted[s.start : s.end] for s in r.loss_spans]
         assert lost and all(x.startswith("w") and int(x.split()[0][1:]) % 2 == 0 for x in lost)
-    assert [r.n_repeated for r in made] == [0] + [3] * (len(made) - 1)  # system and two turns of ten tokens
-    assert made[0].n_turns == 5
+    # system and two turns of ten tokens; where four turns are new, the budget leaves room for one
+    assert [(r.n_turns, r.n_repeated) for r in made] == [(5, 0), (6, 3), (6, 2)]
+
+
+@pytest.mark.parametrize("budget,history", [(60, 20), (30, 15), (16, 8), (9, 0)])
+def test_no_window_exceeds_its_budget(spark, budget, history):
+    rng = random.Random(budget)
+    data = []
+    for conv in range(40):
+        turns = ["system"] * (conv % 3 == 0) + [rng.choice(["user", "assistant"]) for _ in range(rng.randrange(0, 25))]
+        data += [(conv, t, r, f"t{t} " + "w " * rng.choice([0, 1, 3, 9, 20, 70]), 0) for t, r in enumerate(turns)]
+    made = {}
+    for r in chat.windows(spark.createDataFrame(data, SCHEMA), budget, history).collect():
+        turns = [t.split("]", 1) for t in r.formatted[len("<s>") :].split("</s>")[:-1]]
+        sizes = [len(text.split()) + 4 for _, text in turns]
+        assert r.n_tokens == sum(sizes)
+        system = sizes[0] if turns[0][0] == "[system" else 0
+        own = [s for s, old in zip(sizes, r.repeats) if not old]
+        if r.over_budget:
+            # one turn that does not fit, beside the system turn
+            assert len([s for s, (role, _) in zip(sizes, turns) if role != "[system"]) <= 1 and system + max(own) > budget
+        else:
+            assert r.n_tokens <= budget
+        repeated = sum(s for s, old, (role, _) in zip(sizes, r.repeats, turns) if old and role != "[system")
+        assert repeated <= history
+        made.setdefault(r.conv_id, []).append((r.window, [int(text.split()[0][1:]) for _, text in turns], r.repeats))
+    for conv in {d[0] for d in data}:
+        found = sorted(made[conv])
+        has_system = data[[d[0] for d in data].index(conv)][2] == "system"
+        new = [n for _, turns, old in found for n, o in zip(turns, old) if not o]
+        assert new == [d[1] for d in data if d[0] == conv]
+        for _, turns, old in found:
+            run = turns[1:] if has_system and turns[0] == 0 else turns
+            assert run == list(range(run[0], run[0] + len(run))) if run else True
+            assert not has_system or turns[0] == 0
 
 
 def test_empty(spark):
