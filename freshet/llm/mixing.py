@@ -15,7 +15,8 @@ tokens, together with a final adaptive map of probabilities. So every probabilit
 training texts and earlier tokens of its own document only.
 
 Slot tables have a fixed size, so tasks may have copies. Score and base score count an unseen word
-as one event; bits_per_byte also spells unseen words out, by pairs of bytes.
+as one event; bits_per_byte also spells unseen words out, by pairs of bytes, and divides by the bytes of the text
+in UTF-8; it is null for an empty text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from freshet.llm.blocks import code_blocks, pack_words, unpack_words, widen
 from freshet.llm.common import discard, give_back, keep, texts
-from freshet.llm.bpe import gather, pack, unpack
+from freshet.llm.bpe import pack, unpack
 
 TOP, CLASSES = 4096, 256
 SLOT_BITS = 20
@@ -235,24 +236,23 @@ def _code(shape: Tree):
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 3, pa.int64(), pa.binary()]
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        row = {c: left.column(c)[0].as_py() for c in ("doc_id", "n_words", "codes")}
+        row = {c: left.column(c)[0].as_py() for c in ("doc_id", "n_words", "codes", "carried")}
         codes = widen(row["codes"]).astype(np.int64)
         total = int(codes.max()) + 1
-        count, leaf, share, spell, size = np.zeros(total, np.int64), np.zeros(total, np.uint16), np.zeros(total), np.zeros(total), np.zeros(total, np.int64)
+        count, leaf, share, spell = np.zeros(total, np.int64), np.zeros(total, np.uint16), np.zeros(total), np.zeros(total)
         for number, words, counts in zip(*(right.column(c).to_pylist() for c in ("number", "leaf_words", "counts"))):
             where, own = np.cumsum(unpack(number)).astype(np.int64), np.frombuffer(counts, np.int64)
             count[where] = own
             for i, w, c in zip(where.tolist(), unpack_words(words), own.tolist()):
                 leaf[i], share[i] = shape.leaf(w, c)
-                size[i] = len(w.encode("utf-8", "surrogatepass")) + 1
                 if not c:
                     spell[i] = shape.spelled(w)
         base = np.log10((count + 1) / (shape.n + (shape.v + 1)))
         bounds = np.cumsum([0, *row["n_words"]])[:-1]  # every document has its end at least
-        sums = [np.add.reduceat(x[codes], bounds) for x in (count > 0, base, share, spell, size)]
+        sums = [np.add.reduceat(x[codes], bounds) for x in (count > 0, base, share, spell)]
         held = [leaf[codes[a : a + n]].tobytes() for a, n in zip(bounds, row["n_words"])]
         give_back()
-        cols = [row["doc_id"], [trained(i) for i in row["doc_id"]], row["n_words"], sums[0].astype(np.int64), *sums[1:4], sums[4], held]
+        cols = [row["doc_id"], [trained(i) for i in row["doc_id"]], row["n_words"], sums[0].astype(np.int64), *sums[1:4], row["carried"], held]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return run
@@ -286,7 +286,9 @@ def _contexts(leaves: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def _slots(order: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    x = context ^ (nodes * np.uint32(0x9E3779B1) + np.uint32(order * 0x3C6EF372 & 0xFFFFFFFF))
+    """Slots of (context, node) pairs; without a context a node's slot is its own."""
+    x = nodes * np.uint32(0x9E3779B1) + np.uint32(order * 0x3C6EF372 & 0xFFFFFFFF)
+    x ^= context
     x ^= x >> np.uint32(16)
     x *= np.uint32(0x7FEB352D)
     x ^= x >> np.uint32(15)
@@ -300,11 +302,14 @@ def expand(leaves: np.ndarray, starts: np.ndarray, shape: Tree, order: np.ndarra
     if order is not None:
         leaves, contexts = leaves[order], [c[order] for c in contexts]
     sizes = shape.sizes[leaves]
-    nodes, bits = gather(shape.nodes, shape.starts, shape.sizes, leaves), gather(shape.bits, shape.starts, shape.sizes, leaves)
-    token = np.repeat(np.arange(len(leaves)), sizes)
-    slots = [_slots(k, c[token], nodes) for k, c in enumerate(contexts)]
-    depth = np.arange(len(bits)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return bits, token if order is None else order[token], slots, depth
+    token = np.repeat(np.arange(len(leaves)) if order is None else order, sizes)
+    ahead = np.cumsum(sizes) - sizes
+    place = np.arange(len(token))
+    at = place + np.repeat(shape.starts[leaves] - ahead, sizes)
+    nodes, bits = shape.nodes.take(at), shape.bits.take(at)
+    every = np.arange(len(shape.sizes), dtype=np.uint32)  # there are fewer nodes than leaves
+    slots = [_slots(0, np.uint32(0), every).take(nodes), *(_slots(k, np.repeat(c, sizes), nodes) for k, c in enumerate(contexts) if k)]
+    return bits, token, slots, place - np.repeat(ahead, sizes)
 
 
 def by_chunk(starts: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -373,8 +378,10 @@ class Model:
     weights: np.ndarray  # gate, order
 
     def inputs(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([self.stretch[k].take(s) for k, s in enumerate(slots)], 1).astype(np.float32)
-        return x, _gate([self.seen[k].take(slots[k]) for k in (1, 2, 3)])
+        x = np.empty((ORDERS, len(slots[0])), np.float32)
+        for k, s in enumerate(slots):
+            self.stretch[k].take(s, out=x[k], mode="clip")
+        return x.T, _gate([self.seen[k].take(slots[k]) for k in (1, 2, 3)])
 
 
 def _gate(seen: list[np.ndarray]) -> np.ndarray:
@@ -402,10 +409,11 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
     if (np.diff(chunk_of) < 0).any():
         order = np.argsort(chunk_of, kind="stable")
         lane, chunk_of, x, gate, bits, depth = (v[order] for v in (lane, chunk_of, x, gate, bits, depth))
+    x = np.ascontiguousarray(x.T)  # by order, so that each is read in one run
     y, depth = bits.astype(np.float32), np.minimum(depth, 7)
     edges = np.searchsorted(chunk_of, np.arange(chunk_of[-1] + 2 if len(chunk_of) else 1))
     sets = 1 if shared else lanes
-    w = np.repeat(first[None].astype(np.float32), sets, 0).reshape(sets * GATES, ORDERS)
+    w = np.ascontiguousarray(np.repeat(first[None].astype(np.float32), sets, 0).reshape(sets * GATES, ORDERS).T)
     centre = (1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 1.5))).astype(np.float32)
     apm = np.tile(centre, lanes * 8)
     total = np.zeros(lanes)
@@ -413,8 +421,11 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
         if a == b:
             continue
         own = (0 if shared else lane[a:b] * GATES) + gate[a:b]
-        part = x[a:b]
-        logit = np.clip(np.einsum("ij,ij->i", part, w.take(own, 0)), -15, 15)
+        part = x[:, a:b]
+        logit = part[0] * w[0].take(own)
+        for k in range(1, ORDERS):
+            logit += part[k] * w[k].take(own)
+        np.clip(logit, -15, 15, out=logit)
         p = 1 / (1 + np.exp(-logit))
         cell = (lane[a:b] * 8 + depth[a:b]) * BUCKETS + np.clip(logit * 1.5 + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int64)
         refined = np.clip(0.75 * p + 0.25 * apm.take(cell), 1e-6, 1 - 1e-6)
@@ -423,14 +434,14 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
         total += np.bincount(lane[a:b], np.log10(got), lanes)
         err = (t - p) * rate
         for k in range(ORDERS):
-            w[:, k] += np.bincount(own, err * part[:, k], len(w))
+            w[k] += np.bincount(own, err * part[k], sets * GATES)
         low = cell.min()
         hits, ones = np.bincount(cell - low), np.bincount(cell - low, t)
         used = np.flatnonzero(hits)
         cells, hits = used + low, hits[used]
         mean = ones[used] / hits
         apm[cells] += (mean - apm[cells]) * (hits / (hits + 30))
-    return total, w.reshape(sets, GATES, ORDERS)
+    return total, w.T.reshape(sets, GATES, ORDERS)
 
 
 def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
@@ -464,6 +475,7 @@ def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, sample: int
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = replace(model, stretch=model.stretch.astype(np.float32))
         for batch in batches:
             held = [np.frombuffer(v, np.uint16).astype(np.int64) for v in batch.column("leaves").to_pylist()]
             out = np.zeros(len(held))
@@ -478,8 +490,8 @@ def _score(model: Model):
                     at += 1
                 starts = np.cumsum([0, *(len(held[i]) for i in part)])[:-1]
                 bits, token, slots, depth = expand(np.concatenate([held[i] for i in part]), starts, model.shape, by_chunk(starts, size))
-                x, gate = model.inputs(slots)
-                out[part], _ = mixed(x, gate, bits, token, depth, starts, size, model.weights)
+                x, gate = own.inputs(slots)
+                out[part], _ = mixed(x, gate, bits, token, depth, starts, size, own.weights)
             keep_ = [batch.column(c) for c in ("doc_id", "learn", "n_tokens", "n_known", "base", "shares", "spelling", "n_bytes")]
             yield pa.RecordBatch.from_arrays([*keep_, pa.array(out)], names=["doc_id", "learn", "n_tokens", "n_known", "base", "shares", "spelling", "n_bytes", "bits"])
         give_back()
@@ -495,7 +507,8 @@ def scores(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     spark = docs.sparkSession
-    blocks, blocks_path = keep(code_blocks(texts(docs), tokens), "mixing-blocks")
+    sized = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    blocks, blocks_path = keep(code_blocks(sized, tokens, carry="n_bytes"), "mixing-blocks")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = blocks.mapInArrow(_parts(buckets), PARTS)
     counted, counted_path = keep(parts.groupBy("bucket").applyInArrow(_counted, COUNTED), "mixing-counts")
@@ -519,5 +532,5 @@ def scores(docs: DataFrame) -> DataFrame:
         F.lit(shape.n).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"),
         score.alias("score"),
-        (-(score + F.col("spelling")) * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.try_divide(-(score + F.col("spelling")) * float(np.log2(10)), F.col("n_bytes")).alias("bits_per_byte"),
     )
