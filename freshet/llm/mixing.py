@@ -3,18 +3,19 @@
 Tokens are lower-cased words and one end per text. Training counts of all words are gathered over
 the corpus, dealt out by word; they come back to blocks of documents (see ``blocks``).
 
-Every token is a path of bits in one Huffman tree whose leaves are the ``TOP`` most frequent words,
-``CLASSES`` hash classes of the other words seen at least twice, and one leaf for words seen once
-or never. A word's share of its leaf comes from the counts; an unseen word is one event, as in the
+Every token is a path of bits in one Huffman tree whose leaves are the most frequent words, hash
+classes of the other words seen at least twice, and one leaf for words seen once or never. Words,
+classes and slots (below) follow the number of training tokens (``sizes_for``), up to tables that a
+task can hold. A word's share of its leaf comes from the counts; an unseen word is one event, as in the
 base score. Each bit is predicted in several contexts (none, the last one to three leaves, the last
 frequent leaf): a context and the node of the tree are hashed to a slot, which holds how often
 training texts went left and right there. The stretched predictions are added with weights chosen
-by how much the contexts have seen (the gates); weights start as fitted on a bounded sample with
+by how much the contexts have seen (the gates); weights start as fitted on all training texts with
 each document's own counts taken out, and are updated in every document after each chunk of
 tokens, together with a final adaptive map of probabilities. So every probability depends on
 training texts and earlier tokens of its own document only.
 
-Slot tables have a fixed size, so tasks may have copies. Score and base score count an unseen word
+Slot tables have a largest size, so tasks may have copies. Score and base score count an unseen word
 as one event; bits_per_byte also spells unseen words out, by pairs of bytes, and divides by the bytes of the text
 in UTF-8; it is null for an empty text.
 """
@@ -22,6 +23,7 @@ in UTF-8; it is null for an empty text.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,16 +37,19 @@ from freshet.llm.blocks import code_blocks, pack_words, unpack_words, widen
 from freshet.llm.common import discard, give_back, keep, texts
 from freshet.llm.bpe import pack, unpack
 
-TOP, CLASSES = 4096, 256
-SLOT_BITS = 20
+TOP, MOST_TOP = 4096, 32768  # frequent words, at least and at most; leaves fit two bytes
+WORDS_A_CLASS = 16  # frequent words for each hash class of the others
+MOST_CLASSES = MOST_TOP // WORDS_A_CLASS
+SLOT_BITS, MOST_SLOT_BITS = 20, 22
+TOKENS_A_SLOT = 32
 ORDERS = 5
 CHUNK = 32  # tokens between updates
 LANES = 512  # documents that are scored together
 GATES = 27
 RATE = 0.002
 FOLDS, HELD_OUT = 7, 2
-SAMPLE = 400  # documents, of at most SAMPLE_TOKENS each, for the first weights
-SAMPLE_TOKENS = 1000
+STEPS = 2  # passes over all training texts for the first weights
+START, PULL = 0.3, 10.0
 FREQUENT = 100
 END = "\n"  # no word holds a white space
 
@@ -63,6 +68,16 @@ def trained(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS != HELD_OUT
 
 
+def sizes_for(n: int) -> tuple[int, int]:
+    """Frequent words and bits of a slot number for n training tokens, both in powers of two.
+
+    Words grow with the square root of the tokens, as distinct words of a text do; slots with the tokens.
+    """
+    words = 1 << max(0, math.ceil(math.log2(max(2 * math.sqrt(n), 1))))
+    bits = math.ceil(math.log2(max(n / TOKENS_A_SLOT, 1)))
+    return min(max(words, TOP), MOST_TOP), min(max(bits, SLOT_BITS), MOST_SLOT_BITS)
+
+
 # --- counts of words -------------------------------------------------------------
 
 PARTS = "bucket int, block long, number binary, words binary, counts binary"
@@ -110,14 +125,14 @@ def _counted(group: pa.Table) -> pa.Table:
         row["words"] = unpack_words(row["words"])
         for w, c in zip(row["words"], unpack(row["counts"]).tolist()):
             total[w] = total.get(w, 0) + c
-    classes, v1, v2 = [0] * CLASSES, 0, 0
+    classes, v1, v2 = [0] * MOST_CLASSES, 0, 0
     for w, c in total.items():
         if c >= 2:
-            classes[zlib.crc32(w.encode("utf-8", "surrogatepass"), 7) % CLASSES] += c
+            classes[zlib.crc32(w.encode("utf-8", "surrogatepass"), 7) % MOST_CLASSES] += c
             v2 += c == 2
         v1 += c == 1
     known = [w for w, c in total.items() if c]
-    top = heapq.nsmallest(TOP, ((-c, w) for w, c in total.items() if c >= 2))
+    top = heapq.nsmallest(MOST_TOP, ((-c, w) for w, c in total.items() if c >= 2))
     names = [c.strip().split(" ")[0] for c in COUNTED.split(", ")]
     out = [
         (r["block"], r["number"], pack_words(r["words"]), np.array([total[w] for w in r["words"]], np.int64).tobytes(), None, None, None, None, None, None, None, None)
@@ -148,17 +163,19 @@ class Tree:
     sizes: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    top: int
+    slot_bits: int
 
     def leaf(self, word: str, count: int) -> tuple[int, float]:
         """The word's leaf, and log10 of its share of it."""
         if count >= 2:
             if (found := self.leaf_of.get(word)) is not None:
                 return found, 0.0
-            own = zlib.crc32(word.encode("utf-8", "surrogatepass"), 7) % CLASSES
-            return TOP + own, float(np.log10(count / self.class_counts[own]))
+            own = zlib.crc32(word.encode("utf-8", "surrogatepass"), 7) % len(self.class_counts)
+            return self.top + own, float(np.log10(count / self.class_counts[own]))
         if count == 1:
-            return TOP + CLASSES, float(np.log10((1 - self.unseen) / self.v1))
-        return TOP + CLASSES, float(np.log10(self.unseen))
+            return self.top + len(self.class_counts), float(np.log10((1 - self.unseen) / self.v1))
+        return self.top + len(self.class_counts), float(np.log10(self.unseen))
 
     def spelled(self, word: str) -> float:
         raw = np.frombuffer(b"\n" + word.encode("utf-8", "surrogatepass") + b"\n", np.uint8).astype(np.int64)
@@ -189,12 +206,13 @@ def _huffman(weights: list[int]) -> list[list[tuple[int, int]]]:
 
 
 def tree(counted: DataFrame) -> Tree:
-    """The tree and the sums; only sums and the ``TOP`` words come to the driver."""
+    """The tree and the sums; only sums and at most ``MOST_TOP`` words come to the driver."""
     sums = counted.where("block is null")
     row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "v1", "v2")]).first()
-    classes = np.zeros(CLASSES, np.int64)
+    most, slot_bits = sizes_for(row.n)
+    classes = np.zeros(most // WORDS_A_CLASS, np.int64)  # their number divides that of the counted ones
     for r in sums.select(F.posexplode("classes").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect():
-        classes[r.i] = r.c
+        classes[r.i % len(classes)] += r.c
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(257 * 257, np.int64)
@@ -208,11 +226,11 @@ def tree(counted: DataFrame) -> Tree:
     for r in sums.select("pairs").mapInArrow(add, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
         pairs[r.i] = r.c
     pairs = pairs.reshape(257, 257) + 0.1
-    top = sums.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).orderBy(F.desc("t.top_counts"), "t.top").limit(TOP).collect()
+    top = sums.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).orderBy(F.desc("t.top_counts"), "t.top").limit(most).collect()
     words = [(r.t.top, r.t.top_counts) for r in top]
     for w, c in words:
-        classes[zlib.crc32(w.encode("utf-8", "surrogatepass"), 7) % CLASSES] -= c
-    weights = [c for _, c in words] + [1] * (TOP - len(words)) + [int(c) + 1 for c in classes] + [row.v1 + 1]
+        classes[zlib.crc32(w.encode("utf-8", "surrogatepass"), 7) % len(classes)] -= c
+    weights = [c for _, c in words] + [1] * (most - len(words)) + [int(c) + 1 for c in classes] + [row.v1 + 1]
     paths = _huffman(weights)
     sizes = np.array([len(p) for p in paths], np.int64)
     flat = np.array([x for p in paths for x in p])
@@ -221,7 +239,7 @@ def tree(counted: DataFrame) -> Tree:
         unseen = 1.0
     return Tree(
         {w: i for i, (w, _) in enumerate(words)}, np.maximum(classes, 1), row.n, row.v, row.v1, unseen,
-        np.log10(pairs / pairs.sum(1, keepdims=True)), np.cumsum(sizes) - sizes, sizes, flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.uint8),
+        np.log10(pairs / pairs.sum(1, keepdims=True)), np.cumsum(sizes) - sizes, sizes, flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.uint8), most, slot_bits,
     )
 
 
@@ -285,7 +303,7 @@ def _contexts(leaves: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [np.zeros(n, np.uint32), a, b, c, frequent * np.uint32(0x27D4EB2F)]
 
 
-def _slots(order: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+def _slots(order: int, context: np.ndarray, nodes: np.ndarray, slot_bits: int) -> np.ndarray:
     """Slots of (context, node) pairs; without a context a node's slot is its own."""
     x = nodes * np.uint32(0x9E3779B1) + np.uint32(order * 0x3C6EF372 & 0xFFFFFFFF)
     x ^= context
@@ -293,7 +311,7 @@ def _slots(order: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     x *= np.uint32(0x7FEB352D)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x846CA68B)
-    return x >> np.uint32(32 - SLOT_BITS)
+    return x >> np.uint32(32 - slot_bits)
 
 
 def expand(leaves: np.ndarray, starts: np.ndarray, shape: Tree, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -308,7 +326,7 @@ def expand(leaves: np.ndarray, starts: np.ndarray, shape: Tree, order: np.ndarra
     at = place + np.repeat(shape.starts[leaves] - ahead, sizes)
     nodes, bits = shape.nodes.take(at), shape.bits.take(at)
     every = np.arange(len(shape.sizes), dtype=np.uint32)  # there are fewer nodes than leaves
-    slots = [_slots(0, np.uint32(0), every).take(nodes), *(_slots(k, np.repeat(c, sizes), nodes) for k, c in enumerate(contexts) if k)]
+    slots = [_slots(0, np.uint32(0), every, shape.slot_bits).take(nodes), *(_slots(k, np.repeat(c, sizes), nodes, shape.slot_bits) for k, c in enumerate(contexts) if k)]
     return bits, token, slots, place - np.repeat(ahead, sizes)
 
 
@@ -322,7 +340,7 @@ def _count(shape: Tree):
     """A task's training texts -> its counts by slice of the slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ORDERS, 2 << SLOT_BITS), np.uint32)
+        total = np.zeros((ORDERS, 2 << shape.slot_bits), np.uint32)
         for batch in batches:
             held = batch.column("leaves").to_pylist()
             at = 0
@@ -357,13 +375,13 @@ def _add(group: pa.Table) -> pa.Table:
 
 
 def slot_tables(coded: DataFrame, shape: Tree) -> np.ndarray:
-    """(order, slot, bit) counts over all training texts; the size is fixed."""
+    """(order, slot, bit) counts over all training texts; the size is that of ``sizes_for``."""
     parts = coded.where("learn").select("leaves").mapInArrow(_count(shape), "slice int, counts binary")
-    out = np.zeros((ORDERS, 2 << SLOT_BITS), np.uint32)
-    width = (2 << SLOT_BITS) // 16
+    out = np.zeros((ORDERS, 2 << shape.slot_bits), np.uint32)
+    width = (2 << shape.slot_bits) // 16
     for r in parts.groupBy("slice").applyInArrow(_add, "slice int, counts binary").toLocalIterator():
         out[r.slice // 16, r.slice % 16 * width : (r.slice % 16 + 1) * width] = unpack(bytes(r.counts))
-    return out.reshape(ORDERS, 1 << SLOT_BITS, 2)
+    return out.reshape(ORDERS, 1 << shape.slot_bits, 2)
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -444,32 +462,99 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
     return total, w.T.reshape(sets, GATES, ORDERS)
 
 
-def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
-    """Weights that predict sampled training texts well, whose own counts are taken out."""
-    start = np.full((GATES, ORDERS), 0.3)
-    rows = coded.where("learn").orderBy(F.xxhash64("doc_id"), "leaves").select(F.expr(f"substring(leaves, 1, {2 * SAMPLE_TOKENS})").alias("leaves")).limit(sample).collect()
+LOGS = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+
+
+def _log(n: np.ndarray) -> np.ndarray:
+    """log(n + 0.4) of counts, mostly from a table."""
+    out = LOGS.take(n, mode="clip")
+    many = np.flatnonzero(n >= len(LOGS))
+    out[many] = np.log(n[many] + 0.4)
+    return out
+
+
+def inputs_without_own(counts: np.ndarray, slots: list[np.ndarray], bits: np.ndarray, bounds: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and gates of training bits, the counts of each bit's own document taken out.
+
+    ``bounds``: where the bits of documents begin and end. ``scratch``: zeros for one order's slots, left as zeros.
+    """
+    x, seen = np.empty((len(bits), ORDERS), np.float32), []
+    for k, s in enumerate(slots):
+        zero = s.astype(np.int64) * 2
+        cell = zero + bits
+        left, right = counts[k].take(zero).astype(np.int64), counts[k].take(zero + 1).astype(np.int64)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            own = cell[a:b]
+            np.add.at(scratch, own, np.uint32(1))
+            left[a:b] -= scratch.take(zero[a:b])
+            right[a:b] -= scratch.take(zero[a:b] + 1)
+            scratch[own] = 0
+        # counts stop at the largest number their type holds, so a rest may fall below zero
+        np.maximum(left, 0, out=left)
+        np.maximum(right, 0, out=right)
+        x[:, k] = _log(right) - _log(left)
+        if k in (1, 2, 3):
+            seen.append(_levels(left + right))
+    return x, _gate(seen)
+
+
+def curvature(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` (gate, order, 1 + order) the gradient of the bits' log likelihood and its negated second derivative."""
+    order = np.argsort(gate.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+    for g in np.flatnonzero(np.diff(edges)):
+        rows = order[edges[g] : edges[g + 1]]
+        own = x[rows].astype(float)  # sums in double, so that they hardly depend on how texts are dealt
+        p = 1 / (1 + np.exp(-np.clip(own @ weights[g], -15, 15)))
+        total[g, :, 0] += own.T @ (bits[rows] - p)
+        total[g, :, 1:] += own.T @ (own * (p * (1 - p))[:, None])
+
+
+def _curvature(shape: Tree, counts: np.ndarray, weights: np.ndarray):
+    """A task's training texts -> its sums for one step of all gates' weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((GATES, ORDERS, 1 + ORDERS))
+        flat = counts.reshape(ORDERS, -1)
+        scratch = np.zeros(flat.shape[1], np.uint32)
+        for batch in batches:
+            held = batch.column("leaves").to_pylist()
+            at = 0
+            while at < len(held):
+                part, size = [], 0
+                while at < len(held) and size < 60_000:
+                    part.append(np.frombuffer(held[at], np.uint16).astype(np.int64))
+                    size += len(part[-1])
+                    at += 1
+                ends = np.cumsum([0, *map(len, part)])
+                bits, token, slots, _ = expand(np.concatenate(part), ends[:-1], shape)
+                x, gate = inputs_without_own(flat, slots, bits, np.searchsorted(token, ends), scratch)
+                curvature(x, gate, bits, weights, total)
+        where = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total.ravel()[where])], names=["i", "v"])
+        del flat, scratch
+        give_back()
+
+    return run
+
+
+def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Weights that predict all training texts, in whole, whose own counts are taken out.
+
+    Every gate is a logistic regression. A step is one pass: tasks add up gradients and second derivatives,
+    Spark adds up one row per task and entry, and the driver solves 27 systems of five unknowns. A weak
+    pull towards the start keeps gates that saw few bits near it.
+    """
+    start = np.full((GATES, ORDERS), START)
     weights = start
-    for _ in range(2):
-        for at in range(0, len(rows), 20):
-            xs, gates, bs, ts, ds, starts, n = [], [], [], [], [], [], 0
-            for r in rows[at : at + 20]:
-                leaves = np.frombuffer(bytes(r.leaves), np.uint16).astype(np.int64)
-                bits, token, slots, depth = expand(leaves, np.array([0]), shape)
-                x, seen = np.empty((len(bits), ORDERS), np.float32), []
-                for k, s in enumerate(slots):
-                    own = np.unique(s, return_inverse=True)[1]
-                    hits = [np.maximum(counts[k, s, v].astype(np.int64) - np.bincount(own, bits == v)[own].astype(np.int64), 0) for v in (0, 1)]
-                    x[:, k] = stretched(*hits)
-                    seen.append(_levels(hits[0] + hits[1]))
-                xs.append(x)
-                gates.append(_gate(seen[1:4]))
-                bs.append(bits)
-                ts.append(token + n)
-                ds.append(depth)
-                starts.append(n)
-                n += len(leaves)
-            _, w = mixed(*map(np.concatenate, (xs, gates, bs, ts, ds)), np.array(starts), n, weights, rate=0.0005, shared=True)
-            weights = w[0].astype(float)
+    learned = coded.where("learn").select("leaves")
+    for _ in range(steps):
+        total = np.zeros(GATES * ORDERS * (1 + ORDERS))
+        for r in learned.mapInArrow(_curvature(shape, counts, weights), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            total[r.i] = r.v
+        total = total.reshape(GATES, ORDERS, 1 + ORDERS)
+        gradient = total[:, :, 0] - PULL * (weights - start)
+        weights = weights + np.linalg.solve(total[:, :, 1:] + PULL * np.eye(ORDERS), gradient[:, :, None])[:, :, 0]
     return weights
 
 
@@ -518,9 +603,11 @@ def scores(docs: DataFrame) -> DataFrame:
     discard(spark, blocks_path)
     discard(spark, counted_path)
     counts = slot_tables(coded, shape)
-    small = Tree({}, shape.class_counts, shape.n, shape.v, shape.v1, shape.unseen, shape.spelling, shape.starts, shape.sizes, shape.nodes, shape.bits)
-    seen = counts.sum(2, dtype=np.int64)
-    model = Model(small, stretched(counts[:, :, 0], counts[:, :, 1]).astype(np.float16), _levels(seen), first_weights(coded, small, counts))
+    small = replace(shape, leaf_of={})
+    # order by order, so that the driver holds one order's numbers besides the counts
+    stretch = np.stack([stretched(c[:, 0], c[:, 1]).astype(np.float16) for c in counts])
+    seen = np.stack([_levels(c.sum(1, dtype=np.int64)) for c in counts])
+    model = Model(small, stretch, seen, first_weights(coded, small, counts))
     columns = "doc_id long, learn boolean, n_tokens long, n_known long, base double, shares double, spelling double, n_bytes long, bits double"
     found = coded.mapInArrow(_score(model), columns)
     score = F.col("bits") + F.col("shares")

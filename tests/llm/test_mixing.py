@@ -63,9 +63,13 @@ def shape_of(spark, rows):
     return m.tree(parts.groupBy("bucket").applyInArrow(m._counted, m.COUNTED))
 
 
-def test_probabilities_add_up(spark):
+@pytest.mark.parametrize("most", [None, 16 * 64])
+def test_probabilities_add_up(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(m, "sizes_for", lambda n: (most, 21))
     rows = sample()
     shape = shape_of(spark, rows)
+    assert most is None or (shape.top, shape.slot_bits, len(shape.class_counts)) == (most, 21, 64)
     assert math.isclose(sum(2.0 ** -int(s) for s in shape.sizes), 1)
     counts = Counter(m.END if w is None else w for i, t in rows if learns(i) for w in words_of(t))
     shares = Counter()
@@ -133,6 +137,80 @@ def test_mixing_is_a_plain_loop_over_chunks(shared):
     assert np.allclose(weights, w[:1] if shared else w, atol=1e-3)
 
 
+def coded_from(spark, texts_):
+    rows = [(True, bytes(np.array(t, np.uint16).tobytes())) for t in texts_]
+    return spark.createDataFrame(rows, "learn boolean, leaves binary").repartition(3)
+
+
+def test_inputs_leave_out_the_own_document(spark):
+    rng = random.Random(2)
+    texts_ = [[rng.randrange(0, 5) for _ in range(rng.randrange(1, 60))] for _ in range(9)]
+    shape = shape_of(spark, sample())
+    every = [m.expand(np.array(t), np.array([0]), shape) for t in texts_]
+    counts = np.zeros((m.ORDERS, 1 << shape.slot_bits, 2), np.uint32)
+    for bits, _, slots, _ in every:
+        for k, s in enumerate(slots):
+            np.add.at(counts[k], (s, bits), 1)
+    ends = np.cumsum([0, *map(len, texts_)])
+    bits, token, slots, _ = m.expand(np.concatenate([np.array(t) for t in texts_]), ends[:-1], shape)
+    flat = counts.reshape(m.ORDERS, -1)
+    scratch = np.zeros(flat.shape[1], np.uint32)
+    x, gate = m.inputs_without_own(flat, slots, bits, np.searchsorted(token, ends), scratch)
+    assert not scratch.any()
+    at = 0
+    for d, (own_bits, _, own_slots, _) in enumerate(every):
+        others = [Counter((int(a), int(b)) for j, e in enumerate(every) if j != d for a, b in zip(e[2][k], e[0])) for k in range(m.ORDERS)]
+        for i in range(len(own_bits)):
+            hits = [(others[k][int(own_slots[k][i]), 0], others[k][int(own_slots[k][i]), 1]) for k in range(m.ORDERS)]
+            assert np.allclose(x[at], [math.log((b + 0.4) / (a + 0.4)) for a, b in hits], atol=1e-5)
+            levels = [(sum(h) > 0) + (sum(h) > 3) for h in hits[1:4]]
+            assert gate[at] == levels[0] * 9 + levels[1] * 3 + levels[2]
+            at += 1
+    assert at == len(bits)
+
+
+def test_curvature_is_the_sum_over_bits():
+    rng = np.random.default_rng(7)
+    x, gate, bits = rng.standard_normal((400, m.ORDERS)).astype(np.float32), rng.integers(0, 4, 400), rng.integers(0, 2, 400)
+    weights, total = rng.random((m.GATES, m.ORDERS)), np.zeros((m.GATES, m.ORDERS, 1 + m.ORDERS))
+    m.curvature(x, gate, bits, weights, total)
+    want = np.zeros_like(total)
+    for row, g, y in zip(x.astype(float), gate, bits):
+        p = 1 / (1 + math.exp(-float(row @ weights[g])))
+        want[g, :, 0] += (y - p) * row
+        want[g, :, 1:] += p * (1 - p) * np.outer(row, row)
+    assert np.allclose(total, want, rtol=1e-3, atol=1e-3)
+
+
+def test_first_weights_read_whole_texts_and_all_documents(spark):
+    rng = random.Random(4)
+    shape = shape_of(spark, sample())
+    texts_ = [[rng.randrange(0, 6) for _ in range(40)] for _ in range(500)] + [[rng.randrange(0, 6) for _ in range(1400)]]
+    weights = []
+    for tail in ([], [0, 3] * 200):
+        coded = coded_from(spark, [*texts_[:-1], texts_[-1][:1000] + tail])
+        counts = m.slot_tables(coded, shape)
+        weights.append(m.first_weights(coded, shape, counts))
+        # the same on one partition: sums do not depend on how texts are dealt
+        assert np.allclose(weights[-1], m.first_weights(coded.repartition(1), shape, counts), atol=1e-4)
+    assert np.abs(weights[0] - weights[1]).max() > 1e-3
+    # the derivative is near zero after a few more steps: they go to the largest likelihood
+    total = np.zeros((m.GATES, m.ORDERS, 1 + m.ORDERS))
+    more = m.first_weights(coded, shape, counts, steps=8)
+    for batch in m._curvature(shape, counts, more)(iter(coded.select("leaves").toArrow().to_batches())):
+        total.ravel()[batch.column("i").to_numpy()] = batch.column("v").to_numpy()
+    rest = total[:, :, 0] - m.PULL * (more - m.START)
+    assert np.abs(rest).max() < 1e-2 * max(1, np.abs(total[:, :, 1:]).max())
+
+
+def test_sizes_follow_the_tokens():
+    assert m.sizes_for(0) == m.sizes_for(1_000_000) == (m.TOP, m.SLOT_BITS)
+    sizes = [m.sizes_for(n) for n in (10**6, 10**7, 4 * 10**7, 10**8, 10**9, 10**13)]
+    assert sizes == sorted(sizes) and sizes[2][0] > m.TOP and sizes[2][1] > m.SLOT_BITS
+    assert sizes[-1] == (m.MOST_TOP, m.MOST_SLOT_BITS)
+    assert m.MOST_TOP + m.MOST_CLASSES + 1 <= 1 << 16 and all(m.MOST_CLASSES % (t // m.WORDS_A_CLASS) == 0 for t, _ in sizes)
+
+
 def test_empty_table(spark):
     assert m.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = m.scores(spark.createDataFrame([(9, "only held out or not")], "doc_id long, text string")).collect()
