@@ -11,7 +11,7 @@ base score. Each bit is predicted in several contexts (none, the last one to thr
 frequent leaf): a context and the node of the tree are hashed to a slot, which holds how often
 training texts went left and right there. The stretched predictions are added with weights chosen
 by how much the contexts have seen (the gates); weights start as fitted on all training texts with
-each document's own counts taken out, and are updated in every document after each chunk of
+each bit's own occurrence taken out of the counts, and are updated in every document after each chunk of
 tokens, together with a final adaptive map of probabilities. So every probability depends on
 training texts and earlier tokens of its own document only.
 
@@ -462,84 +462,65 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
     return total, w.T.reshape(sets, GATES, ORDERS)
 
 
-LOGS = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
-
-
-def _log(n: np.ndarray) -> np.ndarray:
-    """log(n + 0.4) of counts, mostly from a table."""
-    out = LOGS.take(n, mode="clip")
-    many = np.flatnonzero(n >= len(LOGS))
-    out[many] = np.log(n[many] + 0.4)
-    return out
+def without_own(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per (slot, bit) the input and the level that a training bit gets there, its own occurrence taken out.
 
+    A (slot, bit) that no training text has is never asked for.
+    """
+    zeros, ones = counts[:, 0].astype(np.int64), counts[:, 1].astype(np.int64)
+    less = [np.maximum(c - 1, 0) for c in (zeros, ones)]
+    stretch = np.stack([stretched(less[0], ones), stretched(zeros, less[1])], 1).astype(np.float16)
+    return stretch.ravel(), _levels(np.maximum(zeros + ones - 1, 0))
 
-def inputs_without_own(counts: np.ndarray, slots: list[np.ndarray], bits: np.ndarray, bounds: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and gates of training bits, the counts of each bit's own document taken out.
 
-    ``bounds``: where the bits of documents begin and end. ``scratch``: zeros for one order's slots, left as zeros.
-    """
-    x, seen = np.empty((len(bits), ORDERS), np.float32), []
+def inputs_without_own(stretch: np.ndarray, seen: np.ndarray, slots: list[np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and gates of training bits from the tables of ``without_own``."""
+    x = np.empty((ORDERS, len(bits)), np.float32)
     for k, s in enumerate(slots):
-        zero = s.astype(np.int64) * 2
-        cell = zero + bits
-        left, right = counts[k].take(zero).astype(np.int64), counts[k].take(zero + 1).astype(np.int64)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            own = cell[a:b]
-            np.add.at(scratch, own, np.uint32(1))
-            left[a:b] -= scratch.take(zero[a:b])
-            right[a:b] -= scratch.take(zero[a:b] + 1)
-            scratch[own] = 0
-        # counts stop at the largest number their type holds, so a rest may fall below zero
-        np.maximum(left, 0, out=left)
-        np.maximum(right, 0, out=right)
-        x[:, k] = _log(right) - _log(left)
-        if k in (1, 2, 3):
-            seen.append(_levels(left + right))
-    return x, _gate(seen)
+        x[k] = stretch[k].take(s * np.uint32(2) + bits, mode="clip")
+    return x.T, _gate([seen[k].take(slots[k], mode="clip") for k in (1, 2, 3)])
 
 
 def curvature(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
     """Add to ``total`` (gate, order, 1 + order) the gradient of the bits' log likelihood and its negated second derivative."""
     order = np.argsort(gate.astype(np.uint8), kind="stable")
     edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+    columns, y = np.ascontiguousarray(x.T), bits.astype(np.float32)
     for g in np.flatnonzero(np.diff(edges)):
         rows = order[edges[g] : edges[g + 1]]
-        own = x[rows].astype(float)  # sums in double, so that they hardly depend on how texts are dealt
-        p = 1 / (1 + np.exp(-np.clip(own @ weights[g], -15, 15)))
-        total[g, :, 0] += own.T @ (bits[rows] - p)
-        total[g, :, 1:] += own.T @ (own * (p * (1 - p))[:, None])
+        own = columns.take(rows, 1).astype(float)  # sums in double, so that they hardly depend on how texts are dealt
+        p = 1 / (1 + np.exp(-np.clip(weights[g] @ own, -15, 15)))
+        total[g, :, 0] += own @ (y.take(rows) - p)
+        total[g, :, 1:] += (own * (p * (1 - p))) @ own.T
 
 
-def _curvature(shape: Tree, counts: np.ndarray, weights: np.ndarray):
+def _curvature(shape: Tree, stretch: np.ndarray, seen: np.ndarray, weights: np.ndarray):
     """A task's training texts -> its sums for one step of all gates' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((GATES, ORDERS, 1 + ORDERS))
-        flat = counts.reshape(ORDERS, -1)
-        scratch = np.zeros(flat.shape[1], np.uint32)
         for batch in batches:
             held = batch.column("leaves").to_pylist()
             at = 0
             while at < len(held):
                 part, size = [], 0
-                while at < len(held) and size < 60_000:
+                while at < len(held) and size < 30_000:
                     part.append(np.frombuffer(held[at], np.uint16).astype(np.int64))
                     size += len(part[-1])
                     at += 1
-                ends = np.cumsum([0, *map(len, part)])
-                bits, token, slots, _ = expand(np.concatenate(part), ends[:-1], shape)
-                x, gate = inputs_without_own(flat, slots, bits, np.searchsorted(token, ends), scratch)
+                starts = np.cumsum([0, *map(len, part)])[:-1]
+                bits, _, slots, _ = expand(np.concatenate(part), starts, shape)
+                x, gate = inputs_without_own(stretch, seen, slots, bits)
                 curvature(x, gate, bits, weights, total)
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total.ravel()[where])], names=["i", "v"])
-        del flat, scratch
         give_back()
 
     return run
 
 
 def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights that predict all training texts, in whole, whose own counts are taken out.
+    """Weights that predict all training texts, in whole, each bit without its own occurrence in the counts.
 
     Every gate is a logistic regression. A step is one pass: tasks add up gradients and second derivatives,
     Spark adds up one row per task and entry, and the driver solves 27 systems of five unknowns. A weak
@@ -548,9 +529,10 @@ def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, steps: int
     start = np.full((GATES, ORDERS), START)
     weights = start
     learned = coded.where("learn").select("leaves")
+    stretch, seen = map(np.stack, zip(*map(without_own, counts)))
     for _ in range(steps):
         total = np.zeros(GATES * ORDERS * (1 + ORDERS))
-        for r in learned.mapInArrow(_curvature(shape, counts, weights), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in learned.mapInArrow(_curvature(shape, stretch, seen, weights), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             total[r.i] = r.v
         total = total.reshape(GATES, ORDERS, 1 + ORDERS)
         gradient = total[:, :, 0] - PULL * (weights - start)
