@@ -21,9 +21,15 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], names_to:
     return df.unpivot(list(ids), list(values), names_to, values_to)
 
 
-def levels_of(df: DataFrame, key: str) -> list:
-    """The values of a key column that is to become columns, in order: one distinct pass."""
-    return [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).collect()]
+def levels_of(df: DataFrame, key: str, most: int = 10_000) -> list:
+    """The values of a key column that is to become columns, in order: one distinct pass.
+
+    More than ``most`` values raise an error: they would neither fit the driver nor make a table.
+    """
+    found = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"column {key} has more than {most} values")
+    return [r[0] for r in found]
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence, values: Sequence[str], name: str = "{value}_{level}") -> DataFrame:

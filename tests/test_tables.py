@@ -276,3 +276,11 @@ def test_run_selection_on_the_published_sweep(spark):
     assert rows(best, "clusters") == [(3, 5), (4, 17), (5, 30)]
     median = quantiles.exact_quantiles(df, [], "npf", {"m": 0.5}).first()["m"]
     assert median / df.agg(F.max("qe")).first()[0] == pytest.approx(125336.8096, abs=1e-3)
+
+
+def test_levels_are_bounded(spark):
+    df = spark.createDataFrame([(3,), (1,), (None,), (3,), (2,)], "k int")
+    assert reshape.levels_of(df, "k") == reshape.levels_of(df, "k", most=3) == [1, 2, 3]
+    assert reshape.levels_of(df.limit(0), "k") == []
+    with pytest.raises(ValueError, match="more than 2"):
+        reshape.levels_of(df, "k", most=2)
