@@ -346,7 +346,7 @@ def _count(shape: Tree):
             at = 0
             while at < len(held):
                 part, size = [], 0
-                while at < len(held) and size < 100_000:
+                while at < len(held) and size < 30_000:
                     part.append(np.frombuffer(held[at], np.uint16).astype(np.int64))
                     size += len(part[-1])
                     at += 1
@@ -403,7 +403,8 @@ class Model:
 
 
 def _gate(seen: list[np.ndarray]) -> np.ndarray:
-    return (seen[0].astype(np.int64) * 3 + seen[1]) * 3 + seen[2]
+    three = np.uint8(3)  # there are 27 gates, so one byte holds them
+    return (seen[0] * three + seen[1]) * three + seen[2]
 
 
 def _levels(n: np.ndarray) -> np.ndarray:
