@@ -129,12 +129,26 @@ def value_at_rank(df: DataFrame, value: str, rank: Callable[[int], int]) -> floa
     return found
 
 
+def _inside(value: str, reach: float) -> Column:
+    length = F.col("q3") - F.col("q1")
+    return F.col(value).between(F.col("q1") - reach * length, F.col("q3") + reach * length)
+
+
+def box_outliers(df: DataFrame, group: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
+    """The rows, with all their columns, whose value lies more than ``reach`` box lengths outside their group's box.
+
+    Rows without a value are none. The quartiles are one row per group, joined to the rows.
+    """
+    quartiles = exact_quantiles(df, group, value, {"q1": 0.25, "q3": 0.75})
+    joined = join_matching_nulls(df, quartiles, group, "inner")
+    return joined.where(~_inside(value, reach)).select(*df.columns)
+
+
 def box_summary(df: DataFrame, group: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Minimum, quartiles, maximum and the outermost values within ``reach`` box lengths."""
     quartiles = exact_quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     joined = join_matching_nulls(df.select(*group, value), quartiles, group, "inner")
-    length = F.col("q3") - F.col("q1")
-    inside = F.col(value).between(F.col("q1") - reach * length, F.col("q3") + reach * length)
+    inside = _inside(value, reach)
     return joined.groupBy(*group, "q1", "median", "q3").agg(
         F.min(value).alias("low"),
         F.max(value).alias("high"),

@@ -408,6 +408,13 @@ def box_stats_clusters(spark, folder):
     return quantiles.box_summary(long, ["cluster", "var"], "value")
 
 
+@query
+def box_outliers(spark, folder):
+    """The days that a box figure of the clusters shows as single points."""
+    long = reshape.to_long(yields.four_clusters(spark, folder), ["site", "date", "cluster"], FEATURES)
+    return quantiles.box_outliers(long, ["cluster", "var"], "value")
+
+
 @query
 def count_groups(spark, folder):
     return aggregates.counts(r.sensor(spark, folder).withColumn("date", F.to_date("ts")), ["station", "date"])

@@ -132,23 +132,17 @@ def use_per_day(daily: DataFrame, use: DataFrame, lengths: DataFrame) -> DataFra
 def compile_daily(spark: SparkSession, folder: str) -> DataFrame:
     """The full table.
 
-    Raw readings are scanned once each and aggregated to days. Daily tables that
-    several later steps read are written to the shared folder first, so no raw
-    scan is repeated and the plan of the join stays short. All per-day tables
+    Each fact table is read once and aggregated to a table of days with what all its series
+    need. Daily tables that several later steps read are written to the shared folder first,
+    so no raw scan is repeated and the plan of the join stays short. All per-day tables
     have one row per day and are put together by one union and aggregation; the
     site-day table meets them in one join.
     """
     r = readings
-    met = weather(r.airport(spark, folder), r.precipitation(spark, folder), r.precipitation_spare(spark, folder))
-    runoff, days, met, snow, use = stage_all(
-        {
-            "runoff": r.runoff(spark, folder),
-            "logger": logger_days(r.logger(spark, folder)),
-            "met": met,
-            "snow": snow_depth(r.snow(spark, folder)),
-            "use": monthly_use(r.withdrawals(spark, folder)),
-        }
-    )
+    lines, orders = stage_all({"lines": r.line_days(spark, folder), "orders": r.order_days(spark, folder)})
+    runoff, days = r.runoff(spark, folder, lines), r.logger_days(lines)
+    met = weather(r.airport(spark, folder, lines), r.precipitation(spark, folder, orders), r.precipitation_spare(spark, folder, lines))
+    met, snow, use = stage_all({"met": met, "snow": snow_depth(r.snow(spark, folder, orders)), "use": monthly_use(r.withdrawals(spark, folder, orders))})
     per_day = stage(
         full_chain(
             [

@@ -1,7 +1,8 @@
 """The logical inputs, mapped onto the star-schema tables.
 
 Each function aggregates a whole fact table to the grain of the analysis (a day,
-a month) with map-side combining; everything downstream works on that grain.
+a month) with map-side combining; everything downstream works on that grain. A plan of
+several series passes ``days``, a written ``line_days`` or ``order_days``, so that a fact table is read once.
 Sums run over decimals or whole numbers so that they do not depend on the order
 in which partial results arrive.
 """
@@ -27,11 +28,46 @@ def money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 
 
-def runoff(spark: SparkSession, folder: str) -> DataFrame:
+def line_days(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per flag and day of the line items with all that any daily series needs: one pass over the fact table.
+
+    A series that reads a few of its columns and flags makes Spark compute and scan those only.
+    """
+    cents = F.round(F.col("l_discount") * 100)
+    return (
+        table(spark, folder, "lineitem")
+        .groupBy("l_returnflag", F.to_date("l_shipdate").alias("date"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("l_quantity").alias("quantity"),
+            F.count("l_quantity").alias("n_quantity"),
+            F.sum(money("l_tax")).alias("tax"),
+            F.min(cents).alias("cents_min"),
+            F.max(cents).alias("cents_max"),
+            F.sum(cents).alias("cents"),
+            F.count(cents).alias("n_cents"),
+        )
+    )
+
+
+def order_days(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per day of the orders with all that any daily or monthly series needs: one pass over the fact table."""
+    by = lambda p: F.count(F.when(F.col("o_orderpriority") == p, 1))
+    daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
+    return daily.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(money("o_totalprice")).alias("price"),
+        by("1-URGENT").alias("urgent"),
+        by("2-HIGH").alias("high"),
+        by("5-LOW").alias("low"),
+    )
+
+
+def runoff(spark: SparkSession, folder: str, days: DataFrame | None = None) -> DataFrame:
     """site, date, q_mm: daily runoff of both watersheds."""
-    lines = table(spark, folder, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    lines = days or line_days(spark, folder)
     site = F.when(F.col("l_returnflag") == "A", "WB").otherwise("RB").alias("site")
-    return lines.groupBy(site, F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("q_mm"))
+    return lines.where(F.col("l_returnflag").isin("A", "R")).select(site, "date", F.col("quantity").alias("q_mm"))
 
 
 def runoff_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,48 +76,42 @@ def runoff_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return runoff(spark, folder).withColumn("q_mm", F.when(~gap, F.col("q_mm")))
 
 
-def precipitation(spark: SparkSession, folder: str) -> DataFrame:
+def precipitation(spark: SparkSession, folder: str, days: DataFrame | None = None) -> DataFrame:
     """date, precip_mm: daily totals, missing on the 10th to 14th of each month."""
-    daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
-    total = daily.agg(F.sum(money("o_totalprice")).cast("double").alias("t"))
     kept = ~F.dayofmonth("date").between(10, 14)
-    return total.select("date", F.when(kept, F.col("t") / 10000.0).alias("precip_mm"))
+    total = days or order_days(spark, folder)
+    return total.select("date", F.when(kept, F.col("price").cast("double") / 10000.0).alias("precip_mm"))
 
 
-def precipitation_spare(spark: SparkSession, folder: str) -> DataFrame:
+def precipitation_spare(spark: SparkSession, folder: str, days: DataFrame | None = None) -> DataFrame:
     """date, precip_mm_vwc: a second gauge that reports from 1996 on."""
-    daily = table(spark, folder, "lineitem").where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
-    total = daily.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.sum(money("l_tax")).cast("double").alias("t"))
-    return total.select("date", (F.col("t") / 10.0).alias("precip_mm_vwc"))
+    since = (days or line_days(spark, folder)).where(F.col("date") >= F.lit("1996-01-01").cast("date"))
+    return since.groupBy("date").agg((F.sum("tax").cast("double") / 10.0).alias("precip_mm_vwc"))
 
 
-def airport(spark: SparkSession, folder: str) -> DataFrame:
+def airport(spark: SparkSession, folder: str, days: DataFrame | None = None) -> DataFrame:
     """date, temp_min, temp_max, temp_avg: extremes missing on the 7th-8th and 20th-22nd, means until LAST_MEAN_TEMP."""
-    lines = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "N")
-    cents = F.round(F.col("l_discount") * 100)
-    daily = lines.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        F.min(cents).alias("lo"), F.max(cents).alias("hi"), F.avg(cents).alias("mid")
-    )
+    daily = (days or line_days(spark, folder)).where(F.col("l_returnflag") == "N")
+    mean = F.try_divide(F.col("cents"), F.col("n_cents"))
     day = F.dayofmonth("date")
     kept = ~(day.between(7, 8) | day.between(20, 22))
     return daily.select(
         "date",
-        F.when(kept, F.col("lo")).alias("temp_min"),
-        F.when(kept, F.col("hi")).alias("temp_max"),
-        F.when(kept & (F.col("date") <= F.lit(LAST_MEAN_TEMP).cast("date")), F.col("mid")).alias("temp_avg"),
+        F.when(kept, F.col("cents_min")).alias("temp_min"),
+        F.when(kept, F.col("cents_max")).alias("temp_max"),
+        F.when(kept & (F.col("date") <= F.lit(LAST_MEAN_TEMP).cast("date")), mean).alias("temp_avg"),
     )
 
 
-def snow(spark: SparkSession, folder: str) -> DataFrame:
+def snow(spark: SparkSession, folder: str, days: DataFrame | None = None) -> DataFrame:
     """date, snow_dep: daily snow stake reading.
 
     Missing on the 10th-13th and at the end of the month, from the 17th on in the
     first half of the year and from the 16th on in the second.
     """
-    daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
     day = F.dayofmonth("date")
     kept = ~(day.between(10, 13) | (day >= F.when(F.month("date") < 7, 17).otherwise(16)))
-    return daily.agg(F.count(F.lit(1)).cast("double").alias("n")).select("date", F.when(kept, F.col("n")).alias("snow_dep"))
+    return (days or order_days(spark, folder)).select("date", F.when(kept, F.col("n").cast("double")).alias("snow_dep"))
 
 
 def logger(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,17 +123,28 @@ def logger(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.col("l_discount") * 100).alias("airtemp_c"),
         F.col("l_quantity").alias("pyranometer_watt_m2"),
     )
+    return lines.where(_reporting())
+
+
+def _reporting() -> Column:
     first, last = (F.lit(d).cast("date") for d in OUTAGE)
-    return lines.where((F.col("date") <= first) | (F.col("date") >= last) | F.col("date").isNull())
+    return (F.col("date") <= first) | (F.col("date") >= last) | F.col("date").isNull()
+
+
+def logger_days(days: DataFrame) -> DataFrame:
+    """date, temp_avg_vwc, pyra_wattm2_dailyTot: the logger's daily mean and total from ``line_days``; a missing reading makes its day missing."""
+    whole = lambda n, v: F.when(F.sum(n) == F.sum("n"), v)
+    return days.where(_reporting()).groupBy("date").agg(
+        F.round(whole("n_cents", F.sum("cents") / F.sum("n")), 1).alias("temp_avg_vwc"),
+        whole("n_quantity", F.sum("quantity")).alias("pyra_wattm2_dailyTot"),
+    )
 
 
-def withdrawals(spark: SparkSession, folder: str) -> DataFrame:
+def withdrawals(spark: SparkSession, folder: str, days: DataFrame | None = None) -> DataFrame:
     """wyear, month and three uses, missing out of season."""
-    orders = table(spark, folder, "orders")
-    date = F.to_date("o_orderdate")
-    by = lambda p: F.count(F.when(F.col("o_orderpriority") == p, 1)).cast("double")
-    monthly = orders.groupBy(water_year(date).alias("wyear"), F.month(date).alias("month")).agg(
-        by("1-URGENT").alias("a"), by("2-HIGH").alias("b"), by("5-LOW").alias("c")
+    total = lambda c: F.sum(c).cast("double")
+    monthly = (days or order_days(spark, folder)).groupBy(water_year(F.col("date")).alias("wyear"), F.month("date").alias("month")).agg(
+        total("urgent").alias("a"), total("high").alias("b"), total("low").alias("c")
     )
     month = F.col("month")
     return monthly.select(

@@ -189,6 +189,14 @@ LINES = " UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS var, {c} AS value FRO
 DAYS = " UNION ALL ".join(f"SELECT cluster, '{f}' AS var, {f} AS value FROM v_4cl" for f in FEATURES)
 add("box_stats", box(LINES, "l_returnflag"), BOX)
 add("box_stats_clusters", box(DAYS, "cluster"), BOX)
+POINTS = " UNION ALL ".join(f"SELECT site, date, cluster, '{f}' AS var, {f} AS value FROM v_4cl" for f in FEATURES)
+add(
+    "box_outliers",
+    f"""SELECT site, date, cluster, var, value FROM ({POINTS})
+        JOIN (SELECT cluster, var, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ({POINTS}) GROUP BY 1, 2) USING (cluster, var)
+        WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
+    "value",
+)
 add("count_groups", "SELECT station, CAST(ts AS DATE) AS date, count(*) AS n FROM v_sensor GROUP BY 1, 2")
 add("count_share", "SELECT * FROM v_shares", "n_cl_all_prop")
 add("distinct_count", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(value) AS n_value FROM events GROUP BY 1")
