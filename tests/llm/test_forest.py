@@ -55,6 +55,23 @@ def test_recall_and_groups(spark, block, leaf):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_recall_of_deep_trees(spark):
+    """The query's trees and spill, 11 levels deep: copies from just above the least cosine on."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((20_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((4000, 64))
+    side -= (side * base[:4000]).sum(1, keepdims=True) * base[:4000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.999, (4000, 1))
+    m = np.concatenate([base, cosine * base[:4000] + np.sqrt(1 - cosine**2) * side])
+    links = np.concatenate([(m[a : a + 2000] @ m.T >= 0.95).sum(1) - 1 for a in range(0, len(m), 2000)])
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(docs, leaf=16).select("vec_id", "n_links").collect()}
+    assert all(got[i] <= n for i, n in enumerate(links))
+    assert sum(got.values()) >= 0.9 * links.sum()
+
+
 def test_one_leaf_is_exact(spark):
     data = rows(60)
     near = brute(data)
