@@ -42,6 +42,7 @@ WORDS_A_CLASS = 16  # frequent words for each hash class of the others
 MOST_CLASSES = MOST_TOP // WORDS_A_CLASS
 SLOT_BITS, MOST_SLOT_BITS = 20, 22
 TOKENS_A_SLOT = 32
+SLOTS_AT_ONCE = 1 << 18
 ORDERS = 5
 CHUNK = 32  # tokens between updates
 LANES = 512  # documents that are scored together
@@ -474,6 +475,22 @@ def without_own(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stretch.ravel(), _levels(np.maximum(zeros + ones - 1, 0))
 
 
+def with_own(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per slot the input and the level that a scored bit gets there."""
+    return stretched(counts[:, 0], counts[:, 1]).astype(np.float16), _levels(counts.sum(1, dtype=np.int64))
+
+
+def tables_of(counts: np.ndarray, rule, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rule`` of the counts of all orders, with ``width`` inputs a slot: some slots at a time, so that the driver holds little beside the tables."""
+    orders, n = counts.shape[:2]
+    stretch, seen = np.empty((orders, n * width), np.float16), np.empty((orders, n), np.uint8)
+    for k in range(orders):
+        for a in range(0, n, SLOTS_AT_ONCE):
+            b = min(a + SLOTS_AT_ONCE, n)
+            stretch[k, a * width : b * width], seen[k, a:b] = rule(counts[k, a:b])
+    return stretch, seen
+
+
 def inputs_without_own(stretch: np.ndarray, seen: np.ndarray, slots: list[np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and gates of training bits from the tables of ``without_own``."""
     x = np.empty((ORDERS, len(bits)), np.float32)
@@ -530,7 +547,7 @@ def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, steps: int
     start = np.full((GATES, ORDERS), START)
     weights = start
     learned = coded.where("learn").select("leaves")
-    stretch, seen = map(np.stack, zip(*map(without_own, counts)))
+    stretch, seen = tables_of(counts, without_own, 2)
     for _ in range(steps):
         total = np.zeros(GATES * ORDERS * (1 + ORDERS))
         for r in learned.mapInArrow(_curvature(shape, stretch, seen, weights), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
@@ -587,10 +604,10 @@ def scores(docs: DataFrame) -> DataFrame:
     discard(spark, counted_path)
     counts = slot_tables(coded, shape)
     small = replace(shape, leaf_of={})
-    # order by order, so that the driver holds one order's numbers besides the counts
-    stretch = np.stack([stretched(c[:, 0], c[:, 1]).astype(np.float16) for c in counts])
-    seen = np.stack([_levels(c.sum(1, dtype=np.int64)) for c in counts])
-    model = Model(small, stretch, seen, first_weights(coded, small, counts))
+    weights = first_weights(coded, small, counts)  # its tables go before those of the model come
+    give_back()
+    model = Model(small, *tables_of(counts, with_own, 1), weights)
+    del counts
     columns = "doc_id long, learn boolean, n_tokens long, n_known long, base double, shares double, spelling double, n_bytes long, bits double"
     found = coded.mapInArrow(_score(model), columns)
     score = F.col("bits") + F.col("shares")
