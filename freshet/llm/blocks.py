@@ -9,6 +9,7 @@ words, and what was found comes back to a block as a table no larger than the bl
 from __future__ import annotations
 
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,25 +75,30 @@ def code_blocks(docs: DataFrame, split: Callable[[str], list[str]], block_bytes:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         block = (TaskContext.get().partitionId() << 24) - 1
 
         def out():
             row = [[block], [ids], [counts], [narrow(codes, len(number))], [pack_words(number)], [carried if carry else None]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, FIELDS)], schema=FIELDS)
 
-        ids, counts, codes, number, carried, size = [], [], array("I"), {}, [], 0
+        def numbers():
+            """Each new word gets the next number when it is asked for."""
+            found = defaultdict()
+            found.default_factory = found.__len__
+            return found
+
+        ids, counts, codes, number, carried, size = [], [], array("I"), numbers(), [], 0
         for batch in batches:
             for key, text, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if carry else [None] * batch.num_rows):
                 text = text.as_py()
                 if ids and size + len(text) > block_bytes:
                     block += 1
                     yield out()
-                    ids, counts, codes, number, carried, size = [], [], array("I"), {}, [], 0
+                    ids, counts, codes, number, carried, size = [], [], array("I"), numbers(), [], 0
                 words = split(text)
-                for w in words:
-                    if w not in number:
-                        number[w] = len(number)
-                codes.extend(map(number.__getitem__, words))
+                codes.frombytes(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)).tobytes())
                 ids.append(key)
                 carried.append(more)
                 counts.append(len(words))

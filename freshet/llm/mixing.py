@@ -24,8 +24,8 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -45,7 +45,8 @@ TOKENS_A_SLOT = 32
 SLOTS_AT_ONCE = 1 << 18
 ORDERS = 5
 CHUNK = 32  # tokens between updates
-LANES = 512  # documents that are scored together
+LANES = 128  # documents that are scored together, at most
+TOKENS_AT_ONCE = 8_000  # whose bits go through numpy together: few enough for a core's cache
 GATES = 27
 RATE = 0.002
 FOLDS, HELD_OUT = 7, 2
@@ -55,12 +56,13 @@ FREQUENT = 100
 END = "\n"  # no word holds a white space
 
 # fixed values: the white space that parts words, ASCII only
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-WORD = re.compile(r"[^ \t-\r]+")
+LOWER = bytes(range(9)) + b" " * 5 + bytes(range(14, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def tokens(text: str) -> list[str]:
-    found = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass"))
+    found = text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass").split(" ")
+    if "" in found:
+        found = [w for w in found if w]
     found.append(END)
     return found
 
@@ -120,27 +122,26 @@ def _byte_pairs(words) -> np.ndarray:
 
 def _counted(group: pa.Table) -> pa.Table:
     """One bucket: total counts given back to its blocks, and a row of sums (block null)."""
-    total: dict[str, int] = {}
+    place: defaultdict[str, int] = defaultdict()
+    place.default_factory = place.__len__  # words are numbered as they come
     rows = group.to_pylist()
     for row in rows:
-        row["words"] = unpack_words(row["words"])
-        for w, c in zip(row["words"], unpack(row["counts"]).tolist()):
-            total[w] = total.get(w, 0) + c
-    classes, v1, v2 = [0] * MOST_CLASSES, 0, 0
-    for w, c in total.items():
-        if c >= 2:
-            classes[zlib.crc32(w.encode("utf-8", "surrogatepass"), 7) % MOST_CLASSES] += c
-            v2 += c == 2
-        v1 += c == 1
-    known = [w for w, c in total.items() if c]
-    top = heapq.nsmallest(MOST_TOP, ((-c, w) for w, c in total.items() if c >= 2))
+        words = unpack_words(row["words"])
+        row["places"] = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    total = np.zeros(len(place), np.int64)
+    for row in rows:  # a block has a word once
+        total[row["places"]] += unpack(row["counts"])
+    words = np.array(list(place), object)
+    place.clear()
+    often = np.flatnonzero(total >= 2)
+    classes, v1, v2 = np.zeros(MOST_CLASSES, np.int64), int((total == 1).sum()), int((total == 2).sum())
+    np.add.at(classes, [zlib.crc32(w.encode("utf-8", "surrogatepass"), 7) % MOST_CLASSES for w in words[often]], total[often])
+    known = words[total > 0].tolist()
+    top = heapq.nsmallest(MOST_TOP, zip((-total[often]).tolist(), words[often].tolist()))
     names = [c.strip().split(" ")[0] for c in COUNTED.split(", ")]
-    out = [
-        (r["block"], r["number"], pack_words(r["words"]), np.array([total[w] for w in r["words"]], np.int64).tobytes(), None, None, None, None, None, None, None, None)
-        for r in rows
-    ]
+    out = [(r["block"], r["number"], r["words"], total[r["places"]].tobytes(), None, None, None, None, None, None, None, None) for r in rows]
     pairs = _byte_pairs(w for w in known if w != END).tobytes()
-    out.append((None, None, None, None, sum(total.values()), len(known), v1, v2, classes, pairs, [w for _, w in top], [-c for c, _ in top]))
+    out.append((None, None, None, None, int(total.sum()), len(known), v1, v2, classes.tolist(), pairs, [w for _, w in top], [-c for c, _ in top]))
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
     give_back()
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -166,22 +167,37 @@ class Tree:
     bits: np.ndarray
     top: int
     slot_bits: int
+    depths: np.ndarray
+    alone: np.ndarray  # slots of the nodes without a context
+
+    def leaves(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' leaves, log10 of their shares of them, and log10 of the spelling of those unseen."""
+        leaf, share, spell = np.full(len(words), self.top + len(self.class_counts)), np.zeros(len(words)), np.zeros(len(words))
+        often = np.flatnonzero(counts >= 2)
+        leaf[often] = np.fromiter((self.leaf_of.get(words[i], -1) for i in often.tolist()), np.int64, len(often))
+        if (once := counts == 1).any():
+            share[once] = math.log10((1 - self.unseen) / self.v1)
+        often = often[leaf[often] < 0]
+        own = np.fromiter((zlib.crc32(words[i].encode("utf-8", "surrogatepass"), 7) % len(self.class_counts) for i in often.tolist()), np.int64, len(often))
+        leaf[often], share[often] = self.top + own, np.log10(counts[often] / self.class_counts[own])
+        if len(never := np.flatnonzero(counts == 0)):
+            share[never] = math.log10(self.unseen)
+            spell[never] = self.spelled([words[i] for i in never.tolist()])
+        return leaf, share, spell
 
     def leaf(self, word: str, count: int) -> tuple[int, float]:
-        """The word's leaf, and log10 of its share of it."""
-        if count >= 2:
-            if (found := self.leaf_of.get(word)) is not None:
-                return found, 0.0
-            own = zlib.crc32(word.encode("utf-8", "surrogatepass"), 7) % len(self.class_counts)
-            return self.top + own, float(np.log10(count / self.class_counts[own]))
-        if count == 1:
-            return self.top + len(self.class_counts), float(np.log10((1 - self.unseen) / self.v1))
-        return self.top + len(self.class_counts), float(np.log10(self.unseen))
-
-    def spelled(self, word: str) -> float:
-        raw = np.frombuffer(b"\n" + word.encode("utf-8", "surrogatepass") + b"\n", np.uint8).astype(np.int64)
-        raw = np.where(raw == 10, 256, raw)
-        return float(self.spelling[raw[:-1], raw[1:]].sum())
+        leaf, share, _ = self.leaves([word], np.array([count]))
+        return int(leaf[0]), float(share[0])
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """Sums over each word's pairs of bytes, from its start to its end; the end of a text is a word of one byte."""
+        raw = np.frombuffer(b"".join(b"\n" + w.encode("utf-8", "surrogatepass") + b"\n" for w in words), np.uint8).astype(np.int64)
+        raw[raw == 10] = 256
+        sizes = np.array([len(w.encode("utf-8", "surrogatepass")) + 2 for w in words])
+        ends = np.cumsum(sizes)
+        pairs = np.append(self.spelling[raw[:-1], raw[1:]], 0)
+        pairs[ends - 1] = 0  # from one word to the next
+        return np.add.reduceat(pairs, ends - sizes)
 
 
 def _huffman(weights: list[int]) -> list[list[tuple[int, int]]]:
@@ -206,26 +222,33 @@ def _huffman(weights: list[int]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def tree(counted: DataFrame) -> Tree:
-    """The tree and the sums; only sums and at most ``MOST_TOP`` words come to the driver."""
-    sums = counted.where("block is null")
-    row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "v1", "v2")]).first()
-    most, slot_bits = sizes_for(row.n)
-    classes = np.zeros(most // WORDS_A_CLASS, np.int64)  # their number divides that of the counted ones
-    for r in sums.select(F.posexplode("classes").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect():
-        classes[r.i % len(classes)] += r.c
+def _sums(sums: DataFrame) -> DataFrame:
+    """Counts of classes, then of pairs of bytes, added up in each task: its rows do not grow with the buckets it reads."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257 * 257, np.int64)
+        total = np.zeros(MOST_CLASSES + 257 * 257, np.int64)
         for batch in batches:
-            for p in batch.column(0).to_pylist():
-                total += np.frombuffer(p, np.int64)
+            for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[:MOST_CLASSES] += np.array(c, np.int64)
+                total[MOST_CLASSES:] += np.frombuffer(p, np.int64)
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[where])], names=["i", "c"])
 
+    return sums.select("classes", "pairs").mapInArrow(add, "i long, c long")
+
+
+def tree(counted: DataFrame) -> Tree:
+    """The tree and the sums; only sums and at most ``MOST_TOP`` words come to the driver."""
+    sums = counted.where("block is null")
+    row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "v1", "v2")]).first()
+    most, slot_bits = sizes_for(row.n)
+    classes = np.zeros(most // WORDS_A_CLASS, np.int64)  # their number divides that of the counted ones
     pairs = np.zeros(257 * 257)
-    for r in sums.select("pairs").mapInArrow(add, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
-        pairs[r.i] = r.c
+    for r in _sums(sums).groupBy("i").agg(F.sum("c").alias("c")).collect():
+        if r.i < MOST_CLASSES:
+            classes[r.i % len(classes)] += r.c
+        else:
+            pairs[r.i - MOST_CLASSES] = r.c
     pairs = pairs.reshape(257, 257) + 0.1
     top = sums.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).orderBy(F.desc("t.top_counts"), "t.top").limit(most).collect()
     words = [(r.t.top, r.t.top_counts) for r in top]
@@ -235,12 +258,14 @@ def tree(counted: DataFrame) -> Tree:
     paths = _huffman(weights)
     sizes = np.array([len(p) for p in paths], np.int64)
     flat = np.array([x for p in paths for x in p])
+    starts = np.cumsum(sizes) - sizes
     unseen = (row.v1 + 1) / (row.v1 + 2 * row.v2 + 2)
     if not row.v1:
         unseen = 1.0
     return Tree(
         {w: i for i, (w, _) in enumerate(words)}, np.maximum(classes, 1), row.n, row.v, row.v1, unseen,
-        np.log10(pairs / pairs.sum(1, keepdims=True)), np.cumsum(sizes) - sizes, sizes, flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.uint8), most, slot_bits,
+        np.log10(pairs / pairs.sum(1, keepdims=True)), starts, sizes, flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.uint8), most, slot_bits,
+        (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint8), _slots(0, np.uint32(0), flat[:, 0].astype(np.uint32), slot_bits),
     )
 
 
@@ -262,10 +287,7 @@ def _code(shape: Tree):
         for number, words, counts in zip(*(right.column(c).to_pylist() for c in ("number", "leaf_words", "counts"))):
             where, own = np.cumsum(unpack(number)).astype(np.int64), np.frombuffer(counts, np.int64)
             count[where] = own
-            for i, w, c in zip(where.tolist(), unpack_words(words), own.tolist()):
-                leaf[i], share[i] = shape.leaf(w, c)
-                if not c:
-                    spell[i] = shape.spelled(w)
+            leaf[where], share[where], spell[where] = shape.leaves(unpack_words(words), own)
         base = np.log10((count + 1) / (shape.n + (shape.v + 1)))
         bounds = np.cumsum([0, *row["n_words"]])[:-1]  # every document has its end at least
         sums = [np.add.reduceat(x[codes], bounds) for x in (count > 0, base, share, spell)]
@@ -312,7 +334,8 @@ def _slots(order: int, context: np.ndarray, nodes: np.ndarray, slot_bits: int) -
     x *= np.uint32(0x7FEB352D)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x846CA68B)
-    return x >> np.uint32(32 - slot_bits)
+    x >>= np.uint32(32 - slot_bits)
+    return x
 
 
 def expand(leaves: np.ndarray, starts: np.ndarray, shape: Tree, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -322,13 +345,11 @@ def expand(leaves: np.ndarray, starts: np.ndarray, shape: Tree, order: np.ndarra
         leaves, contexts = leaves[order], [c[order] for c in contexts]
     sizes = shape.sizes[leaves]
     token = np.repeat(np.arange(len(leaves)) if order is None else order, sizes)
-    ahead = np.cumsum(sizes) - sizes
-    place = np.arange(len(token))
-    at = place + np.repeat(shape.starts[leaves] - ahead, sizes)
-    nodes, bits = shape.nodes.take(at), shape.bits.take(at)
-    every = np.arange(len(shape.sizes), dtype=np.uint32)  # there are fewer nodes than leaves
-    slots = [_slots(0, np.uint32(0), every, shape.slot_bits).take(nodes), *(_slots(k, np.repeat(c, sizes), nodes, shape.slot_bits) for k, c in enumerate(contexts) if k)]
-    return bits, token, slots, place - np.repeat(ahead, sizes)
+    at = np.arange(len(token))
+    at += np.repeat(shape.starts[leaves] - (np.cumsum(sizes) - sizes), sizes)
+    # every step asked for is there, so that take need not look for others first
+    nodes, bits, depth, alone = (v.take(at, mode="clip") for v in (shape.nodes, shape.bits, shape.depths, shape.alone))
+    return bits, token, [alone, *(_slots(k, np.repeat(c, sizes), nodes, shape.slot_bits) for k, c in enumerate(contexts) if k)], depth
 
 
 def by_chunk(starts: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -347,7 +368,7 @@ def _count(shape: Tree):
             at = 0
             while at < len(held):
                 part, size = [], 0
-                while at < len(held) and size < 30_000:
+                while at < len(held) and size < TOKENS_AT_ONCE:
                     part.append(np.frombuffer(held[at], np.uint16).astype(np.int64))
                     size += len(part[-1])
                     at += 1
@@ -375,14 +396,20 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.table([group.column("slice").slice(0, 1).cast(pa.int32()), pa.array([pack(np.minimum(total, most).astype(np.uint32).tobytes())], pa.binary())], names=["slice", "counts"])
 
 
-def slot_tables(coded: DataFrame, shape: Tree) -> np.ndarray:
-    """(order, slot, bit) counts over all training texts; the size is that of ``sizes_for``."""
+def slot_slices(coded: DataFrame, shape: Tree) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Order, first slot and (slot, bit) counts of slices of the slots, over all training texts; slices without any are left out."""
     parts = coded.where("learn").select("leaves").mapInArrow(_count(shape), "slice int, counts binary")
-    out = np.zeros((ORDERS, 2 << shape.slot_bits), np.uint32)
-    width = (2 << shape.slot_bits) // 16
+    width = (1 << shape.slot_bits) // 16
     for r in parts.groupBy("slice").applyInArrow(_add, "slice int, counts binary").toLocalIterator():
-        out[r.slice // 16, r.slice % 16 * width : (r.slice % 16 + 1) * width] = unpack(bytes(r.counts))
-    return out.reshape(ORDERS, 1 << shape.slot_bits, 2)
+        yield r.slice // 16, r.slice % 16 * width, unpack(bytes(r.counts)).reshape(width, 2)
+
+
+def slot_tables(coded: DataFrame, shape: Tree) -> np.ndarray:
+    """(order, slot, bit) counts over all training texts; the size is that of ``sizes_for``."""
+    out = np.zeros((ORDERS, 1 << shape.slot_bits, 2), np.uint32)
+    for k, a, counts in slot_slices(coded, shape):
+        out[k, a : a + len(counts)] = counts
+    return out
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -396,11 +423,28 @@ class Model:
     seen: np.ndarray  # order, slot: 0 never, 1 up to three times, 2 more
     weights: np.ndarray  # gate, order
 
-    def inputs(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((ORDERS, len(slots[0])), np.float32)
-        for k, s in enumerate(slots):
-            self.stretch[k].take(s, out=x[k], mode="clip")
-        return x.T, _gate([self.seen[k].take(slots[k]) for k in (1, 2, 3)])
+
+
+def joined(stretch: np.ndarray, seen: np.ndarray, width: int) -> list[np.ndarray]:
+    """Inputs in single precision with the level in two of the bits that half precision leaves empty: one look-up for both."""
+    out = []
+    for own, level in zip(stretch, seen):
+        both = own.astype(np.float32)
+        for k in range(width):
+            both.view(np.uint32)[k::width] |= level
+        out.append(both)
+    return out
+
+
+def looked_up(tables: list[np.ndarray], at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs by order, and gates, from the tables of ``joined``."""
+    x = np.empty((ORDERS, len(at[0])), np.float32)
+    for k in range(ORDERS):
+        tables[k].take(at[k], out=x[k], mode="clip")
+    raw = x.view(np.uint32)
+    gate = _gate([(raw[k] & np.uint32(3)).astype(np.uint8) for k in (1, 2, 3)])
+    raw &= np.uint32(0xFFFFFFFC)
+    return x.T, gate
 
 
 def _gate(seen: list[np.ndarray]) -> np.ndarray:
@@ -413,6 +457,7 @@ def _levels(n: np.ndarray) -> np.ndarray:
 
 
 BUCKETS = 24
+MARK = 1 << 26  # more than a chunk has bits
 
 
 def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray, depth: np.ndarray, starts: np.ndarray, n_tokens: int, first: np.ndarray, rate: float = RATE, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -434,20 +479,21 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
     edges = np.searchsorted(chunk_of, np.arange(chunk_of[-1] + 2 if len(chunk_of) else 1))
     sets = 1 if shared else lanes
     w = np.ascontiguousarray(np.repeat(first[None].astype(np.float32), sets, 0).reshape(sets * GATES, ORDERS).T)
+    gates, cells = gate + (0 if shared else lane * GATES), (lane * 8 + depth) * BUCKETS
+    marks = 1 + y.astype(np.float64) * MARK  # hits and ones in one sum
     centre = (1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 1.5))).astype(np.float32)
     apm = np.tile(centre, lanes * 8)
     total = np.zeros(lanes)
     for a, b in zip(edges[:-1], edges[1:]):
         if a == b:
             continue
-        own = (0 if shared else lane[a:b] * GATES) + gate[a:b]
-        part = x[:, a:b]
+        own, part = gates[a:b], x[:, a:b]
         logit = part[0] * w[0].take(own)
         for k in range(1, ORDERS):
             logit += part[k] * w[k].take(own)
         np.clip(logit, -15, 15, out=logit)
         p = 1 / (1 + np.exp(-logit))
-        cell = (lane[a:b] * 8 + depth[a:b]) * BUCKETS + np.clip(logit * 1.5 + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int64)
+        cell = cells[a:b] + np.clip(logit * np.float32(1.5) + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
         refined = np.clip(0.75 * p + 0.25 * apm.take(cell), 1e-6, 1 - 1e-6)
         t = y[a:b]
         got = np.where(t > 0, refined, 1 - refined)
@@ -456,11 +502,13 @@ def mixed(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, token: np.ndarray,
         for k in range(ORDERS):
             w[k] += np.bincount(own, err * part[k], sets * GATES)
         low = cell.min()
-        hits, ones = np.bincount(cell - low), np.bincount(cell - low, t)
-        used = np.flatnonzero(hits)
-        cells, hits = used + low, hits[used]
-        mean = ones[used] / hits
-        apm[cells] += (mean - apm[cells]) * (hits / (hits + 30))
+        cell -= low
+        both = np.bincount(cell, marks[a:b])
+        used = np.flatnonzero(both)
+        ones, hits = np.divmod(both[used], MARK)
+        used += low
+        old = apm.take(used)
+        apm[used] = old + (ones / hits - old) * (hits / (hits + 30))
     return total, w.T.reshape(sets, GATES, ORDERS)
 
 
@@ -491,44 +539,58 @@ def tables_of(counts: np.ndarray, rule, width: int) -> tuple[np.ndarray, np.ndar
     return stretch, seen
 
 
+def tables_by_slice(coded: DataFrame, shape: Tree) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What ``tables_of`` makes by both rules of the counts, which the driver never holds but for a slice."""
+    made = [(rule, width, np.zeros((ORDERS, width << shape.slot_bits), np.float16), np.zeros((ORDERS, 1 << shape.slot_bits), np.uint8)) for rule, width in ((without_own, 2), (with_own, 1))]
+    for k, a, counts in slot_slices(coded, shape):
+        for rule, width, stretch, seen in made:
+            b = a + len(counts)
+            stretch[k, a * width : b * width], seen[k, a:b] = rule(counts)
+    return [m[2:] for m in made]
+
+
 def inputs_without_own(stretch: np.ndarray, seen: np.ndarray, slots: list[np.ndarray], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and gates of training bits from the tables of ``without_own``."""
-    x = np.empty((ORDERS, len(bits)), np.float32)
-    for k, s in enumerate(slots):
-        x[k] = stretch[k].take(s * np.uint32(2) + bits, mode="clip")
-    return x.T, _gate([seen[k].take(slots[k], mode="clip") for k in (1, 2, 3)])
+    return looked_up(joined(stretch, seen, 2), [s * np.uint32(2) + bits for s in slots])
 
 
 def curvature(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
     """Add to ``total`` (gate, order, 1 + order) the gradient of the bits' log likelihood and its negated second derivative."""
     order = np.argsort(gate.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(gate[order], np.arange(GATES + 1))
-    columns, y = np.ascontiguousarray(x.T), bits.astype(np.float32)
-    for g in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[g] : edges[g + 1]]
-        own = columns.take(rows, 1).astype(float)  # sums in double, so that they hardly depend on how texts are dealt
+    found = np.bincount(gate, minlength=GATES)
+    edges = np.cumsum([0, *found])
+    columns, y = x.T.take(order, 1, mode="clip"), bits.take(order, mode="clip")
+    for g in np.flatnonzero(found):
+        own = columns[:, edges[g] : edges[g + 1]].astype(float)  # sums in double, so that they hardly depend on how texts are dealt
         p = 1 / (1 + np.exp(-np.clip(weights[g] @ own, -15, 15)))
-        total[g, :, 0] += own @ (y.take(rows) - p)
-        total[g, :, 1:] += (own * (p * (1 - p))) @ own.T
+        rows = np.empty((1 + ORDERS, len(p)))
+        np.subtract(y[edges[g] : edges[g + 1]], p, out=rows[0])
+        np.multiply(own, p * (1 - p), out=rows[1:])
+        total[g] += own @ rows.T
 
 
 def _curvature(shape: Tree, stretch: np.ndarray, seen: np.ndarray, weights: np.ndarray):
+    return _step(shape, lambda: (stretch, seen), weights)
+
+
+def _step(shape: Tree, tables_of_all, weights: np.ndarray):
     """A task's training texts -> its sums for one step of all gates' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((GATES, ORDERS, 1 + ORDERS))
+        tables = joined(*tables_of_all(), 2)
         for batch in batches:
             held = batch.column("leaves").to_pylist()
             at = 0
             while at < len(held):
                 part, size = [], 0
-                while at < len(held) and size < 30_000:
+                while at < len(held) and size < TOKENS_AT_ONCE:
                     part.append(np.frombuffer(held[at], np.uint16).astype(np.int64))
                     size += len(part[-1])
                     at += 1
                 starts = np.cumsum([0, *map(len, part)])[:-1]
                 bits, _, slots, _ = expand(np.concatenate(part), starts, shape)
-                x, gate = inputs_without_own(stretch, seen, slots, bits)
+                x, gate = looked_up(tables, [s * np.uint32(2) + bits for s in slots])
                 curvature(x, gate, bits, weights, total)
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total.ravel()[where])], names=["i", "v"])
@@ -544,23 +606,29 @@ def first_weights(coded: DataFrame, shape: Tree, counts: np.ndarray, steps: int
     Spark adds up one row per task and entry, and the driver solves 27 systems of five unknowns. A weak
     pull towards the start keeps gates that saw few bits near it.
     """
+    return fitted(coded, shape, *tables_of(counts, without_own, 2), steps)
+
+
+def fitted(coded: DataFrame, shape: Tree, stretch: np.ndarray, seen: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """``first_weights`` from the tables of ``without_own``, which go to the tasks once for all steps."""
     start = np.full((GATES, ORDERS), START)
     weights = start
     learned = coded.where("learn").select("leaves")
-    stretch, seen = tables_of(counts, without_own, 2)
+    shared = coded.sparkSession.sparkContext.broadcast((stretch, seen))
     for _ in range(steps):
         total = np.zeros(GATES * ORDERS * (1 + ORDERS))
-        for r in learned.mapInArrow(_curvature(shape, stretch, seen, weights), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in learned.mapInArrow(_step(shape, lambda: shared.value, weights), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             total[r.i] = r.v
         total = total.reshape(GATES, ORDERS, 1 + ORDERS)
         gradient = total[:, :, 0] - PULL * (weights - start)
         weights = weights + np.linalg.solve(total[:, :, 1:] + PULL * np.eye(ORDERS), gradient[:, :, None])[:, :, 0]
+    shared.destroy()
     return weights
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = replace(model, stretch=model.stretch.astype(np.float32))
+        tables = joined(model.stretch, model.seen, 1)
         for batch in batches:
             held = [np.frombuffer(v, np.uint16).astype(np.int64) for v in batch.column("leaves").to_pylist()]
             out = np.zeros(len(held))
@@ -575,8 +643,8 @@ def _score(model: Model):
                     at += 1
                 starts = np.cumsum([0, *(len(held[i]) for i in part)])[:-1]
                 bits, token, slots, depth = expand(np.concatenate([held[i] for i in part]), starts, model.shape, by_chunk(starts, size))
-                x, gate = own.inputs(slots)
-                out[part], _ = mixed(x, gate, bits, token, depth, starts, size, own.weights)
+                x, gate = looked_up(tables, slots)
+                out[part], _ = mixed(x, gate, bits, token, depth, starts, size, model.weights)
             keep_ = [batch.column(c) for c in ("doc_id", "learn", "n_tokens", "n_known", "base", "shares", "spelling", "n_bytes")]
             yield pa.RecordBatch.from_arrays([*keep_, pa.array(out)], names=["doc_id", "learn", "n_tokens", "n_known", "base", "shares", "spelling", "n_bytes", "bits"])
         give_back()
@@ -602,12 +670,12 @@ def scores(docs: DataFrame) -> DataFrame:
     coded, _ = keep(blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_code(shape), CODED), "mixing-leaves")
     discard(spark, blocks_path)
     discard(spark, counted_path)
-    counts = slot_tables(coded, shape)
     small = replace(shape, leaf_of={})
-    weights = first_weights(coded, small, counts)  # its tables go before those of the model come
+    apart, whole = tables_by_slice(coded, small)
+    weights = fitted(coded, small, *apart)
+    del apart
     give_back()
-    model = Model(small, *tables_of(counts, with_own, 1), weights)
-    del counts
+    model = Model(small, *whole, weights)
     columns = "doc_id long, learn boolean, n_tokens long, n_known long, base double, shares double, spelling double, n_bytes long, bits double"
     found = coded.mapInArrow(_score(model), columns)
     score = F.col("bits") + F.col("shares")

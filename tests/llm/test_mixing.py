@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -207,3 +208,43 @@ def test_empty_table(spark):
     assert m.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = m.scores(spark.createDataFrame([(9, "only held out or not")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].n_tokens == 6
+
+
+def test_sums_of_a_task_do_not_grow_with_its_buckets(spark):
+    blocks = code_blocks(texts(spark.createDataFrame(sample(), "doc_id long, text string")), m.tokens)
+    rows, shapes = [], []
+    for buckets in (2, 40):
+        counted = blocks.mapInArrow(m._parts(buckets), m.PARTS).groupBy("bucket").applyInArrow(m._counted, m.COUNTED)
+        rows.append(m._sums(counted.where("block is null").coalesce(1)).count())
+        shapes.append(m.tree(counted))
+    assert rows[0] == rows[1] and shapes[0].leaf_of == shapes[1].leaf_of
+    assert (shapes[0].class_counts == shapes[1].class_counts).all() and (shapes[0].spelling == shapes[1].spelling).all()
+
+
+def test_tables_come_by_slices(spark):
+    rng = random.Random(6)
+    shape = shape_of(spark, sample())
+    coded = coded_from(spark, [[rng.randrange(0, 30) for _ in range(rng.randrange(1, 200))] for _ in range(30)])
+    counts = m.slot_tables(coded, shape)
+    want = m.tables_of(counts, m.without_own, 2), m.tables_of(counts, m.with_own, 1)
+    for a, b in zip(m.tables_by_slice(coded, shape), want, strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    # half precision leaves the bits free that hold the levels
+    (stretch, seen), slots = want[1], [np.arange(len(counts[0]))] * m.ORDERS
+    x, gate = m.looked_up(m.joined(stretch, seen, 1), slots)
+    assert (x.T == stretch).all() and (gate == m._gate([seen[k] for k in (1, 2, 3)])).all()
+
+
+def test_words_at_once_are_words_one_by_one(spark):
+    rows = sample()
+    shape = shape_of(spark, rows)
+    counts = Counter(m.END if w is None else w for i, t in rows if learns(i) for w in words_of(t))
+    words = [*counts, "never", "\u00fc\u2028", m.END]
+    n = np.array([*counts.values(), 0, 0, 0])
+    leaf, share, spell = shape.leaves(words, n)
+    for w, c, a, b, s in zip(words, n.tolist(), leaf, share, spell):
+        assert (a, b) == shape.leaf(w, c)
+        raw = [256 if v == 10 else v for v in b"\n" + w.encode() + b"\n"]
+        assert math.isclose(s, 0 if c else sum(shape.spelling[v, u] for v, u in zip(raw, raw[1:])))
+    for text in ("", " \t\x0b ", "A  b\x1cC\x85d\u2028E\u3000f\r\n", "\u0130 \u00c9"):
+        assert m.tokens(text) == ["".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in w) for w in re.findall(r"[^ \t-\r]+", text)] + [m.END]
